@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import conversations, pairs
+from heronry.llm import consensus, conversations, encoding, pairs, splitting
 from heronry.sources.tables import table
 
 
@@ -22,4 +22,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, d, "messages")).select("message_id", "defect")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_conversations, p4_found)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "text_pages")).where("piece = 1").select("chunk_id", "cut").distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "text_pages"))
+
+
+def _panels(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"i": table(spark, d, "panel_arm_i"), "g2": table(spark, d, "panel_arm_g2")}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.suspicious(_panels(spark, d))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_panels(spark, d))[0]
+
+
+def p6_voters(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_panels(spark, d))[1]
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_texts(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p4_found, p6_found, p6_items, p6_voters, p7_ids)
+}

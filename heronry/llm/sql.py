@@ -36,4 +36,25 @@ r as (
          when coalesce(uu, false) or last = 'user' then 'missing_reply' end as reason
   from named left join odd using (session_id) left join flow using (session_id))
 select session_id, reason from r where reason is not null""",
+    "p2_found": r"""
+with t as (select distinct chunk_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) as body from text_pages where length(text) > 1200),
+fits as (
+  select chunk_id, body,
+    list_max(list_transform(regexp_split_to_array(body, '(?:[ \t]*(?:\r\n|\r|\n)){2,}[ \t]*'), lambda s: length(trim(s, chr(32) || chr(9) || chr(10) || chr(13))))) as p,
+    list_max(list_transform(regexp_split_to_array(regexp_replace(body, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda s: length(trim(s, chr(32) || chr(9) || chr(10) || chr(13))))) as s,
+    list_max(list_transform(regexp_split_to_array(body, '[ \t\r\n]+'), lambda s: length(s))) as w
+  from t)
+select distinct chunk_id, case when p <= 1200 then 'paragraph' when s <= 1200 then 'sentence' when w <= 1200 then 'word' else 'none' end as cut from fits""",
+    "p6_found": """
+with rows as (
+  select distinct 'i:' || id as case_key, majority_pass, requires_crossref, voters, votes from panel_arm_i
+  union all select distinct 'g2:' || id, majority_pass, requires_crossref, voters, votes from panel_arm_g2),
+m as (
+  select *, len(list_filter(votes, lambda v: v)) as y, len(list_filter(votes, lambda v: not v)) as n from rows),
+j as (select *, case when y > n then true when y < n then false end as majority from m),
+v as (select unnest(voters) as voter, unnest(votes) as vote, majority from j)
+select distinct 'item' as kind, case_key from j where majority_pass is distinct from majority
+union all
+select 'voter', voter from v where vote is not null and majority is not null
+group by voter having avg(case when vote = majority then 1.0 else 0.0 end) < 0.75""",
 }
