@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import consensus, conversations, encoding, pairs, splitting
+from heronry.llm import consensus, conversations, encoding, neighbours, pairs, splitting
 from heronry.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, d, "messages"), table(spark, d, "sessions"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "text_pages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, d, "messages")).select("message_id", "defect")
 
@@ -51,5 +55,5 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p4_found, p6_found, p6_items, p6_voters, p7_ids)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p4_found, p6_found, p6_items, p6_voters, p7_ids)
 }
