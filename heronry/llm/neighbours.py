@@ -4,11 +4,12 @@ Each of ``tables`` hash tables cuts ``hashes`` Gaussian projections into cells o
 width, set for the radius that belongs to ``min_cosine``.  A vector is stored in its
 own cell and looks into the ``probes`` perturbed cells that are most likely to hold
 a neighbour, in order of estimated success.  Candidates of all tables are merged,
-thinned by a 64-bit sign sketch whose threshold is far outside what a pair within
-the radius reaches, and ranked by exact cosine.
+thinned by a sign sketch of 192 bits whose threshold is four deviations outside what
+a pair at the radius has on average, and ranked by exact cosine.  Hashes and tables
+grow with the logarithm of the number of rows, so that cells keep their size.
 
 Layout.  A map task hashes its rows in numpy and sends, for each shard of the key
-space, one packed block (24 bytes an entry) instead of a row an entry.  The number of
+space, one packed block (40 bytes an entry) instead of a row an entry.  The number of
 shards grows with the table, so a shard stays a few tens of MB.  Copies of a vector
 (equal up to length) form a class, which enters the tables once a task however many
 rows it has; its rows come back at the end, where ten smallest ids stand for any
@@ -20,7 +21,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from heronry.session import cut_lineage, parallelism
 
-ENTRY = np.dtype([("key", "u8"), ("id", "u8"), ("sketch", "u8")])
+WORDS = 3
+ENTRY = np.dtype([("key", "u8"), ("id", "u8"), ("sketch", "u8", (WORDS,))])
+ROW = np.dtype([("key", "u8"), ("row", "u8")])
 SHARD_BYTES = 32 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,26 +45,30 @@ class Hashing:
     width: int = 64
     min_cosine: float = 0.94
     tables: int = 4
-    hashes: int = 14
-    probes: int = 10
+    hashes: int = 11
+    probes: int = 5
     seed: int = 7
 
     @property
     def cell(self) -> float:
         return 5.8 * math.sqrt(2 - 2 * self.min_cosine)
 
-    @property
-    def most_bits(self) -> int:
-        """Bits of the sketch that may differ: the mean for a pair at the radius plus 4.5 deviations."""
-        p = math.acos(self.min_cosine) / math.pi
-        return min(64, math.ceil(64 * p + 4.5 * math.sqrt(64 * p * (1 - p))))
+    def for_rows(self, n: int) -> Hashing:
+        """One more hash a doubling beyond 200,000 rows, and a table more for every two hashes."""
+        more = max(0, round(math.log2(max(n, 1) / 200_000)))
+        return replace(self, hashes=self.hashes + more, tables=self.tables + (more + 1) // 2)
+
+    def most_bits(self, words: int) -> int:
+        """Bits that may differ in so many words of the sketch."""
+        n, p = 64 * words, math.acos(self.min_cosine) / math.pi
+        return math.ceil(n * p + 4 * math.sqrt(n * p * (1 - p)))
 
     def draw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
         a = rng.standard_normal((self.width, self.tables * self.hashes)).astype("f4") / np.float32(self.cell)
         shift = rng.uniform(0, 1, self.tables * self.hashes).astype("f4")
         factor = rng.integers(1, 2**63, (self.tables, self.hashes), dtype="u8") | np.uint64(1)
-        signs = rng.standard_normal((self.width, 64)).astype("f4")
+        signs = rng.standard_normal((self.width, 64 * WORDS)).astype("f4")
         return a, shift, factor, signs
 
     def probe_sets(self) -> list[tuple[int, ...]]:
@@ -100,14 +107,15 @@ def class_of(x: np.ndarray) -> np.ndarray:
 def hash_entries(x: np.ndarray, ids: np.ndarray, how: Hashing) -> tuple[np.ndarray, np.ndarray]:
     """(stored, looked up): one entry a table and vector, and ``probes`` more."""
     a, shift, factor, signs = how.draw()
-    sketch = np.packbits(x @ signs > 0, axis=1).view("u8").ravel()
+    sketch = np.packbits(x @ signs > 0, axis=1).view("u8")
     f = x @ a + shift
     h = np.floor(f)
     u = f - h
     h = h.astype("i8").view("u8").reshape(len(x), how.tables, how.hashes)
     u = u.reshape(len(x), how.tables, how.hashes)
     stored, looked = np.empty((how.tables, len(x)), ENTRY), np.empty((how.tables, how.probes, len(x)), ENTRY)
-    stored["id"], stored["sketch"], looked["id"], looked["sketch"] = ids, sketch, ids, sketch
+    for part in (stored, looked):
+        part["id"], part["sketch"] = ids, sketch
     for t in range(how.tables):
         base = (h[:, t] * factor[t]).sum(1, dtype="u8") + np.full(1, t, "u8") * _GOLDEN
         far = np.concatenate([u[:, t] ** 2, (1 - u[:, t]) ** 2], axis=1)
@@ -156,23 +164,29 @@ def _blocks(how: Hashing, shards: int):
                 stored, looked = hash_entries(x[fresh], ids[fresh], how)
                 send(0, stored)
                 send(1, looked)
-            rows_named = np.empty(len(fresh) + len(copies), ENTRY)
-            rows_named["key"] = rows_named["id"] = ids[fresh + copies]
-            rows_named["sketch"] = names[fresh + copies]
+            rows_named = np.empty(len(fresh) + len(copies), ROW)
+            rows_named["key"], rows_named["row"] = ids[fresh + copies], names[fresh + copies]
             send(2, rows_named)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())]))
 
     return run
 
 
-def match_shard(stored: np.ndarray, looked: np.ndarray, most_bits: int, at_once: int = 1 << 21) -> np.ndarray:
+def match_shard(stored: np.ndarray, looked: np.ndarray, how: Hashing, at_once: int = 1 << 21) -> np.ndarray:
     """Distinct pairs (smaller id, larger id) that share a cell and whose sketches are close enough."""
-    stored = np.unique(stored)
-    keys = stored["key"]
-    looked = np.concatenate([stored, np.unique(looked)])
+
+    def sorted_once(part: np.ndarray) -> np.ndarray:
+        part = part[np.lexsort((part["id"], part["key"]))]
+        new = np.r_[True, (part["key"][1:] != part["key"][:-1]) | (part["id"][1:] != part["id"][:-1])] if len(part) else np.empty(0, bool)
+        return part[new]
+
+    stored = sorted_once(stored)
+    looked = np.concatenate([stored, sorted_once(looked)])
+    keys, held = np.ascontiguousarray(stored["key"]), np.ascontiguousarray(stored["sketch"])
     lo = np.searchsorted(keys, looked["key"], "left")
     n = np.searchsorted(keys, looked["key"], "right") - lo
     looked, lo, n = looked[n > 0], lo[n > 0], n[n > 0]
+    sought = np.ascontiguousarray(looked["sketch"])
     out = []
     ends = np.cumsum(n)
     a = 0
@@ -181,20 +195,24 @@ def match_shard(stored: np.ndarray, looked: np.ndarray, most_bits: int, at_once:
         count = n[a:b]
         probe = np.repeat(np.arange(a, b), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[a:b], count)
-        near = np.bitwise_count(looked["sketch"][probe] ^ stored["sketch"][at]) <= most_bits
-        i, j = looked["id"][probe[near]], stored["id"][at[near]]
+        bits = np.zeros(len(at), "i4")
+        for w in range(WORDS):  # most fall out after the first word
+            bits += np.bitwise_count(sought[probe, w] ^ held[at, w])
+            near = bits <= how.most_bits(w + 1)
+            probe, at, bits = probe[near], at[near], bits[near]
+        i, j = looked["id"][probe], stored["id"][at]
         two = i != j
         out.append(np.unique(np.stack([np.minimum(i, j)[two], np.maximum(i, j)[two]], axis=1), axis=0))
         a = b
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), "u8")
 
 
-def _match(most_bits: int):
+def _match(how: Hashing):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = [np.frombuffer(b"".join(pdf["block"][pdf["kind"] == k]), ENTRY) for k in (0, 1, 2)]
-        pairs = match_shard(part[0], part[1], most_bits)
-        rows = np.unique(part[2][["id", "sketch"]])  # a class with two different rows is a pair with itself
-        twice = np.unique(rows["id"][1:][rows["id"][1:] == rows["id"][:-1]])
+        part = [np.frombuffer(b"".join(pdf["block"][pdf["kind"] == k]), ENTRY if k < 2 else ROW) for k in (0, 1, 2)]
+        pairs = match_shard(part[0], part[1], how)
+        rows = np.unique(part[2])  # a class with two different rows is a pair with itself
+        twice = np.unique(rows["key"][1:][rows["key"][1:] == rows["key"][:-1]])
         both = np.concatenate([pairs, np.stack([twice, twice], axis=1)]).view("i8")
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
@@ -225,15 +243,16 @@ def similar(vectors: DataFrame, name: str = "chunk_id", vector: str = "vector",
     first vector, should they differ).  Equal cosines are ranked by name; any number of copies of a vector
     are each other's nearest, the smallest names first.  A null name is a row without identity and is
     left out.  An empty table gives no rows.  ``min_cosine`` is what the tables are tuned for: a pair at
-    that cosine is found with a probability of about 0.98, a closer one almost surely.
+    that cosine is found with a probability of about 0.98, one at 0.965 with 0.998.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(name).isNotNull()).select(vector, F.col(name).alias("name"))
     count = vectors.count()  # from the footers
+    how = how.for_rows(count)
     entry_bytes = how.tables * (1 + how.probes) * ENTRY.itemsize
     shards = max(parallelism(spark), math.ceil(count * entry_bytes / SHARD_BYTES))
     blocks = rows.select(vector, F.xxhash64("name").alias("h")).mapInArrow(_blocks(how, shards), "shard int, kind int, block binary")
-    pairs = blocks.groupBy("shard").applyInPandas(_match(how.most_bits), "a long, b long").distinct()
+    pairs = blocks.groupBy("shard").applyInPandas(_match(how), "a long, b long").distinct()
     pairs = cut_lineage(pairs)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     classes = rows.mapInArrow(_classes(how.width), "cls long, name string, unit binary").join(involved, "cls", "left_semi")
