@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import consensus, conversations, encoding, neighbours, pairs, splitting
+from heronry.llm import consensus, conversations, encoding, neighbours, pairs, scans, splitting
 from heronry.sources.tables import table
 
 
@@ -34,6 +34,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "text_pages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "text_pages"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "text_pages"))
+
+
 def _panels(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"i": table(spark, d, "panel_arm_i"), "g2": table(spark, d, "panel_arm_g2")}
 
@@ -55,5 +63,5 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p4_found, p6_found, p6_items, p6_voters, p7_ids)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_repaired, p6_found, p6_items, p6_voters, p7_ids)
 }
