@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import consensus, conversations, encoding, leakage, neighbours, pairs, scans, splitting
+from heronry.llm import abuse, consensus, conversations, encoding, leakage, neighbours, pairs, scans, splitting
 from heronry.sources.tables import table
 
 
@@ -66,6 +66,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "gold_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.flagged(table(spark, d, "documents"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"))
+
+
+def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_repaired, p6_found, p6_items, p6_voters, p7_ids, p8_found)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_repaired, p6_found, p6_items, p6_voters, p7_ids, p8_found, p9_found, p9_scores, p9_source_rates)
 }
