@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,8 +33,11 @@ _JOINED = re.compile("rl|cl|vv")
 _DRAWN = {"rl": "n", "cl": "d", "vv": "w"}
 _LOST = "¬¦§¤^~¢£■□\ufffd"
 _WORD = re.compile(rf"[\w|@${re.escape(_LOST)}]+")
-_SPLIT = re.compile(r"([^\W\d_][\w|@]*)[-­‐‑][ \t]*\r?\n[ \t]*([^\W\d_|@][\w|@]*)")
-_CODE = re.compile(r"\b[A-Z]{1,4}-\d{2,}(?:/\d+)?\b|\b[A-Z]\d{2,}[A-Z]?\b|\S*[/\\]\S*|\S*_\S*|\S+@\S+\.\S+")
+_SPLIT = re.compile(r"(?<![\w|@])([^\W\d_][\w|@]*)[-­‐‑][ \t]*\r?\n[ \t]*([^\W\d_|@][\w|@]*)")
+_SPLIT_AROUND = re.compile(r"(?<![\w|@])([^\W\d_][\w|@]*)[-­‐‑][ \t]*\r?\n\s*([^\W\d_|@][\w|@]*)")
+_CODE = re.compile(r"\b[A-Z]{1,4}-\d{2,}(?:/\d+)?\b|\b[A-Z]\d{2,}[A-Z]?\b|(?<!\S)[^\s/\\_]*[/\\_]\S*|(?<!\S)[^\s@]+@\S+\.\S+")
+#: Lines that could be a head: no sentence, and a capital, sign or digit at the start.
+_HEADLIKE = re.compile(r"^[ \t]*([^\W_a-zà-ÿ](?:[^\n.!?;]|\.(?= ?\d)){3,100})$", re.M)
 _PAGE = re.compile(r"^(?:(?:p|pp|pg|page|seite|página|pagina|pág|s)\.?\s*|[-–—\[(|]\s*)?(\d{1,5})(?:\s*(?:/|of|von|de|sur)\s*\d{1,5})?(?:\s*[-–—\])|])?$", re.I)
 _MARKED = re.compile(r"[^\d\s]|\d\s*/\s*\d")
 _BESIDE = (re.compile(r"^(\d{1,5})\s*[|·•–—-]\s+(?=\D)"), re.compile(r"(?<=\S)(?:\s{2,}|\s*[|·•]\s*|\t)(\d{1,5})$"))
@@ -55,7 +59,9 @@ def _letters(word: str) -> bool:
 
 def words_of(text: str) -> list[str]:
     """Tokens in lower case, words split at a line end put together; codes, paths and numbers are blanked."""
-    return ["0" if w.isdigit() else w for w in _WORD.findall(_CODE.sub(" _ ", _SPLIT.sub(r"\1\2", text)).lower())]
+    if "\n" in text:
+        text = _SPLIT.sub(r"\1\2", text)
+    return ["0" if w.isdigit() else w for w in _WORD.findall(_CODE.sub(" _ ", text).lower())]
 
 
 def bare_head(line: str) -> tuple[str, int | None]:
@@ -79,13 +85,14 @@ def head_key(line: str) -> str | None:
     return re.sub(r"\s+", " ", skeleton(re.sub(r"\d+(?![^\W\d_])", "#", s)))
 
 
-def name_keys(document_id: str | None) -> set[str]:
+@lru_cache(maxsize=4096)
+def name_keys(document_id: str | None) -> frozenset[str]:
     """Skeletons of the words of a document's name."""
     base = re.sub(r"\.\w{1,5}$", "", document_id or "")
-    return {skeleton(w) for w in re.split(r"[\W_]+", base) if len(w) > 1 and not w.isdigit()}
+    return frozenset(skeleton(w) for w in re.split(r"[\W_]+", base) if len(w) > 1 and not w.isdigit())
 
 
-def named_head(line: str, name: set[str]) -> bool:
+def named_head(line: str, name: frozenset[str]) -> bool:
     """Whether most words of a head-like line come from the document's name, two at least."""
     s, _ = bare_head(line)
     words = [skeleton(w) for w in re.findall(r"[\w@|]+", s) if any(c.isalpha() for c in w)]
@@ -98,10 +105,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for document, text in zip(pdf["document_id"], pdf["text"]):
             ws = words_of(text)
-            one.update(w for w in ws if _letters(w))
+            one.update(ws)
             two.update(zip(ws, ws[1:]))
-            if document is not None:
-                heads.update({(document, k) for line in text.split("\n") if len(line) < 110 and (k := head_key(line))})
+            if document is not None and "\n" in text:
+                heads.update({(document, k) for line in _HEADLIKE.findall(text) if (k := head_key(line))})
         if len(two) > 500_000:
             yield _counts(one, two, heads)
             one, two, heads = Counter(), Counter(), Counter()
@@ -109,7 +116,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _counts(one: Counter, two: Counter, heads: Counter) -> pd.DataFrame:
-    rows = [("word", w, None, n) for w, n in one.items()] + [("pair", a, b, n) for (a, b), n in two.items()] + [("head", d, k, n) for (d, k), n in heads.items()]
+    rows = [("word", w, None, n) for w, n in one.items() if _letters(w)] + [("pair", a, b, n) for (a, b), n in two.items()] + [("head", d, k, n) for (d, k), n in heads.items()]
     return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
 
 
@@ -143,15 +150,19 @@ class Lexicon:
                 form, n = self.best.get(skeleton(word), (word, 0))
             if form != word and (len(word) > 2 or not word.isalpha()) and n >= (RATIO if word.isalpha() else RATIO_SIGN) * self.words.get(word, self.floor / 4):
                 found = form
-        if len(self.known) > 500_000:
-            self.known.clear()
         self.known[word] = found
         return found
 
     def misread(self, ws: list[str]) -> list[tuple[int, str]]:
         """(place, right form) of the misread words among ``ws``."""
-        out = []
-        could = [self.candidate(w) for w in ws]
+        out: list[tuple[int, str]] = []
+        known = self.known
+        for w in set(ws):
+            if w not in known:
+                self.candidate(w)
+        could = [known[w] for w in ws]
+        if not any(could):
+            return out
         for i, g in enumerate(could):
             if g is None:
                 continue
@@ -197,15 +208,19 @@ def page_lines(lines: list[str], page: int | None) -> set[int]:
 def judge(text: str, document_id: str | None, metadata: str | None, repeated: set[str], lexicon: Lexicon) -> tuple[set[str], list[str]]:
     """(kinds of noise, repaired lines without heads and page numbers)."""
     noise: set[str] = set()
+    if "\n" not in text:  # one line: no line end to split at, and no line of its own for a head or number
+        if not lexicon.misread(words_of(text)):
+            return noise, [text]
     page, name = _page_of(metadata), name_keys(document_id)
     lines = text.split("\n")
+    headlike = set(_HEADLIKE.findall(text))
     numbers = page_lines(lines, page)
     kept = []
     for i, line in enumerate(lines):
         if i in numbers:
             noise.add("page_number")
             continue
-        key = head_key(line) if len(line) < 110 else None
+        key = head_key(line) if line.strip(" \t") in headlike or line.lstrip(" \t") in headlike else None
         if key and (named_head(line, name) or key in repeated):
             noise.add("header")
             _, beside = bare_head(line)
@@ -224,7 +239,7 @@ def judge(text: str, document_id: str | None, metadata: str | None, repeated: se
         noise.add("hyphen")
         return a + b + "\n"
 
-    body = re.sub(r"([^\W\d_][\w|@]*)[-­‐‑][ \t]*\r?\n\s*([^\W\d_|@][\w|@]*)", join, body)
+    body = _SPLIT_AROUND.sub(join, body)
     if "misread" in noise:
         spans = [m.span() for m in _WORD.finditer(_CODE.sub(lambda m: "_" * len(m.group()), body))]
         fixes = lexicon.misread(["0" if body[a:b].isdigit() else body[a:b].lower() for a, b in spans])
@@ -262,6 +277,8 @@ def _pass(lexicon: Lexicon, spark, lines: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(*shared.value)
         for pdf in batches:
+            if len(lex.known) > 500_000:
+                lex.known.clear()
             out = []
             for c, d, m, t, h, h_ in zip(pdf["chunk_id"], pdf["document_id"], pdf["metadata"], pdf["text"], pdf["heads"], pdf["row"]):
                 noise, kept = judge(t, d, m, set(h) if h is not None else set(), lex)
