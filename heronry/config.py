@@ -1,0 +1,77 @@
+"""Engine settings: two profiles, and the merge rule for overrides."""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass, fields, replace
+from typing import Any
+
+
+class ConfigError(ValueError):
+    """An override that no field takes or whose value does not fit."""
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    """Every tunable of retrieval; the defaults are those of the full profile."""
+
+    search_type: str = "hybrid"
+    retrieval_k: int = 20
+    rrf_k: int = 60
+    rerank: bool = True
+    rerank_top_k: int = 10
+    rerank_min_score: float = 0.5
+    rerank_min_keep: int = 3
+    retry: bool = True
+    retry_min_top_score: float = 0.12
+    late_chunk: bool = False
+    escalation: bool = False
+    escalation_max_documents: int = 1
+    escalation_token_budget: int = 6000
+    crossref_hop: bool = False
+    crossref_max_hops: int = 1
+    crossref_chunks_per_hop: int = 3
+    overview_prefilter: str = "off"
+    overview_top_documents: int = 5
+    context_window: int = 0
+    synthesis_token_budget: int = 12000
+    cache_threshold: float = 0.98
+    cache_ttl_seconds: int = 300
+    history_turns: int = 40
+    enrich_window: int = 1
+    pooled_first_stage: bool = True
+
+    def merged(self, *overrides: dict[str, Any]) -> EngineConfig:
+        """Overrides in order, the later winning; unknown names and wrong types are refused, None is skipped."""
+        kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}
+        values: dict[str, Any] = {}
+        for part in overrides:
+            for name, value in part.items():
+                if name not in kinds:
+                    raise ConfigError(f"unknown setting {name}")
+                if value is None:
+                    continue
+                kind = kinds[name]
+                if kind is float and isinstance(value, int) and not isinstance(value, bool):
+                    value = float(value)
+                if not isinstance(value, kind) or (kind is int and isinstance(value, bool)):
+                    raise ConfigError(f"{name} takes {kind.__name__}, not {value!r}")
+                values[name] = value
+        out = replace(self, **values)
+        if out.search_type not in ("hybrid", "vector_only", "fts_only"):
+            out = replace(out, search_type="hybrid")
+        return out
+
+    def as_dict(self) -> dict[str, Any]:
+        return asdict(self)
+
+
+PROFILES = {
+    "default": EngineConfig(),
+    "fast": EngineConfig(search_type="vector_only", retrieval_k=10, rerank=False, retry=False, pooled_first_stage=False),
+}
+
+
+def profile(name: str, *overrides: dict[str, Any]) -> EngineConfig:
+    if name not in PROFILES:
+        raise ConfigError(f"unknown profile {name}; there are {', '.join(sorted(PROFILES))}")
+    return PROFILES[name].merged(*overrides)
