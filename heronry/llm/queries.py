@@ -15,7 +15,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.rebuild_conversations(table(spark, d, "messages"), table(spark, d, "sessions"))
+    turns = conversations.rebuild_conversations(table(spark, d, "messages"), table(spark, d, "sessions"))
+    return turns.select("session_id", "turn", "message_id", "role", "content")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

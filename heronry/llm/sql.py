@@ -14,8 +14,7 @@ m as (
     not coalesce(regexp_matches(regexp_replace(content, '(?is)<think>.*?</think>', '', 'g'), '[\p{{L}}\p{{N}}]'), false) as blank
   from messages where session_id is not null)"""
 
-SQL: dict[str, str] = {
-    "p1_found": f"""
+_REASONS = f"""
 with {_MESSAGES},
 o as (
   select session_id, role,
@@ -34,8 +33,20 @@ r as (
     case when odd.odd is null then 'empty'
          when named.session_id not in (select id from sessions where id is not null) or odd.odd or first = 'assistant' or coalesce(aa, false) then 'broken'
          when coalesce(uu, false) or last = 'user' then 'missing_reply' end as reason
-  from named left join odd using (session_id) left join flow using (session_id))
-select session_id, reason from r where reason is not null""",
+  from named left join odd using (session_id) left join flow using (session_id))"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"{_REASONS} select session_id, reason from r where reason is not null",
+    "p1_conversations": f"""{_REASONS}
+select m.session_id, row_number() over (partition by m.session_id order by ts, role desc, id) as turn, id as message_id, role, content
+from m join r on r.session_id = m.session_id where reason is null and not blank""",
+    "p3_found": """
+with v as (select chunk_id, any_value(vector) as vector from text_pages
+  where chunk_id is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by chunk_id),
+u as (select chunk_id, cast(vector as double[64]) as x from v),
+c as (select a.chunk_id as a, b.chunk_id as b, array_cosine_similarity(a.x, b.x) as s from u a join u b on a.chunk_id <> b.chunk_id),
+n as (select a, b, row_number() over (partition by a order by s desc, b) as n from c where s >= 0.94)
+select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from n where n <= 10""",
     "p2_found": r"""
 with t as (select distinct chunk_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) as body from text_pages where length(text) > 1200),
 fits as (
