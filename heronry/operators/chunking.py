@@ -46,7 +46,7 @@ def split_markdown(text: str, most: int, least: int = 100) -> list[str]:
         for word in p.split():
             longer = f"{line} {word}" if line else word
             if line and quarter_tokens(longer) > most:
-                fitting.append(line)
+                fitting.append(line + " ")
                 line = word
             else:
                 line = longer
