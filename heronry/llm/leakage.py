@@ -105,7 +105,9 @@ def holds_run(passage: list, text: list, around: tuple[int, int], least: int = R
         for i in range(len(part) - size + 1):
             piece = part[i : i + size]
             if sum(w not in known for w in piece) <= size // ONE_IN and holds(piece, text):
-                return True
+                n = edits(piece, text)  # an edit at either end would only stretch a shorter run
+                if n == 0 or (edits(piece[1:], text) == n and edits(piece[:-1], text) == n):
+                    return True
     return False
 
 
@@ -174,6 +176,8 @@ def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], width: int,
     The rows are spread over the cluster; each round sums A'(A Q) over the partitions and
     orthogonalises the width x rank sum.
     """
+    if not rows or not width:
+        return np.zeros((width, 0))
     table = spark.createDataFrame([(c.tolist(), v.tolist()) for c, v in rows], "columns array<int>, vals array<double>").repartition(min(8, max(1, len(rows) // 500)))
     rank = min(rank, width, len(rows))
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, rank)))[0]
@@ -215,7 +219,7 @@ def latent_space(spark, items: Items, df: np.ndarray, total: int, rank: int = 12
         rows.append((c, v / (np.linalg.norm(v) or 1.0)))
     basis = randomised_svd(spark, rows, len(items.vocabulary), rank)
     project = (idf[:, None] * basis).astype("f4")
-    s = np.array([project[c].T @ (v / np.maximum(idf[c], 1e-12)) for c, v in rows], dtype="f4")
+    s = np.array([project[c].T @ (v / np.maximum(idf[c], 1e-12)) for c, v in rows], dtype="f4").reshape(len(rows), project.shape[1])
     s /= np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12)
     return Space(idf, project, s, 0.5 * min(weights, default=0.0))
 

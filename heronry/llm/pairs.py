@@ -173,7 +173,7 @@ def is_copy(prompt: list[str], response: list[str]) -> bool:
     while p < min(5, len(prompt) - 3) and prompt[p] in GREETING:
         p += 1
     bare = prompt[p:]
-    if max(containment(core, prompt), containment(core, prompt + prompt)) < 0.7:
+    if max(containment(core, prompt), containment(core, bare + bare)) < 0.7:
         return False
     shared = lcs(bare, core)
     return shared >= 0.55 * len(bare) and lcs(prompt + prompt if twice else prompt, core) >= 0.8 * len(core)

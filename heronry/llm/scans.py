@@ -38,6 +38,7 @@ _SPLIT_AROUND = re.compile(r"(?<![\w|@])([^\W\d_][\w|@]*)[-­‐‑][ \t]*\r?\n\
 _CODE = re.compile(r"\b[A-Z]{1,4}-\d{2,}(?:/\d+)?\b|\b[A-Z]\d{2,}[A-Z]?\b|(?<!\S)[^\s/\\_]*[/\\_]\S*|(?<!\S)[^\s@]+@\S+\.\S+")
 #: Lines that could be a head: no sentence, and a capital, sign or digit at the start.
 _HEADLIKE = re.compile(r"^[ \t]*([^\W_a-zà-ÿ](?:[^\n.!?;]|\.(?= ?\d)){3,100})$", re.M)
+_COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+-[^\W\d_]+(?![\w-])")
 _PAGE = re.compile(r"^(?:(?:p|pp|pg|page|seite|página|pagina|pág|s)\.?\s*|[-–—\[(|]\s*)?(\d{1,5})(?:\s*(?:/|of|von|de|sur)\s*\d{1,5})?(?:\s*[-–—\])|])?$", re.I)
 _MARKED = re.compile(r"[^\d\s]|\d\s*/\s*\d")
 _BESIDE = (re.compile(r"^(\d{1,5})\s*[|·•–—-]\s+(?=\D)"), re.compile(r"(?<=\S)(?:\s{2,}|\s*[|·•]\s*|\t)(\d{1,5})$"))
@@ -106,6 +107,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for document, text in zip(pdf["document_id"], pdf["text"]):
             ws = words_of(text)
             one.update(ws)
+            if "-" in text:
+                one.update(w.lower() for w in _COMPOUND.findall(text))
             two.update(zip(ws, ws[1:]))
             if document is not None and "\n" in text:
                 heads.update({(document, k) for line in _HEADLIKE.findall(text) if (k := head_key(line))})
