@@ -276,3 +276,119 @@ def similar_pairs(vectors: DataFrame, name: str = "chunk_id", vector: str = "vec
     """(<name>_a, <name>_b): pairs of which one is among the ``k`` nearest of the other; the smaller name first."""
     s = similar(vectors, name, vector, k, how)
     return s.select(F.least(name, "neighbour").alias(f"{name}_a"), F.greatest(name, "neighbour").alias(f"{name}_b")).distinct()
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best columns of each row."""
+    if scores.shape[1] > k:
+        at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    return scores, ids
+
+
+class _Board:
+    """The best ``k`` of everything shown so far, for a fixed set of queries."""
+
+    def __init__(self, names: np.ndarray, units: np.ndarray, k: int, step: int = 1024):
+        self.names, self.units, self.k, self.step = names, units, k, step
+        self.score = np.full((len(names), k), -2.0, "f4")
+        self.id = np.zeros((len(names), k), "u8")
+
+    def show(self, names: np.ndarray, x: np.ndarray) -> None:
+        for a in range(0, len(self.names), self.step):
+            s = self.units[a : a + self.step] @ x.T
+            least = self.score[a : a + self.step].min(1)
+            if len(least) and least.min() < -1.5 and s.shape[1] > 4 * self.k:  # nothing to beat yet: no more than the best few
+                c = np.argpartition(-s, self.k, axis=1)[:, : self.k + 1].ravel()
+                r = np.repeat(np.arange(len(s)), self.k + 1)
+            else:
+                r, c = np.nonzero(s > least[:, None])
+            other = names[c] != self.names[a + r]
+            r, c = r[other], c[other]
+            if not len(r):
+                continue
+            v = s[r, c]
+            order = np.lexsort((-v, r))
+            r, c, v = r[order], c[order], v[order]
+            first = np.searchsorted(r, r)  # place within the row: more than k of one row cannot all stay
+            r, c, v = (z[np.arange(len(r)) - first < self.k] for z in (r, c, v))
+            rows, start, n = np.unique(r, return_index=True, return_counts=True)
+            more_s, more_i = np.full((len(rows), self.k), -2.0, "f4"), np.zeros((len(rows), self.k), "u8")
+            place = np.arange(len(r)) - np.repeat(start, n)
+            owner = np.repeat(np.arange(len(rows)), n)
+            more_s[owner, place], more_i[owner, place] = v, names[c]
+            at = a + rows
+            self.score[at], self.id[at] = _best(np.concatenate([self.score[at], more_s], 1), np.concatenate([self.id[at], more_i], 1), self.k)
+
+
+def _scan(shared, k: int, width: int, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        board = _Board(*shared.value, k)
+        seen: set[int] = set()
+        for batch in batches:
+            at, x = usable_unit(batch.column(0), width)
+            h = batch.column(1).to_numpy(zero_copy_only=False)[at].astype("i8").view("u8")
+            fresh = [i for i, z in enumerate(h.tolist()) if not (z in seen or seen.add(z))]
+            board.show(h[fresh], x[fresh])
+        starts = range(0, len(board.names), block)
+        blobs = [board.score[a : a + block].tobytes() for a in starts], [board.id[a : a + block].tobytes() for a in starts]
+        yield pa.RecordBatch.from_arrays([pa.array(list(range(len(starts))), pa.int32()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=["block", "scores", "ids"])
+
+    return run
+
+
+def _merge(shared, k: int, block: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = shared.value[0][int(pdf["block"].iloc[0]) * block :][:block]
+        s = np.concatenate([np.frombuffer(b, "f4").reshape(-1, k) for b in pdf["scores"]], axis=1)
+        i = np.concatenate([np.frombuffer(b, "u8").reshape(-1, k) for b in pdf["ids"]], axis=1)
+        order = np.lexsort((i, -s), axis=1)
+        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        rank = np.zeros(s.shape, "i4")
+        for row in range(len(s)):  # a name that two tasks saw counts once
+            used: set[int] = set()
+            for j in range(s.shape[1]):
+                if len(used) == k or s[row, j] < -1.5:
+                    break
+                if i[row, j] not in used:
+                    used.add(i[row, j])
+                    rank[row, j] = len(used)
+        r, c = np.nonzero(rank)
+        return pd.DataFrame({"h": names[r].view("i8"), "n": i[r, c].view("i8"), "rank": rank[r, c], "cosine": s[r, c].astype("f8")})
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, name: str = "chunk_id", vector: str = "vector", k: int = 10, width: int = 64, at_once: int = 100_000, block: int = 2048) -> DataFrame:
+    """(name, neighbour, rank, cosine): the ``k`` nearest of all usable vectors for each usable query, exactly.
+
+    A stated query set against all rows, in blocks: at most about ``at_once`` queries (256 bytes each) are sent to the
+    tasks, more go in several passes.  A task keeps a board of the best ``k`` for every query and gives one packed
+    block per ``block`` queries; boards are merged block by block.  Names delivered more than once count once; a
+    query is not its own neighbour; a null name is left out.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col(name).isNotNull()).select(vector, F.col(name).alias("name"))
+    asked = queries.where(F.col(name).isNotNull()).select(vector, F.col(name).alias("name")).dropDuplicates(["name"])
+    groups = max(1, math.ceil(asked.count() / at_once))
+    parts = []
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = usable_unit(batch.column(0), width)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array([v.tobytes() for v in x], pa.binary())], names=["h", "unit"])
+
+    for g in range(groups):
+        some = asked.select(vector, F.xxhash64("name").alias("h")).where(F.pmod("h", F.lit(groups)) == g)
+        mine = some.mapInArrow(hashed, "h long, unit binary").toPandas()
+        ids, units = mine["h"].to_numpy("i8").view("u8"), np.frombuffer(b"".join(mine["unit"]), "f4").reshape(-1, width)
+        shared = spark.sparkContext.broadcast((ids, units))
+
+        boards = rows.select(vector, F.xxhash64("name").alias("h")).coalesce(2 * parallelism(spark)).mapInArrow(_scan(shared, k, width, block), "block int, scores binary, ids binary")
+        parts.append(boards.groupBy("block").applyInPandas(_merge(shared, k, block), "h long, n long, rank int, cosine double"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    named = rows.select("name", F.xxhash64("name").alias("key")).distinct()
+    out = found.join(named.select(F.col("key").alias("h"), F.col("name").alias(name)), "h").join(named.select(F.col("key").alias("n"), F.col("name").alias("neighbour")), "n")
+    return out.select(name, "neighbour", "rank", "cosine")

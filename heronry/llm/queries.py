@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heronry.llm import abuse, consensus, conversations, encoding, leakage, neighbours, pairs, scans, splitting
 from heronry.sources.tables import table
@@ -23,6 +24,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "text_pages"))
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The search form: queries are the chunks whose index is divisible by 20, against all rows."""
+    pages = table(spark, d, "text_pages")
+    out = neighbours.nearest(pages, pages.where("chunk_index % 20 = 0"))
+    return out.select("chunk_id", "neighbour", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, d, "messages")).select("message_id", "defect")
 
@@ -80,5 +88,5 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_repaired, p6_found, p6_items, p6_voters, p7_ids, p8_found, p9_found, p9_scores, p9_source_rates)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_nearest, p4_found, p5_found, p5_repaired, p6_found, p6_items, p6_voters, p7_ids, p8_found, p9_found, p9_scores, p9_source_rates)
 }

@@ -53,3 +53,19 @@ def test_size_of_tables_follows_the_rows():
     big = N.Hashing().for_rows(3_200_000)
     assert (big.hashes, big.tables) == (15, 6)
     assert len(N.Hashing().probe_sets()) == 5
+
+
+def test_exact_search_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = [f"v{i:04d}" for i in range(len(x))]
+    rows = [(n, v.tolist()) for n, v in zip(names, x)]
+    df = spark.createDataFrame([*rows, *rows[:50], (None, rows[0][1]), ("bad", [1.0]), ("zero", [0.0] * 64)], "chunk_id string, vector array<float>").repartition(5)
+    asked = df.where("chunk_id is null or substring(chunk_id, 5, 1) = '0' or chunk_id in ('bad', 'zero')")
+    got = {}
+    for r in N.nearest(df, asked, at_once=40, block=7).orderBy("chunk_id", "rank").collect():
+        got.setdefault(r["chunk_id"], []).append(r["neighbour"])
+    want = _brute(names, x, 10, -1)
+    assert got == {n: want[n] for n in names if n[4] == "0"}
+    assert N.nearest(df, asked.where("false")).count() == 0
