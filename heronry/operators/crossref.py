@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PER_CHUNK = 8
+#: Words of the longest document name that is looked for in texts.
+LONGEST_NAME = 32
 LEAST_NAME_CHARACTERS, LEAST_NAME_WORDS = 6, 2
 # --- fixed values: the words of a label and of a section ------------------------------------
 LABELS = ("exhibit", "appendix", "schedule", "annex", "attachment", "addendum")
@@ -52,16 +54,19 @@ def labels(chunks: DataFrame) -> DataFrame:
 def mentions(chunks: DataFrame, known: DataFrame) -> DataFrame:
     """(chunk_id, document_id, kind, ref, position, target_doc): names of other documents in a chunk's text, the longest first.
 
-    A name of n words is met as a run of n words, so the join is on equality and not every text against every name.
+    A name of n words is met as a run of n words, so both joins are on equality: first the places where a name's
+    first word stands, then the runs of those places that are a name.
     """
-    usable = known.where((F.length("name") >= LEAST_NAME_CHARACTERS) | (F.size(F.split("name", " ")) >= LEAST_NAME_WORDS)).withColumn("n", F.size(F.split("name", " ")))
-    sizes = [r["n"] for r in usable.select("n").distinct().collect()]  # word counts of names: a handful
+    usable = known.where((F.length("name") >= LEAST_NAME_CHARACTERS) | (F.size(F.split("name", " ")) >= LEAST_NAME_WORDS))
+    usable = usable.select("name", "target_doc", F.split("name", " ")[0].alias("first"), F.size(F.split("name", " ")).alias("n"))
+    starts = usable.groupBy("first").agg(F.collect_set("n").alias("sizes"))
     words = chunks.select("chunk_id", "document_id", F.filter(F.split(plain_words(F.col("text")), " "), lambda w: w != "").alias("ws"))
-    runs = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - (n - 1))), lambda i: F.lit(n) + i - 1 <= F.size("ws")), lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " ")) for n in sizes]
-    if not runs:
-        return words.select("chunk_id", "document_id", F.lit("document").alias("kind"), F.lit("").alias("ref"), F.lit(0).alias("position"), F.lit("").alias("target_doc")).where("false")
-    grams = words.select("chunk_id", "document_id", F.explode(F.array_distinct(F.concat(*runs))).alias("name"))
-    found = grams.join(usable, "name").where(~F.col("target_doc").eqNullSafe(F.col("document_id")) & ~F.coalesce(F.col("name") == plain_name(F.col("document_id")), F.lit(False)))
+    places = words.select("chunk_id", "document_id", "ws", F.posexplode("ws").alias("i", "first"))
+    tail = F.slice("ws", F.col("i") + 1, F.lit(LONGEST_NAME)).alias("tail")
+    near = places.select("chunk_id", "document_id", "first", tail).join(starts, "first")
+    few = near.select("chunk_id", "document_id", "tail", F.explode("sizes").alias("n")).where((F.col("n") <= LONGEST_NAME) & (F.size("tail") >= F.col("n")))
+    grams = few.select("chunk_id", "document_id", F.array_join(F.slice("tail", F.lit(1), F.col("n")), " ").alias("name")).distinct()
+    found = grams.join(usable.select("name", "target_doc"), "name").where(~F.col("target_doc").eqNullSafe(F.col("document_id")) & ~F.coalesce(F.col("name") == plain_name(F.col("document_id")), F.lit(False)))
     order = Window.partitionBy("chunk_id", "document_id").orderBy(F.desc(F.length("name")), "name")
     return found.select("chunk_id", "document_id", F.lit("document").alias("kind"), F.col("name").alias("ref"), (F.row_number().over(order) - 1).alias("position"), "target_doc")
 
