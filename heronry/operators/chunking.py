@@ -152,3 +152,20 @@ def enriched(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
     joined = chunks.join(summaries.select("chunk_id", "summary"), "chunk_id", "left")
     text = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("Context: "), "summary", F.lit("\n\n---\n\n"), "text")).otherwise(F.col("text"))
     return joined.withColumn("original_text", F.col("text")).withColumn("text", text).drop("summary")
+
+
+def late_windows(position, most: int):
+    """Which window of ``most`` tokens a token's vector is taken from: windows start every three quarters, the first that has it wins."""
+    step = max(1, most * 3 // 4)
+    return F.when(position < most, F.lit(0)).otherwise(F.ceil((position - most + 1) / step)).cast("int")
+
+
+def pooled_spans(token_vectors: DataFrame, places: DataFrame) -> DataFrame:
+    """(chunk_id, vector): the mean of the token vectors (document_id, at, vector) inside a chunk's span [start, end); NaN counts as 0.
+
+    A chunk without a token has no row.
+    """
+    inside = token_vectors.join(places.select("chunk_id", "document_id", "start", "end"), "document_id").where("at >= start and at < end")
+    each = inside.select("chunk_id", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
+    means = each.groupBy("chunk_id", "i").agg(F.avg(F.nanvl("x", F.lit(0.0))).alias("x"))
+    return means.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
