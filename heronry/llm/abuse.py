@@ -24,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.session import cut_lineage
 
 BUCKETS = 1 << 16
-#: Statements the classifier is fitted on, at most, of those with votes and of those without.
-SAMPLE = 20_000
+#: Statements the classifier is fitted on, at most: without votes, and of each pattern of votes.
+SAMPLE, EACH = 20_000, 400
 
 # --- fixed values: words, by what they are taken for ------------------------------------------
 INSULTS = set(
@@ -379,58 +379,69 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.b + sums, -30, 30)))
 
 
-def _gather(sample: int):
+def _gather(sample: int, each: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        kept: dict[bool, list] = {True: [], False: []}
+        heaps: dict[int, list] = {}
+        inside: dict[int, set] = {}
         for pdf in batches:
             for t in pdf["text"]:
                 for s in statements(t):
                     bits, p = votes(s)
                     counts[bits] += 1
-                    h = zlib.crc32(p.encode())
-                    heap = kept[bits > 0]
-                    if len(heap) < sample:
-                        heapq.heappush(heap, (-h, bits, p[:2000]))
-                    elif -h > heap[0][0]:
-                        heapq.heapreplace(heap, (-h, bits, p[:2000]))
+                    h = zlib.crc32(p.encode("utf-8", "surrogatepass"))
+                    heap, known, most = heaps.setdefault(bits, []), inside.setdefault(bits, set()), each if bits else sample
+                    if h in known or len(heap) == most and -h <= heap[0][0]:
+                        continue
+                    known.add(h)
+                    if len(heap) < most:
+                        heapq.heappush(heap, (-h, p[:2000]))
+                    else:
+                        known.discard(-heapq.heapreplace(heap, (-h, p[:2000]))[0])
         rows = [("count", b, n, None) for b, n in counts.items()]
-        rows += [("voted" if voted else "silent", b, -h, p) for voted, heap in kept.items() for h, b, p in heap]
+        rows += [("statement", b, -h, p) for b, heap in heaps.items() for h, p in heap]
         yield pd.DataFrame(rows, columns=["kind", "bits", "n", "statement"])
 
     return run
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Linear]:
-    """The label model of the whole corpus' votes, and the classifier fitted on at most 2 x ``sample`` statements."""
-    gathered = documents.where("text is not null").select("text").mapInPandas(_gather(sample), "kind string, bits int, n long, statement string")
+def fit(documents: DataFrame, sample: int = SAMPLE, each: int = EACH) -> tuple[LabelModel, Linear]:
+    """The label model of the whole corpus' votes, and the classifier fitted on a bounded sample of distinct statements.
+
+    At most ``each`` statements of every vote pattern and ``sample`` without a vote, those with the smallest hashes, so
+    that rare patterns are seen however large the corpus is.
+    """
+    gathered = documents.where("text is not null").select("text").mapInPandas(_gather(sample, each), "kind string, bits int, n long, statement string")
     gathered = cut_lineage(gathered)
     counts = {r["bits"]: r["n"] for r in gathered.where("kind = 'count'").groupBy("bits").agg(F.sum("n").alias("n")).collect()}  # at most 2 ** voters rows
     model = LabelModel(counts)
-    rows = []
-    for kind in ("voted", "silent"):
-        chosen = gathered.where(F.col("kind") == kind).select("n", "bits", "statement").distinct().orderBy("n", "statement").limit(sample)
-        rows += [(r["bits"], r["statement"]) for r in chosen.collect()]
+    place = F.row_number().over(Window.partitionBy("bits").orderBy("n", "statement"))
+    distinct = gathered.where("kind = 'statement'").select("n", "bits", "statement").distinct()
+    chosen = distinct.withColumn("place", place).where(F.col("place") <= F.when(F.col("bits") > 0, each).otherwise(sample)).where(F.col("place") <= max(each, sample))
+    rows = [(r["bits"], r["statement"]) for r in chosen.orderBy("bits", "place").collect()]
     return model, Linear(rows, [model.posterior(b) for b, _ in rows])
 
 
 def scores(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, source, score, n_statements, worst): for every document the score of its worst statement.
 
+    A statement's score is the mean of the classifier's probability and the posterior of its votes.
     Null, empty and blank texts have no statement and score 0; documents with the same text score alike.
     ``worst`` is that statement as it is read.
     """
     model, linear = fit(documents, sample)
-    shared = documents.sparkSession.sparkContext.broadcast((linear.w, linear.b))
+    posterior = np.array([model.posterior(b) for b in range(1 << len(VOTERS))])
+    shared = documents.sparkSession.sparkContext.broadcast((linear.w, linear.b, posterior))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lin = Linear()
-        lin.w, lin.b = shared.value
+        lin.w, lin.b, posterior = shared.value
         for pdf in batches:
             said = [statements(t) for t in pdf["text"]]
             n = np.array([len(x) for x in said], dtype="i8")
             flat = [s for x in said for s in x]
-            value = lin.scores([votes(s) for s in flat]) if flat else np.empty(0)
+            heard = [votes(s) for s in flat]
+            value = (lin.scores(heard) + posterior[[b for b, _ in heard]]) / 2 if flat else np.empty(0)
             best, worst, at = np.zeros(len(pdf)), [None] * len(pdf), 0
             for i, k in enumerate(n):
                 if k:
