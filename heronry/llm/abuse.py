@@ -6,9 +6,12 @@ letters, stars, stretched and spaced-out words, invisible characters.  How often
 pattern of votes occurs is counted over the whole corpus; from these counts a
 generative label model estimates, by expectation-maximisation, how accurate each voter
 is, and how voters are correlated beyond the label, which divides their weight.  Its
-posterior labels a bounded sample of statements; a linear classifier over votes,
-words and word pairs is trained on them and scores every statement.  A document's
-score is that of its worst statement.
+posterior labels a bounded sample of statements with votes; a linear classifier over
+votes, words and word pairs is trained on them and scores every statement.  Each of
+them is shown to it once more without its votes, so that its words have to speak.  A
+sampled statement without votes has no label: it gets the judgement of a classifier
+that has not seen it.  Where no voter speaks, the classifier alone decides.  A
+document's score is that of its worst statement.
 
 Both passes are maps; what is shuffled is one row per vote pattern and task.
 """
@@ -54,18 +57,21 @@ SLURS = set(
     verdammter verdammte verdammtes dummes dummer dumme widerliches widerlicher widerliche dreckiges dreckige dreckiger
     sale sales pauvre minable inútil asqueroso asquerosa basura""".split()
 )
-GROUPS = set("foreigners foreigner immigrants immigrant migrants refugees muslims jews blacks gays arabs gypsies dorvani keshfolk ulmarites oldmarshers brask women ausländer flüchtlinge étrangers immigrés extranjeros inmigrantes".split())
+GROUPS = set("foreigners foreigner immigrants immigrant migrants refugees muslims jews blacks gays arabs gypsies women ausländer flüchtlinge étrangers immigrés extranjeros inmigrantes".split())
 EXPLICIT = set(
     """porn porno porns tits titties boobs pussy horny blowjob blowjobs dildo orgasm cum cumshot masturbate masturbating handjob
     titten geil ficken fick gefickt bumsen muschi baiser nichons branler follar follando tetas polla coño cachonda cachondo""".split()
 )
-OTHER_DISGUISED = set("vermin thieves naked nude sex choke turnip primitive whores lazy liars cages shit fuck kill die hang rape ugly breath clothes laid escorts misery".split())
+OTHER_DISGUISED = set("vermin thieves naked nude sex choke primitive whores lazy liars cages shit fuck kill die hang rape ugly breath clothes laid escorts misery".split())
 
 # --- fixed values: patterns over the plain statement ------------------------------------------
 _P = lambda *x: re.compile("|".join(x))
+_BAD = "|".join(sorted(SLURS | INSULTS))
+_PERSON = "|".join(sorted(INSULTS | GROUPS | set("man men woman person people boy boys girl girls guy guys kid kids child children team clerk officer colleague colleagues human humans creature creatures".split())))
+_THING = "rain|snow|ice|weather|wind|heat|dust|thing|things|machine|machines|device|pump|valve|filter|relay|cable|plug|switch|screw|hose|pipe|printer|computer|software|battery|batteries|door|box|manual|form|traffic|noise"
 ATTACK = _P(
-    r"\bshut (?:the \w+ )?up\b", r"\byou (?:are|'re|re) (?:an?|such an?|nothing but an?) (?:\w+ ){0,3}\w+", r"\bwaste of (?:oxygen|space|skin|air)\b", r"\bcrawl back\b", r"\bunder the rock you\b",
-    r"\bquit your job\b", r"\b(?:did )?your parents drop(?:ped)? you\b", r"\bhow can one person be\b", r"\bbrain of an? \w+ \w+", r"\bmy dog writes\b", r"\bevery last one of them\b", r"\bthat is all i have to say about\b",
+    r"\bshut (?:the \w+ )?up\b", r"\byou (?:are|'re|re) (?:an?|such an?|nothing but an?) (?:\w+ ){0,3}\w+", r"\bwaste of (?:oxygen|space|skin|air)\b", r"\b(?:crawl|creep|slither) (?:back|off|away)\b",
+    r"\b(?:parents|mother|father|mum|mom|dad) (?:\w+ )?(?:drop(?:ped)?|regret(?:s|ted)?|abandon(?:ed)?) you\b", rf"\bhow (?:can|could) (?:one|any|an?) \w+ be (?:this|so|that) (?:{_BAD})\b", r"\b(?:have|has|got|with) (?:the |an? )?(?:brains?|iq|wits?|intelligence) of an? \w+", r"\bmy (?:dog|cat|goldfish|hamster|parrot|grandma|grandmother|toddler) (?:can |could |would )?\w+ (?:\w+ ){0,2}better\b",
     r"\byou should be ashamed\b", r"\bgo to hell\b", r"\bfuck (?:you|off|yourself)\b", r"\bpiece of (?:shit|garbage|trash|filth)\b", r"\bscrew you\b",
     r"\bdu bist ein", r"\bhalt(?:e)? (?:\w+ )?(?:die fresse|das maul|die klappe)\b", r"\bstück dreck\b", r"\bverpiss dich\b", r"\bfick dich\b", r"\bferme ta gueule\b", r"\bta gueule\b", r"\bespèce de\b", r"\bva te faire\b", r"\bt'?es (?:vraiment )?une?\b", r"\bfils de pute\b", r"\bcállate\b", r"\beres una?\b", r"\bpedazo de\b", r"\bhij[oa] de puta\b", r"\bvete a la mierda\b",
 )
@@ -75,16 +81,16 @@ THREAT = _P(
     r"\bich (?:bring|mach|schlag)e? (?:dich|dir)\b", r"\bwir wissen,? wo du wohnst\b", r"\bje vais te (?:tuer|casser|crever|péter)\b", r"\bon sait où tu habites\b", r"\bte voy a (?:matar|romper|partir|reventar)\b", r"\bsabemos dónde vives\b",
 )
 HATE = _P(
-    r"\b(?:are|is|of) (?:all )?(?:nothing but )?(?:vermin|parasites|animals|cockroaches|rats|subhuman|subhumans|savages|scum|filth)\b", r"\bthieves and liars\b", r"\bliars by birth\b", r"\bwiped off the map\b", r"\b(?:belong|lock them|put them) in (?:cages|camps)\b", r"\bdo(?:n'?t| not) deserve (?:the air|to live|to breathe|to exist)\b", r"\bsend them (?:all )?back\b", r"\bwhere they crawled out\b", r"\btoo lazy to work\b", r"\btoo (?:primitive|stupid|dirty|backward|dumb) (?:for|to)\b",
-    r"\bshould be thrown out\b", r"\btheir blood is\b", r"\bone more of these\b.*\bsick\b", r"\bkeep (?:the |those |these )?\w+(?: people)? out\b", r"\bdon'?t want any\b.*\bnear\b", r"\btypical for\b.*\btoo\b", r"\bnever hire\b", r"\bwent? back to (?:your|their) country\b", r"\bgo back to (?:your|their) (?:own )?country\b", r"\bexterminat", r"\bdeport them all\b",
+    r"\b(?:are|is|of) (?:all )?(?:nothing but )?(?:vermin|parasites|animals|cockroaches|rats|subhuman|subhumans|savages|scum|filth)\b", r"\b(?:are|is) (?:all )?(?:born )?(?:thieves|liars|criminals|crooks|rapists|murderers)\b", r"\b(?:thieves|liars|criminals|crooks|cheats|murderers) (?:by|from) (?:birth|nature|blood)\b", r"\b(?:wiped?|erased?) (?:\w+ ){0,2}(?:off|from) (?:the (?:map|face|earth|planet)|this (?:earth|planet))\b", r"\b(?:belong|lock them|put them) in (?:cages|camps)\b", r"\bdo(?:n'?t| not) deserve (?:the air|to live|to breathe|to exist)\b", r"\bsend them (?:all )?back\b", r"\bwhere(?:ver)? they (?:crawled|slithered)\b", r"\btoo (?:lazy|stupid|dumb|dirty) to (?:work|learn|read|think|wash)\b", r"\btoo (?:primitive|stupid|dirty|backward|dumb) (?:for|to)\b",
+    r"\bshould be thrown out\b", r"\btheir (?:blood|race|genes) (?:is|are|must|will)\b", r"\bone more of (?:these|those|them)\b.*\b(?:sick|puke|vomit|scream)\b", r"\bkeep (?:the |those |these )?\w+(?: people)? out\b", r"\bdon'?t want any\b.*\bnear\b", r"\btypical (?:for|of)\b.*\btoo (?:lazy|stupid|dumb|dirty|greedy|primitive)\b", r"\bnever hire\b", r"\bwent? back to (?:your|their) country\b", r"\bgo back to (?:your|their) (?:own )?country\b", r"\bexterminat", r"\bdeport them all\b",
     r"\bgehör(?:t|en) (?:alle )?(?:ausgerottet|vergast|abgeschoben|eingesperrt|erschossen|weggesperrt)\b", r"\bdieses pack\b", r"\bungeziefer\b", r"\buntermensch", r"\bausländer raus\b", r"\bsont (?:tous )?de la vermine\b", r"\bqu'?on les chasse\b", r"\bsales? (?:arabe|juif|noir|étranger)s?\b", r"\bes(?:a|tos|ta|os) gente es una plaga\b", r"\bes una plaga\b", r"\becharl[ao]s? a patadas\b", r"\bson (?:todos )?(?:ratas|una plaga|escoria|basura)\b",
 )
 SEXUAL = _P(
-    r"\bsee you naked\b", r"\bso horny\b", r"\bmouth all over me\b", r"\bwet dreams?\b", r"\b(?:her|his|your|my) (?:tits|cock|dick|pussy|ass)\b", r"\bnud(?:e|es) (?:pics?|photos?|pictures?|selfies?|videos?)\b", r"\bhardcore\b.*\b(?:clips?|videos?|porn)\b", r"\bsex (?:tapes?|videos?|slaves?|chat|clips?)\b", r"\bget laid\b", r"\btake off your clothes\b", r"\bclothes on camera\b", r"\b(?:cheap |hot )?escorts?,? (?:full|all night) service\b", r"\bdiscreet hotel visits\b", r"\bhot singles\b", r"\bwhat (?:he|she|i) would do to (?:her|him|you) in bed\b", r"\bxxx\b.*\b(?:videos?|clips?)\b", r"\bnaked (?:girls|women|boys|men|pics|photos)\b", r"\bsuck my\b", r"\bcum (?:on|in|all)\b", r"\bspread your legs\b",
+    r"\bsee (?:you|her|him|them) naked\b", r"\bso horny\b", r"\b(?:mouth|lips|tongue|hands|body) all over (?:me|my|you|her|him)\b", r"\bwet dreams?\b", r"\b(?:her|his|your|my) (?:tits|cock|dick|pussy|ass)\b", r"\bnud(?:e|es) (?:pics?|photos?|pictures?|selfies?|videos?)\b", r"\bhardcore\b.*\b(?:clips?|videos?|porn)\b", r"\bsex (?:tapes?|videos?|slaves?|chat|clips?)\b", r"\bget laid\b", r"\b(?:take|strip|rip) off (?:your|her|his) (?:clothes|shirt|dress|bra|panties)\b", r"\b(?:strip|undress|naked|clothes) (?:for me )?on (?:camera|cam|webcam)\b", r"\b(?:cheap |hot )?escorts?,? (?:full|all night) service\b", r"\bdiscreet (?:hotel |home )?(?:visits?|encounters?|sex)\b", r"\bhot singles\b", r"\b(?:do|did|doing) (?:to|with) (?:her|him|you|me) in bed\b", r"\bxxx\b.*\b(?:videos?|clips?)\b", r"\bnaked (?:girls|women|boys|men|pics|photos)\b", r"\bsuck my\b", r"\bcum (?:on|in|all)\b", r"\bspread your legs\b",
     r"\bnackt(?:bilder|fotos|e frauen| sehen)\b", r"\bso geil\b", r"\bmit (?:dir|ihr) ins bett\b", r"\b(?:te|vous) voir (?:nue?|à poil)\b", r"\bau lit avec\b", r"\bphotos? (?:de )?nues?\b", r"\bverte desnud[ao]\b", r"\bfotos desnud[ao]s?\b", r"\bacostarme contigo\b", r"\bvideos? porno\b",
 )
 TECHNICAL = _P(
-    r"\b(?:idiot|fool)[- ]?proof\b", r"\bbastard (?:file|sword|size|cut)\b", r"\bnaked (?:conductor|wire|eye|cable|flame)\b", r"\bwire stripper\b", r"\bdumb terminal\b", r"\bstupid[- ]simple\b", r"\bmale and female\b", r"\bmaster and slave\b", r"\bbreast ?feeding\b", r"\bpenetration test\b", r"\bchoke (?:the|valve|coil|point)\b", r"\bgood riddance\b", r"\bbloody (?:monday|mary|sunday)\b", r"\b(?:worthless|useless|dirty|filthy) (?:batter|filter|pump|valve|cable|screw|part|rag|cloth)", r"\bkill(?:ed)? (?:the|after|by|all) (?:\w+ )?(?:process|background|connections?|\d)", r"\bdamned (?:rain|thing|weather|wind)\b", r"\bthis pathetic little\b", r"\bcock ?pit\b", r"\bstopcock\b",
+    r"\b(?:idiot|fool)[- ]?proof\b", r"\bbastard (?:file|sword|size|cut)\b", r"\bnaked (?:conductor|wire|eye|cable|flame)\b", r"\bwire stripper\b", r"\bdumb terminal\b", r"\bstupid[- ]simple\b", r"\bmale and female\b", r"\bmaster and slave\b", r"\bbreast ?feeding\b", r"\bpenetration test\b", r"\bchoke (?:the|valve|coil|point)\b", r"\bgood riddance\b", r"\bbloody (?:monday|mary|sunday)\b", r"\b(?:worthless|useless|dirty|filthy) (?:batter|filter|pump|valve|cable|screw|part|rag|cloth)", r"\bkill(?:ed)? (?:the|after|by|all) (?:\w+ )?(?:process|background|connections?|\d)", rf"\b(?:damned?|bloody|blasted|wretched) (?:{_THING})\b", rf"\b(?:this|that) (?:pathetic|useless|stupid|silly|wretched|damned|bloody) (?:little|old|cheap) (?!(?:{_PERSON})\b)\w+", r"\bcock ?pit\b", r"\bstopcock\b",
 )
 RULES = _P(
     r"\b(?:harassment|insult(?:s|ing)?|hateful remarks|abusive conduct|abuse|discrimination|hate speech)\b.*\b(?:report(?:ed)?|handled|removed|forbidden|prohibited|victims?|reach|not tolerated|deleted|blocked|posts?)\b", r"\bvictims? of\b", r"\bmoderators? (?:removed|deleted|hid)\b", r"\b(?:adult|sexual|explicit) content is (?:blocked|forbidden|not allowed|filtered)\b", r"\bsexual (?:health|harassment|education|orientation)\b", r"\b(?:colleagues|staff|employees) celebrate\b", r"\breceive help\b", r"\bmay not be (?:insulted|called)\b", r"\bpolicy\b.*\b(?:abusive|hateful|sexual)\b",
@@ -419,13 +425,37 @@ def fit(documents: DataFrame, sample: int = SAMPLE, each: int = EACH) -> tuple[L
     distinct = gathered.where("kind = 'statement'").select("n", "bits", "statement").distinct()
     chosen = distinct.withColumn("place", place).where(F.col("place") <= F.when(F.col("bits") > 0, each).otherwise(sample)).where(F.col("place") <= max(each, sample))
     rows = [(r["bits"], r["statement"]) for r in chosen.orderBy("bits", "place").collect()]
-    return model, Linear(rows, [model.posterior(b) for b, _ in rows])
+    return model, train(model, rows)
+
+
+def train(model: LabelModel, rows: list[tuple[int, str]]) -> Linear:
+    """The classifier of sampled statements.
+
+    Statements without votes are halved by turns; each half is judged by a classifier that takes the other half for
+    background, and that judgement is its label in the last fit.
+    """
+    voted = [r for r in rows if r[0]]
+    silent = [r for r in rows if not r[0]]
+    known = voted + [(0, s) for _, s in voted]
+    labels = [model.posterior(b) for b, _ in voted] * 2
+    judged = np.full(len(silent), model.silent)
+    for half in (0, 1):
+        other = silent[1 - half :: 2]
+        if voted and other and silent[half::2]:
+            judged[half::2] = Linear(known + other, labels + [model.silent] * len(other)).scores(silent[half::2])
+    return Linear(known + silent, labels + judged.tolist())
+
+
+def combined(model_scores: np.ndarray, posterior: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The mean of classifier and posterior where a voter speaks, the classifier's score where none does."""
+    return np.where(bits > 0, (model_scores + posterior) / 2, model_scores)
 
 
 def scores(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, source, score, n_statements, worst): for every document the score of its worst statement.
 
-    A statement's score is the mean of the classifier's probability and the posterior of its votes.
+    A statement's score is the mean of the classifier's probability and the posterior of its votes; without votes it is
+    the classifier's probability.
     Null, empty and blank texts have no statement and score 0; documents with the same text score alike.
     ``worst`` is that statement as it is read.
     """
@@ -441,7 +471,8 @@ def scores(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
             n = np.array([len(x) for x in said], dtype="i8")
             flat = [s for x in said for s in x]
             heard = [votes(s) for s in flat]
-            value = (lin.scores(heard) + posterior[[b for b, _ in heard]]) / 2 if flat else np.empty(0)
+            bits = np.array([b for b, _ in heard], dtype="i8")
+            value = combined(lin.scores(heard), posterior[bits], bits) if flat else np.empty(0)
             best, worst, at = np.zeros(len(pdf)), [None] * len(pdf), 0
             for i, k in enumerate(n):
                 if k:

@@ -48,3 +48,22 @@ def test_documents(spark):
     rates = {r["source"]: (r["n_documents"], r["n_flagged"]) for r in A.source_rates(df).collect()}
     assert rates == {"n": (3, 0), "web": (len(CLEAN) + 7, 7), None: (9, 9)}
     assert A.flagged(df.where("false")).count() == 0
+
+
+def test_classifier_adds_documents_without_votes(spark):
+    filler = "The pump is checked every week. Spare parts are listed in the annex. Order {0} was shipped. Section {0} applies."
+    rows = [(i, f"{filler.format(i)} You idiot, only a snorkwad drools like that in room {i}.", "web") for i in range(60)]
+    rows += [(100 + i, filler.format(100 + i), "web") for i in range(300)] + [(900, f"{filler.format(1)} Only a snorkwad drools like that.", "web")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert A.votes("Only a snorkwad drools like that.")[0] == 0
+    assert {r["doc_id"] for r in A.flagged(df).collect()} == {*range(60), 900}
+
+
+@pytest.mark.parametrize("s", ["The Keldish are wiped from the face of the earth soon, I hope.", "All of them are crooks by nature.", "My cat codes better than that.", "Her lips all over me, that is what I want."])
+def test_votes_beyond_the_tables_sentences(s):
+    assert A.votes(s)[0]
+
+
+@pytest.mark.parametrize("s", ["This wretched weather again.", "That useless old printer jams.", "The damned printer jams."])
+def test_grumbling_at_things_is_technical(s):
+    assert A.votes(s)[0] >> A.VOTERS.index("technical") & 1 and not A.votes("This pathetic little man again.")[0] >> A.VOTERS.index("technical") & 1
