@@ -95,10 +95,11 @@ TECHNICAL = _P(
 RULES = _P(
     r"\b(?:harassment|insult(?:s|ing)?|hateful remarks|abusive conduct|abuse|discrimination|hate speech)\b.*\b(?:report(?:ed)?|handled|removed|forbidden|prohibited|victims?|reach|not tolerated|deleted|blocked|posts?)\b", r"\bvictims? of\b", r"\bmoderators? (?:removed|deleted|hid)\b", r"\b(?:adult|sexual|explicit) content is (?:blocked|forbidden|not allowed|filtered)\b", r"\bsexual (?:health|harassment|education|orientation)\b", r"\b(?:colleagues|staff|employees) celebrate\b", r"\breceive help\b", r"\bmay not be (?:insulted|called)\b", r"\bpolicy\b.*\b(?:abusive|hateful|sexual)\b",
 )
-VOTERS = ("insult", "slur", "attack", "threat", "hate", "sexual", "disguised", "group", "technical", "rules")
+#: "beside" is an insult that stands beside a technical term, not in it: the term says nothing about that insult.
+VOTERS = ("insult", "slur", "attack", "threat", "hate", "sexual", "disguised", "group", "technical", "rules", "beside")
 AGAINST = ("technical", "rules")
 #: How often a voter that speaks up is believed right before the counts are seen; 0.5 says nothing by itself.
-PRIOR = {"insult": 0.95, "slur": 0.7, "attack": 0.93, "threat": 0.93, "hate": 0.93, "sexual": 0.93, "disguised": 0.9, "group": 0.5, "technical": 0.97, "rules": 0.97}
+PRIOR = {"insult": 0.95, "slur": 0.7, "attack": 0.93, "threat": 0.93, "hate": 0.93, "sexual": 0.93, "disguised": 0.9, "group": 0.5, "technical": 0.97, "rules": 0.97, "beside": 0.5}
 
 _LEXICON = INSULTS | SLURS | EXPLICIT | OTHER_DISGUISED
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿]")
@@ -270,8 +271,9 @@ def votes(statement: str) -> tuple[int, str]:
         if possible >> i & 1 and v in _PATTERNS and _PATTERNS[v].search(s):
             bits |= 1 << i
     if not words.isdisjoint(_LEXICON) or not words.isdisjoint(GROUPS):
-        if not words.isdisjoint(INSULTS) and not bits >> VOTERS.index("technical") & 1:
-            bits |= 1
+        technical = bits >> VOTERS.index("technical") & 1
+        if not words.isdisjoint(INSULTS) and not (technical and INSULTS.isdisjoint(_TOKEN.findall(TECHNICAL.sub(" ", s)))):
+            bits |= 1 | technical << VOTERS.index("beside")
         for name, listed in (("slur", SLURS), ("sexual", EXPLICIT), ("group", GROUPS)):
             if not words.isdisjoint(listed):
                 bits |= 1 << VOTERS.index(name)
@@ -291,7 +293,7 @@ class LabelModel:
     def __init__(self, counts: dict[int, int], rounds: int = 30, keep: float = 0.5, silent: float = 0.002):
         patterns = np.array(sorted(b for b in counts if b), dtype="i8")
         n = np.array([counts[b] for b in patterns.tolist()], dtype="f8")
-        x = (patterns[:, None] >> np.arange(len(VOTERS))) & 1
+        x = self._heard(patterns)
         self.side = np.array([-1.0 if v in AGAINST else 1.0 for v in VOTERS])
         first = np.array([PRIOR[v] for v in VOTERS])
         self.accuracy, self.weight, self.silent = first.copy(), np.ones(len(VOTERS)), silent
@@ -304,6 +306,13 @@ class LabelModel:
             self.correlation = self._correlations(x, n * p)
             self.weight = 1 / (1 + 0.25 * np.clip(self.correlation, 0, 1).sum(1))
 
+    @staticmethod
+    def _heard(patterns: np.ndarray) -> np.ndarray:
+        """One row of votes per pattern; a technical term beside an insult is not heard against it."""
+        x = (patterns[:, None] >> np.arange(len(VOTERS))) & 1
+        x[:, VOTERS.index("technical")] &= 1 - x[:, VOTERS.index("beside")]
+        return x
+
     def _posterior(self, x: np.ndarray) -> np.ndarray:
         logit = (x * self.weight * self.side * np.log(self.accuracy / (1 - self.accuracy))).sum(1)
         return 1 / (1 + np.exp(-logit))
@@ -318,8 +327,7 @@ class LabelModel:
 
     def posterior(self, bits: int) -> float:
         """Posterior that a statement with this vote pattern is abusive; ``silent`` without any vote."""
-        x = (bits >> np.arange(len(VOTERS))) & 1
-        return float(self._posterior(x[None, :])[0]) if bits else self.silent
+        return float(self._posterior(self._heard(np.array([bits])))[0]) if bits else self.silent
 
 
 _HASHES: dict[str, int] = {}

@@ -67,3 +67,17 @@ def test_votes_beyond_the_tables_sentences(s):
 @pytest.mark.parametrize("s", ["This wretched weather again.", "That useless old printer jams.", "The damned printer jams."])
 def test_grumbling_at_things_is_technical(s):
     assert A.votes(s)[0] >> A.VOTERS.index("technical") & 1 and not A.votes("This pathetic little man again.")[0] >> A.VOTERS.index("technical") & 1
+
+
+@pytest.mark.parametrize("s", ["Hand me the wire stripper, you bastard.", "The stopcock leaks\nyou idiot", "This damned rain again, you moron."])
+def test_insult_beside_a_technical_term(model, s):
+    bits = A.votes(A.statements(s)[0])[0]
+    assert bits & 1 and bits >> A.VOTERS.index("technical") & 1 and model.posterior(bits) > 0.6
+    assert not A.votes("A bastard file is idiot-proof.")[0] & 1
+
+
+def test_document_with_insult_beside_a_technical_term(spark):
+    rows = [(i, f"Use a wire stripper for cable {i}. The annex lists part {i}.", "web") for i in range(100)] + [(200 + i, s, "web") for i, s in enumerate(ABUSIVE)]
+    rows += [(900, "Hand me the wire stripper, you bastard.", "web"), (901, "Check the stopcock\nyou idiot", "web")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in A.flagged(df).collect()} == {*range(200, 200 + len(ABUSIVE)), 900, 901}
