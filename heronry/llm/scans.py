@@ -2,29 +2,34 @@
 
 Two passes over the chunks, both maps.  The first counts words and word pairs of the
 whole corpus and head-like lines of every document (counted within a task before
-anything is shuffled).  Words and pairs that make up at least one part in
-``1 / share`` of the corpus form the lexicon; by that definition it has at most
-``1 / share`` entries of each kind however large the corpus is, so it is broadcast.
-The second pass judges each chunk: a word is misread if it falls together with a far
-more frequent word once confusable glyphs are drawn alike, and its neighbours are
-seen far more often with that word.  The repaired lines are put into paragraphs with
-SQL windows.
+anything is shuffled).  A word is misread if it falls together with a far more
+frequent word once confusable glyphs are drawn alike, and its neighbours are seen far
+more often with that word: both are joins over all counts, whatever their size.  What
+comes out, the words that may be misread and the neighbours that say so, is joined to
+the chunks that hold them; only a filter of fixed size is broadcast, which keeps other
+words out of that join.  The second pass judges each chunk.  The repaired lines are
+put into paragraphs with SQL windows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.session import cut_lineage
 
-SHARE = 1e-6
+#: Places of the filter of words that may be misread; more words only let more through to the join.
+PLACES = 1 << 20
+#: What a word pair that was never seen counts for.
+UNSEEN = 0.125
 #: A word must be this many times rarer than the form it is taken for, and in its context; less if it holds a digit or sign.
 RATIO, RATIO_SIGN = 12, 2
 # --- fixed values: glyphs that scanners take for one another --------------------------------
@@ -123,65 +128,29 @@ def _counts(one: Counter, two: Counter, heads: Counter) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
 
 
-class Lexicon:
-    """Frequent words and pairs, and what a word is misread from."""
-
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], floor: float):
-        self.words, self.pairs, self.floor = words, pairs, floor
-        self.best: dict[str, tuple[str, int]] = {}
-        for w, n in words.items():
-            if w.isalpha():
-                k = skeleton(w)
-                if k not in self.best or (n, w) > (self.best[k][1], self.best[k][0]):
-                    self.best[k] = (w, n)
-        self.known: dict[str, str | None] = {}
-        self.sized: dict[int, list[str]] = {}
-        for w in sorted(words, key=words.get, reverse=True):
-            self.sized.setdefault(len(w), []).append(w)
-
-    def candidate(self, word: str) -> str | None:
-        """The far more frequent word this one looks like, if there is one."""
-        if word in self.known:
-            return self.known[word]
-        found = None
-        if _letters(word):
-            if any(c in _LOST for c in word):  # a sign stands for a letter that was lost
-                like = re.compile("".join("." if c in _LOST else re.escape(c) for c in word))
-                form = next((w for w in self.sized.get(len(word), ()) if like.fullmatch(w) and w.isalpha()), word)
-                n = self.words.get(form, 0)
+class Readings:
+    """What the words of a chunk may be misread from, and the neighbours that say so; the compounds it has."""
+
+    def __init__(self, rows):
+        self.known: dict[str, tuple[str, set[str], set[str]]] = {}
+        self.compounds: set[str] = set()
+        for r in rows if rows is not None else ():
+            if r["g"] is None:
+                self.compounds.add(r["w"])
             else:
-                form, n = self.best.get(skeleton(word), (word, 0))
-            if form != word and (len(word) > 2 or not word.isalpha()) and n >= (RATIO if word.isalpha() else RATIO_SIGN) * self.words.get(word, self.floor / 4):
-                found = form
-        self.known[word] = found
-        return found
+                self.known[r["w"]] = (r["g"], *(set(x) if x is not None else set() for x in (r["before"], r["after"])))
 
     def misread(self, ws: list[str]) -> list[tuple[int, str]]:
         """(place, right form) of the misread words among ``ws``."""
         out: list[tuple[int, str]] = []
-        known = self.known
-        for w in set(ws):
-            if w not in known:
-                self.candidate(w)
-        could = [known[w] for w in ws]
-        if not any(could):
+        if not self.known:
             return out
-        for i, g in enumerate(could):
-            if g is None:
-                continue
-            w = ws[i]
-            if not w.isalpha():  # a digit or sign inside a word that exists without it
-                out.append((i, g))
-                continue
-            for side in (-1, 1):
-                j = i + side
-                if 0 <= j < len(ws):
-                    near = could[j] or ws[j]
-                    right = (near, g) if side < 0 else (g, near)
-                    wrong = (near, w) if side < 0 else (w, near)
-                    if self.pairs.get(right, 0) >= RATIO / 2 * max(self.pairs.get(wrong, 0), self.floor / 8):
-                        out.append((i, g))
-                        break
+        for i, w in enumerate(ws):
+            if w in self.known:
+                g, before, after = self.known[w]
+                # a digit or sign inside a word that exists without it needs no neighbour
+                if not w.isalpha() or (i and ws[i - 1] in before) or (i + 1 < len(ws) and ws[i + 1] in after):
+                    out.append((i, g))
         return out
 
 
@@ -208,7 +177,7 @@ def page_lines(lines: list[str], page: int | None) -> set[int]:
     return out
 
 
-def judge(text: str, document_id: str | None, metadata: str | None, repeated: set[str], lexicon: Lexicon) -> tuple[set[str], list[str]]:
+def judge(text: str, document_id: str | None, metadata: str | None, repeated: set[str], lexicon: Readings) -> tuple[set[str], list[str]]:
     """(kinds of noise, repaired lines without heads and page numbers)."""
     noise: set[str] = set()
     if "\n" not in text:  # one line: no line end to split at, and no line of its own for a head or number
@@ -237,7 +206,7 @@ def judge(text: str, document_id: str | None, metadata: str | None, repeated: se
 
     def join(m: re.Match) -> str:
         a, b = m.group(1), m.group(2)
-        if f"{a}-{b}".lower() in lexicon.words:
+        if f"{a}-{b}".lower() in lexicon.compounds:
             return m.group()
         noise.add("hyphen")
         return a + b + "\n"
@@ -254,19 +223,118 @@ def judge(text: str, document_id: str | None, metadata: str | None, repeated: se
     return noise, body.split("\n")
 
 
-def build_lexicon(chunks: DataFrame, share: float = SHARE, least_repeats: int = 4) -> tuple[Lexicon, DataFrame]:
-    """The lexicon of the corpus, and (document_id, key) of head-like lines in at least ``least_repeats`` chunks."""
+def count(chunks: DataFrame) -> DataFrame:
+    """(kind, a, b, n): how often every word, word pair and head-like line of a document occurs; written once."""
     counted = chunks.where("text is not null").select("document_id", "text").mapInPandas(_count, "kind string, a string, b string, n long")
-    counted = counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    counted = cut_lineage(counted)
-    total = counted.where("kind = 'word'").agg(F.sum("n")).first()[0] or 0
-    floor = max(1.0, total * share)
-    kept = counted.where((F.col("kind") != "head") & (F.col("n") >= floor)).toPandas()  # at most 1 / share of either kind
-    word = kept["kind"] == "word"
-    words = dict(zip(kept["a"][word], kept["n"][word].astype(int)))
-    pairs = {(a, b): int(n) for a, b, n in zip(kept["a"][~word], kept["b"][~word], kept["n"][~word])}
-    heads = counted.where((F.col("kind") == "head") & (F.col("n") >= least_repeats)).select(F.col("a").alias("document_id"), F.col("b").alias("key"))
-    return Lexicon(words, pairs, floor), heads
+    return cut_lineage(counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+
+
+def repeated_heads(counted: DataFrame, least_repeats: int = 4) -> DataFrame:
+    """(document_id, key) of head-like lines in at least ``least_repeats`` chunks."""
+    return counted.where((F.col("kind") == "head") & (F.col("n") >= least_repeats)).select(F.col("a").alias("document_id"), F.col("b").alias("key"))
+
+
+def _shape(word: str) -> str:
+    return "".join("." if c in _LOST else "x" for c in word)
+
+
+def _drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        w = pdf["w"]
+        lost = w.map(lambda x: any(c in _LOST for c in x)).astype(bool)
+        yield pd.DataFrame({"w": w, "n": pdf["n"], "k": w.map(skeleton), "alpha": w.map(str.isalpha).astype(bool), "shape": w.map(_shape).where(lost, None), "size": w.map(len).astype("int32")})
+
+
+def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"k": ["".join("." if y == "." else x for x, y in zip(w, shape)) for w, shape in zip(pdf["w"], pdf["shape"])], "w": pdf["w"], "n": pdf["n"]})
+
+
+def candidates(counted: DataFrame) -> DataFrame:
+    """(w, g, alpha): every word that looks like a far more frequent one, and that one."""
+    words = cut_lineage(counted.where("kind = 'word'").select(F.col("a").alias("w"), "n").mapInPandas(_drawn, "w string, n long, k string, alpha boolean, shape string, size int"))
+    top = F.max(F.struct("n", "w"))
+    best = words.where("alpha").groupBy("k").agg(top.alias("m"))
+    alike = words.where("shape is null").join(best, "k")
+    # a sign stands for a letter that was lost: words of the same length with the same letters elsewhere
+    lost = words.where("shape is not null").withColumn("k", F.translate("w", _LOST, "." * len(_LOST)))
+    shapes = lost.select("shape", "size").distinct()
+    masks = words.where("alpha").select("w", "n", "size").join(shapes, "size").select("w", "n", "shape").mapInPandas(_masked, "k string, w string, n long")
+    filled = lost.join(masks.groupBy("k").agg(top.alias("m")), "k")
+    both = alike.unionByName(filled)
+    ratio = F.when(F.col("alpha"), RATIO).otherwise(RATIO_SIGN)
+    return both.where((F.col("m.w") != F.col("w")) & ((F.col("size") > 2) | ~F.col("alpha")) & (F.col("m.n") >= ratio * F.col("n"))).select("w", F.col("m.w").alias("g"), "alpha")
+
+
+def readings(counted: DataFrame) -> DataFrame:
+    """(w, g, before, after): words that may be misread, with the neighbours beside which they are; compounds come with a null ``g``."""
+    found = cut_lineage(candidates(counted))
+    pairs = counted.where("kind = 'pair'").select("a", "b", "n")
+    letters = found.where("alpha").select("w", "g")
+    sides = pairs.select(F.col("b").alias("w"), F.col("a").alias("near"), F.lit(True).alias("left")).unionByName(pairs.select(F.col("a").alias("w"), F.col("b").alias("near"), F.lit(False).alias("left")))
+    seen = sides.join(letters, "w").join(found.select(F.col("w").alias("near"), F.col("g").alias("near_g")), "near", "left")
+    seen = seen.withColumn("meant", F.coalesce("near_g", "near"))
+    order = lambda x, y: (F.when(F.col("left"), F.col(x)).otherwise(F.col(y)), F.when(F.col("left"), F.col(y)).otherwise(F.col(x)))
+    (ra, rb), (wa, wb) = order("meant", "g"), order("meant", "w")
+    seen = seen.withColumns({"ra": ra, "rb": rb, "wa": wa, "wb": wb})
+    seen = seen.join(pairs.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("n").alias("right")), ["ra", "rb"])
+    seen = seen.join(pairs.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("n").alias("wrong")), ["wa", "wb"], "left")
+    said = seen.where(F.col("right") >= RATIO / 2 * F.greatest(F.coalesce(F.col("wrong"), F.lit(0)), F.lit(UNSEEN)))
+    near = said.groupBy("w", "g").agg(F.collect_set(F.when(F.col("left"), F.col("near"))).alias("before"), F.collect_set(F.when(~F.col("left"), F.col("near"))).alias("after"))
+    none = F.lit(None).cast("array<string>")
+    signs = found.where("not alpha").select("w", "g", none.alias("before"), none.alias("after"))
+    compounds = counted.where("kind = 'word' and a like '%-%'").select(F.col("a").alias("w"), F.lit(None).cast("string").alias("g"), none.alias("before"), none.alias("after"))
+    return near.unionByName(signs).unionByName(compounds)
+
+
+_LINE_END = re.compile(r"([^\W\d_][\w|@]*)[-­‐‑][ \t]*\r?$")
+_LINE_START = re.compile(r"\s*([^\W\d_|@][\w|@]*)")
+
+
+def _looked_up(text: str) -> set[str]:
+    """The words of a chunk, and the compounds it may have at line ends, whatever lines between are taken out."""
+    out = set(words_of(text))
+    if "\n" in text:
+        out.update(w for w in (x.lower() for x in _WORD.findall(text)))
+        lines = text.split("\n")
+        starts = [m.group(1) if (m := _LINE_START.match(x)) else None for x in lines]
+        for i, x in enumerate(lines):
+            if m := _LINE_END.search(x):
+                for b in {y for y in starts[i + 1 :] if y}:
+                    out.update((f"{m.group(1)}-{b}".lower(), f"{m.group(1)}{b}".lower()))
+    return out
+
+
+def _place(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % PLACES
+
+
+def _with_readings(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows with ``readings``: what is known of the words of their text."""
+    known = cut_lineage(readings(counted))
+    taken = np.zeros(PLACES, dtype=bool)
+    places = known.select((F.crc32(F.encode("w", "utf-8")) % PLACES).cast("int").alias("p")).distinct().toPandas()["p"]  # at most PLACES
+    taken[places.to_numpy(dtype="i8")] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(taken))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, passed = np.unpackbits(shared.value), {}
+        for pdf in batches:
+            out = []
+            if len(passed) > 500_000:
+                passed.clear()
+            for h, t in zip(pdf["h"], pdf["text"]):
+                for w in _looked_up(t):
+                    if w not in passed:
+                        passed[w] = bool(taken[_place(w)])
+                    if passed[w]:
+                        out.append((h, w))
+            yield pd.DataFrame(out, columns=["h", "w"])
+
+    keyed = rows.withColumn("h", F.xxhash64("text"))  # texts that share a hash share readings, which are the same for all texts
+    met = keyed.select("h", "text").mapInPandas(run, "h long, w string").distinct().join(known, "w")
+    by_text = met.groupBy("h").agg(F.collect_list(F.struct("w", "g", "before", "after")).alias("readings"))
+    return keyed.join(by_text, "h", "left").drop("h")
 
 
 def _with_heads(chunks: DataFrame, heads: DataFrame) -> DataFrame:
@@ -274,17 +342,12 @@ def _with_heads(chunks: DataFrame, heads: DataFrame) -> DataFrame:
     return chunks.join(by_document, "document_id", "left")
 
 
-def _pass(lexicon: Lexicon, spark, lines: bool):
-    shared = spark.sparkContext.broadcast((lexicon.words, lexicon.pairs, lexicon.floor))
-
+def _pass(lines: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(*shared.value)
         for pdf in batches:
-            if len(lex.known) > 500_000:
-                lex.known.clear()
             out = []
-            for c, d, m, t, h, h_ in zip(pdf["chunk_id"], pdf["document_id"], pdf["metadata"], pdf["text"], pdf["heads"], pdf["row"]):
-                noise, kept = judge(t, d, m, set(h) if h is not None else set(), lex)
+            for c, d, m, t, h, h_, r in zip(pdf["chunk_id"], pdf["document_id"], pdf["metadata"], pdf["text"], pdf["heads"], pdf["row"], pdf["readings"]):
+                noise, kept = judge(t, d, m, set(h) if h is not None else set(), Readings(r))
                 if lines:
                     out.append((c, d, h_, kept))
                 else:
@@ -294,27 +357,27 @@ def _pass(lexicon: Lexicon, spark, lines: bool):
     return run
 
 
-def scan_noise(chunks: DataFrame, share: float = SHARE) -> DataFrame:
+def scan_noise(chunks: DataFrame) -> DataFrame:
     """(chunk_id, noise): one row per kind of noise in a chunk: hyphen, misread, header, page_number.
 
     Null and blank texts have none; a null document has no name to compare heads with; metadata that is
     null or broken only means that the page is unknown; repeated rows count once.
     """
-    lexicon, heads = build_lexicon(chunks, share)
-    rows = _with_heads(chunks.where("text is not null").select("chunk_id", "document_id", "metadata", "text", F.lit(0).cast("long").alias("row")), heads)
-    return rows.mapInPandas(_pass(lexicon, chunks.sparkSession, False), "chunk_id string, noise string").distinct()
+    counted = count(chunks)
+    rows = _with_heads(chunks.where("text is not null").select("chunk_id", "document_id", "metadata", "text", F.lit(0).cast("long").alias("row")), repeated_heads(counted))
+    return _with_readings(rows, counted).mapInPandas(_pass(False), "chunk_id string, noise string").distinct()
 
 
-def repaired(chunks: DataFrame, share: float = SHARE) -> DataFrame:
+def repaired(chunks: DataFrame) -> DataFrame:
     """(chunk_id, document_id, text): continuous paragraphs, divided by one empty line.
 
     A paragraph ends at an empty line, before a list item or heading, and after a line that is short for
     its chunk and ends a sentence.  A chunk without text comes out with the empty text.
     """
-    lexicon, heads = build_lexicon(chunks, share)
+    counted = count(chunks)
     rows = chunks.select("chunk_id", "document_id", "metadata", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text")).dropDuplicates(["chunk_id", "document_id", "row"])
-    lines = _with_heads(rows, heads).mapInPandas(_pass(lexicon, chunks.sparkSession, True), "chunk_id string, document_id string, row long, lines array<string>")
+    lines = _with_readings(_with_heads(rows, repeated_heads(counted)), counted).mapInPandas(_pass(True), "chunk_id string, document_id string, row long, lines array<string>")
     lines = lines.select("row", "chunk_id", "document_id", F.posexplode("lines").alias("n", "line")).withColumn("line", F.rtrim("line"))
     w = Window.partitionBy("row", "chunk_id", "document_id").orderBy("n")
     widest = F.max(F.length("line")).over(Window.partitionBy("row", "chunk_id", "document_id"))

@@ -42,3 +42,19 @@ def test_noise_and_repair(spark):
 def test_empty(spark):
     df = _corpus(spark, []).where("false")
     assert S.scan_noise(df).count() == 0 and S.repaired(df).count() == 0
+
+
+def test_rare_words_count_in_a_large_corpus(spark):
+    filler = " ".join(["alpha beta gamma delta"] * 1000)
+    rows = [(f"f{i}", None, filler, None) for i in range(1000)]  # four million words: one occurrence in a million is four
+    rows += [(f"n{i}", "d.pdf", "Ask the Tarnhollow desk.", None) for i in range(3)] + [("bad", "d.pdf", "Ask the Tarnho11ow desk.", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, document_id string, text string, metadata string")
+    assert [tuple(r) for r in S.scan_noise(df).collect()] == [("bad", "misread")]
+    assert {r["text"] for r in S.repaired(df.where("document_id is not null")).collect()} == {"Ask the Tarnhollow desk."}
+
+
+def test_lost_letters_and_context(spark):
+    rows = [(f"c{i}", "d.pdf", "Expose the bearing housing before repair.", None) for i in range(40)]
+    rows += [("lost", "d.pdf", "Expose the bea¬ing housing before repair.", None), ("alpha", "d.pdf", "Expose the bcaring housing before repair.", None), ("alone", "d.pdf", "Bcaring.", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, document_id string, text string, metadata string")
+    assert {r["chunk_id"] for r in S.scan_noise(df).collect()} == {"lost", "alpha"}
