@@ -84,6 +84,17 @@ def cache_probe(queries: DataFrame, cache: DataFrame, least: float = 0.98) -> Da
     return near.groupBy("query_id").agg(F.min_by("entry", "seq").alias("entry"))
 
 
+def cache_probe_blocks(queries: DataFrame, cache: DataFrame, least: float = 0.98, blocks: int = 16) -> DataFrame:
+    """``cache_probe`` for queries without a bound: the entries of a session are dealt to blocks, and every query meets each of them."""
+    from heronry.functions.vectors import cosine
+
+    q = queries.select("query_id", F.col("session_id").alias("qs"), F.col("filters").alias("qf"), F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
+    dealt = cache.withColumn("block", F.pmod(F.hash("seq"), F.lit(blocks)))
+    pairs = dealt.join(q, (F.col("block") == F.col("qb")) & F.col("session_id").eqNullSafe(F.col("qs")) & F.col("filters").eqNullSafe(F.col("qf")))
+    near = pairs.where((F.size("vector") == F.size("qv")) & (cosine(F.col("vector"), F.col("qv")) >= least))
+    return near.groupBy("query_id").agg(F.min_by("entry", "seq").alias("entry"))
+
+
 def index_statistics(chunks: DataFrame) -> DataFrame:
     """One row (files, chunks, chunks_per_file)."""
     return chunks.agg(F.countDistinct("document_id").alias("files"), F.count(F.lit(1)).alias("chunks")).withColumn("chunks_per_file", F.when(F.col("files") > 0, F.col("chunks") / F.col("files")))

@@ -101,6 +101,13 @@ def semantic_cache_probe(spark: SparkSession, d: str) -> DataFrame:
     return catalog.cache_probe(asked, entry, 0.6)
 
 
+@query()
+def semantic_cache_probe_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector probed against all vectors of its label; ``semantic_cache_probe`` is the sample that its SQL states."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("session_id"), F.lit(None).cast("string").alias("filters"), F.col("embedding").alias("vector"))
+    return catalog.cache_probe_blocks(e.withColumnRenamed("vec_id", "query_id"), e.withColumn("seq", F.col("vec_id")).withColumnRenamed("vec_id", "entry"), 0.6)
+
+
 _C = "(select distinct chunk_id, document_id, text from text_pages)"
 
 
