@@ -81,3 +81,33 @@ def test_document_with_insult_beside_a_technical_term(spark):
     rows += [(900, "Hand me the wire stripper, you bastard.", "web"), (901, "Check the stopcock\nyou idiot", "web")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r["doc_id"] for r in A.flagged(df).collect()} == {*range(200, 200 + len(ABUSIVE)), 900, 901}
+
+
+def test_whole_statement_counts():
+    import pyarrow as pa
+
+    s = "so " * 1000 + "you are such a moron"
+    assert A.votes(s)[0] & 1
+    assert len(A.Reader().read(pa.array([s])).words(0)) == 4 * 1005
+
+
+def test_classifier_finds_what_hidden_voters_would_have_found():
+    """A third of the insults lose their votes: the label model misses them, the classifier finds nine in ten by their company."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    roles, parts = ["clerk", "auditor", "driver", "planner", "porter"], ["pump", "valve", "fan", "relay", "hose", "tank"]
+    nouns = sorted(w for w in A.INSULTS if w.isascii())[:90]
+    bad = [f"Only some {w} like the {roles[i % 5]} could break the {parts[i % 6]} twice." for i, w in enumerate(nouns)]
+    good = [f"The {r} {v} the {p} {n} times." for r in roles for p in parts for v in ("checked", "oiled", "broke", "washed", "sold") for n in ("two", "three", "four", "nine")]
+    r = A.Reader().read(pa.array(bad + good))
+    truth, hidden = np.arange(len(r.bits)) < len(bad), np.arange(len(r.bits)) % 3 == 0
+    assert (r.bits[truth] > 0).all() and not r.bits[~truth].any()
+    bits = np.where(hidden, 0, r.bits)
+    model = A.LabelModel(Counter(bits.tolist()))
+    lin = A.train(model, A.Sample(bits, [r.words(i) for i in range(len(bits))]))
+    final, posterior = lin.scores(r.h, r.who, bits) >= 0.5, model.posteriors(bits) >= 0.5
+    assert posterior[truth].mean() < 0.7 and final[truth].mean() >= 0.9
+    assert not final[~truth].any()
