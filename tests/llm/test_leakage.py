@@ -26,7 +26,7 @@ def test_leaks(spark):
         "<p>" + "</p><b>".join(w[2:20]), "> " + "\n> ".join(" ".join(w[i : i + 4]) for i in range(0, 24, 4)), "​".join(" ".join(w[:20])), '{"query": "' + QUERY + '"}', filler, None, "", " ", "Why so? 78", "Abreleth and Gryandor met at the northern pier with the silent chisel and a blunt canopy.",
         "word " * 20_000 + " ".join(w[:16]),
     ]
-    assert _holds(texts, spark) == {0, 1, 2, 4, 5, 7, 8, 9, 10, 17}
+    assert _holds(texts, spark) == {0, 1, 2, 4, 5, 7, 8, 9, 10, 15, 17}  # 15: the whole query "Why so?"
 
 
 def test_empty(spark):
@@ -53,3 +53,22 @@ def test_svd_finds_the_row_space(spark):
     low = rng.standard_normal((40, 3)) @ rng.standard_normal((3, 20))
     q = L.randomised_svd(spark, [(np.arange(20), r) for r in low], 20, 8)
     assert np.allclose(low @ q @ q.T, low, atol=1e-6)
+
+
+def test_short_texts_are_searched(spark):
+    gold = spark.createDataFrame([("g", "Who pays?", "The harbour board does", None, None)], GOLD)
+    texts = ["In short: the HARBOUR board, does.", "The harbour board never does.", "Ask him: who pays", "who also pays", "The pump runs."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in L.leaks(df, gold).collect()} == {0, 2}
+
+
+def test_every_copy_holds_a_key_word():
+    """Whatever word in eight is changed, a copy keeps enough of the words by which windows are chosen."""
+    rng = random.Random(3)
+    words = [rng.randrange(40) for _ in range(60)]
+    items = L.Items(["g"], [{"query": words[:20], "answer": words[20:29], "passage": words}], {i: i for i in range(40)}, [(0, "query", 0, 20), (0, "answer", 0, 9), (0, "passage", 0, 15)], [])
+    keys = L.key_words(items, np.array([rng.randrange(9) for _ in range(40)]))
+    for part in (words[:20], words[20:29], *(words[a : a + 15] for a in range(46))):
+        for _ in range(50):
+            lost = rng.sample(range(len(part)), len(part) // 8)
+            assert sum(keys[w] for i, w in enumerate(part) if i not in lost) >= L.LEFT
