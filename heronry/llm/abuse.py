@@ -89,7 +89,7 @@ _PERSON = "|".join(sorted(INSULTS | GROUPS | PEOPLE))
 _PART = "fingers|finger|legs|neck|bones|face|arms|arm|jaw|teeth|nose|skull|head|throat"
 _THING = "rain|snow|ice|weather|wind|heat|dust|thing|things|machine|machines|device|pump|valve|filter|relay|cable|plug|switch|screw|hose|pipe|printer|computer|software|battery|batteries|door|box|manual|form|traffic|noise|part|rag|cloth"
 SCORN = _P(
-    r"\bshut (?:the \w+ )?up\b", r"\bwaste of (?:oxygen|space|skin|air)\b", r"\b(?:crawl|creep|slither)(?:ed)? (?:back|off|away|out)\b", r"\b(?:brains?|wits?|intelligence|iq) of an? \w+", rf"\bhow (?:can|could) (?:one|any|an?) \w+ be (?:this|so|that) (?:{_BAD})\b",
+    r"\bshut (?:the \w+ )?up\b", r"\bwaste of (?:oxygen|space|skin|air)\b", r"\b(?:crawl|creep|slither)(?:ed)? (?:back|off|away|out)\b", r"\b(?:brains?|intelligence|iq) of an? \w+", rf"\bhow (?:can|could) (?:one|any|an?) \w+ be (?:this|so|that) (?:{_BAD})\b",
     r"\bmy (?:dog|cat|goldfish|hamster|parrot|grandma|grandmother|toddler) (?:can |could |would )?\w+ (?:\w+ ){0,2}better\b", r"\bashamed of yourself\b", r"\bgo to hell\b", r"\bfuck (?:you|off|yourself)\b", r"\bpiece of (?:shit|garbage|trash|filth)\b", r"\bscrew you\b",
     r"\bhalte? (?:\w+ )?(?:die fresse|das maul|die klappe)\b", r"\bstück dreck\b", r"\bverpiss dich\b", r"\bfick dich\b", r"\bta gueule\b", r"\bespèce de\b", r"\bva te faire\b", r"\bfils de pute\b", r"\bcállate\b", r"\bpedazo de\b", r"\bhij[oa] de puta\b", r"\bvete a la mierda\b",
 )
@@ -110,7 +110,7 @@ SEXUAL = _P(
 )
 #: Terms of a trade that look like abuse, and grumbling at a thing.
 TECHNICAL = _P(
-    r"\b(?:idiot|fool) ?proof\b", r"\bbastard (?:file|sword|size|cut|thread)\b", r"\bnaked (?:conductor|wire|eye|cable|flame)\b", r"\b(?:wire|cable|insulation) strippers?\b", r"\bdumb (?:terminal|terminals|pipe|switch)\b", r"\bstupid simple\b", r"\bmale and female\b", r"\bmaster and slave\b", r"\bbreast ?(?:feeding|drill)\b", r"\bpenetration test\b", r"\bchoke (?:the|valve|coil|point)\b",
+    r"\b(?:idiot|fool) proof\b", r"\b(?:idiotproof|foolproof)\b", r"\bbastard (?:file|sword|size|cut|thread)\b", r"\bnaked (?:conductor|wire|eye|cable|flame)\b", r"\b(?:wire|cable|insulation) strippers?\b", r"\bdumb (?:terminal|terminals|pipe|switch)\b", r"\bstupid simple\b", r"\bmale and female\b", r"\bmaster and slave\b", r"\bbreast ?(?:feeding|drill)\b", r"\bpenetration test\b", r"\bchoke (?:the|valve|coil|point)\b",
     r"\bkill(?:ed|s)? (?:the|after|by|all) (?:\w+ )?(?:process|processes|background|connections?|jobs?|\d)", rf"\b(?:damned?|bloody|blasted|wretched|worthless|useless|dirty|filthy|stupid) (?:{_THING})\b", rf"\b(?:this|that) (?:pathetic|useless|stupid|silly|wretched|damned|bloody) (?:little|old|cheap) (?!(?:{_PERSON})\b)\w+", r"\bcock ?pit\b", r"\bstopcock\b",
 )
 RULES = _P(
@@ -120,6 +120,7 @@ _PATTERNS = {"scorn": SCORN, "threat": THREAT, "death wish": DEATH_WISH, "hate":
 VOTERS = ("insult", "slur", "addressed", "scorn", "threat", "violence", "death wish", "dehumanising", "stereotype", "hate", "group", "explicit", "sexual", "intimate", "disguised", "technical", "rules")
 AGAINST, WEAK = ("technical", "rules"), ("group", "intimate", "disguised")
 _BIT = {v: 1 << i for i, v in enumerate(VOTERS)}
+_NAMED = _BIT["insult"] | _BIT["slur"] | _BIT["dehumanising"]
 _LISTED = INSULTS | SLURS | DEHUMANISING | STEREOTYPES | EXCLUDING | GROUPS | EXPLICIT | INTIMATE | VIOLENT
 _LEXICON = (_LISTED - GROUPS - {"bed", "lit", "sale", "sales", "break", "kiss"}) | OTHER_DISGUISED
 
@@ -197,7 +198,7 @@ def read_word(token: str) -> tuple[str, bool]:
 
 @lru_cache(maxsize=1)
 def _anchors() -> tuple[tuple[str, int], ...]:
-    """(piece of a word, bit): one piece at least stands in some word of every statement a pattern matches."""
+    """(start of a word, bit): some word of every statement a pattern matches starts with one of them."""
     from re import _constants as k
     from re import _parser
 
@@ -229,21 +230,16 @@ def _anchors() -> tuple[tuple[str, int], ...]:
 
 
 @lru_cache(maxsize=1)
-def _automaton():
-    import ahocorasick
-
-    out = ahocorasick.Automaton()
-    for a, n in _anchors():
-        out.add_word(a, n)
-    out.make_automaton()
-    return out
+def _starts() -> tuple[dict[str, int], tuple[int, ...]]:
+    return dict(_anchors()), tuple(sorted({len(a) for a, _ in _anchors()}))
 
 
 def _suspects(word: str) -> int:
     """Bits of the voters that a statement with this word may have; "listed" words set the bit of their list."""
     bits = 0
-    for _, n in _automaton().iter(word):
-        bits |= n
+    starts, sizes = _starts()
+    for n in sizes:
+        bits |= starts.get(word[:n], 0)
     for v, listed in (("insult", INSULTS), ("slur", SLURS), ("dehumanising", DEHUMANISING), ("stereotype", STEREOTYPES), ("hate", EXCLUDING), ("group", GROUPS), ("explicit", EXPLICIT), ("intimate", INTIMATE), ("violence", VIOLENT)):
         if word in listed:
             bits |= _BIT[v]
@@ -259,28 +255,27 @@ def _judge(words: list[str], possible: int, disguised: bool) -> int:
     if bits & _BIT["technical"]:  # a word inside a term of a trade says nothing; the same word beside it does
         words = TECHNICAL.sub(" ", s).split()
     own = set(words)
-    addressed, people = not own.isdisjoint(ADDRESSED), not own.isdisjoint(PEOPLE)
-    if not own.isdisjoint(INSULTS) or any(x in w for w in own if not w.isascii() for x in SIGN_INSULTS):
+    addressed, people, group = not own.isdisjoint(ADDRESSED), not own.isdisjoint(PEOPLE), not own.isdisjoint(GROUPS)
+    aimed = addressed or people or group
+    if possible & _BIT["insult"] and (not own.isdisjoint(INSULTS) or any(x in w for w in own if not w.isascii() for x in SIGN_INSULTS)):
         bits |= _BIT["insult"]
-    group = not own.isdisjoint(GROUPS)
     if group:
         bits |= _BIT["group"]
-    bad = own & (SLURS | INSULTS)
-    if own & SLURS and (addressed or people or group or len(bad) > 1):
+    if possible & _BIT["slur"] and own & SLURS and (aimed or len(own & (SLURS | INSULTS)) > 1):
         bits |= _BIT["slur"]
-    if addressed and not own.isdisjoint(SLURS | INSULTS | DEHUMANISING):
+    if addressed and possible & _NAMED and not own.isdisjoint(SLURS | INSULTS | DEHUMANISING):
         bits |= _BIT["addressed"]
-    if not own.isdisjoint(DEHUMANISING) and (people or group or addressed or own & {"all", "alle", "sont", "son", "es", "dieses"}):
+    if possible & _BIT["dehumanising"] and not own.isdisjoint(DEHUMANISING) and (aimed or own & {"all", "alle", "sont", "son", "es", "dieses"}):
         bits |= _BIT["dehumanising"]
-    if not own.isdisjoint(STEREOTYPES) and (people or group or "all" in own):
+    if possible & _BIT["stereotype"] and not own.isdisjoint(STEREOTYPES) and (aimed or "all" in own):
         bits |= _BIT["stereotype"]
-    if not own.isdisjoint(EXCLUDING):
+    if possible & _BIT["hate"] and not own.isdisjoint(EXCLUDING):
         bits |= _BIT["hate"]
-    if not own.isdisjoint(EXPLICIT):
+    if possible & _BIT["explicit"] and not own.isdisjoint(EXPLICIT):
         bits |= _BIT["explicit"]
-    if len(own & INTIMATE) > 1:
+    if possible & _BIT["intimate"] and len(own & INTIMATE) > 1:
         bits |= _BIT["intimate"]
-    if not own.isdisjoint(VIOLENT) and addressed and own & {"i", "we", "hope", "should", "ich", "wir", "je", "nous", "yo", "te"}:
+    if addressed and possible & _BIT["violence"] and not own.isdisjoint(VIOLENT) and own & {"i", "we", "hope", "should", "ich", "wir", "je", "nous", "yo", "te"}:
         bits |= _BIT["violence"]
     return bits | _BIT["disguised"] * disguised
 
