@@ -1,18 +1,23 @@
 """Documents into chunks: Markdown pieces, sentence windows, element trees, numbering, spans.
 
-Splitting one text is a greedy walk with state, so it runs in Python on Arrow batches, one
-text at a time; numbering and spans are windows.
+Which stretch of a text goes into which chunk follows from running totals of lengths and one
+search in them, so a text is never joined and measured again; it runs in Python on Arrow
+batches, one text at a time.  Numbering and spans are running totals over sorted slices.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.operators.ordered import running_total
+
 #: Where Markdown is split, the strongest first.
 MARKDOWN_BREAKS = ("\n## ", "\n### ", "\n#### ", "```", "\n\n")
 
@@ -21,43 +26,56 @@ def quarter_tokens(text: str) -> int:
     return max(1, len(text) // 4)
 
 
-def split_markdown(text: str, most: int, least: int = 100) -> list[str]:
+def _room(most: int) -> int:
+    """The most characters that still count as ``most`` tokens."""
+    return 4 * most + 3
+
+
+def runs_within(sizes: list[int], room: int, gap: int = 0, overlap: int = 0) -> list[tuple[int, int]]:
+    """Consecutive runs [i, j) of things laid out with ``gap`` between them that take up to ``room``; one thing alone may take more.
+
+    Every run is as long as it can be.  A run begins where the last one ended, or up to ``overlap`` things earlier, but
+    always after the last one's beginning.  The ends of all possible runs come from one search in the running total.
+    """
+    if not sizes:
+        return []
+    edge = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype="i8") + gap)])
+    first = np.arange(len(sizes))
+    reach = np.maximum(np.searchsorted(edge, edge[:-1] + room + gap, side="right") - 1, first + 1)
+    follows = np.maximum(reach - overlap, first + 1)
+    out, i = [], 0
+    while True:
+        out.append((i, int(reach[i])))
+        if reach[i] == len(sizes):
+            return out
+        i = int(follows[i])
+
+
+def _cut_at(text: str, span: tuple[int, int], mark: str) -> list[tuple[int, int]]:
+    """The span divided in front of every ``mark`` inside it; parts without a visible character are left out."""
+    edges = [span[0], *(m.start() for m in re.compile(re.escape(mark)).finditer(text, *span)), span[1]]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if text[a:b].strip()] if len(edges) > 2 else [span]
+
+
+def split_markdown(text: str, most: int) -> list[str]:
     """Pieces of at most ``most`` tokens where there is a place to cut: at headings, fences, paragraphs, at last between words.
 
-    Only a piece that is too long is split further; a separator goes with what follows it.  Then neighbours are
-    joined from the front as long as they fit; a short leftover stays alone rather than overshoot.
+    Only a stretch that is too long is cut, at the strongest mark first, and a mark goes with what follows it.  Then
+    neighbours are put together from the front as long as they fit; a short leftover stays alone rather than overshoot.
     """
-    pieces = [text]
+    room, spans = _room(most), [(0, len(text))]
     for mark in MARKDOWN_BREAKS:
-        nxt: list[str] = []
-        for p in pieces:
-            if quarter_tokens(p) <= most or mark not in p:
-                nxt.append(p)
-                continue
-            head, *rest = p.split(mark)
-            nxt += [x for x in (head, *(mark + r for r in rest)) if x.strip()]
-        pieces = nxt
-    fitting: list[str] = []
-    for p in pieces:
-        if quarter_tokens(p) <= most:
-            fitting.append(p)
+        spans = [part for span in spans for part in (_cut_at(text, span, mark) if span[1] - span[0] > room else [span])]
+    parts: list[str] = []
+    for a, b in spans:
+        if b - a <= room:
+            parts.append(text[a:b])
             continue
-        line = ""
-        for word in p.split():
-            longer = f"{line} {word}" if line else word
-            if line and quarter_tokens(longer) > most:
-                fitting.append(line + " ")
-                line = word
-            else:
-                line = longer
-        fitting += [line] if line else []
-    out: list[str] = []
-    for p in fitting:
-        if out and quarter_tokens(out[-1] + p) <= most:
-            out[-1] += p
-        else:
-            out.append(p)
-    return [x.strip() for x in out if x.strip()]
+        words = text[a:b].split()
+        lines = [" ".join(words[i:j]) for i, j in runs_within([len(w) for w in words], room, gap=1)]
+        parts += [*(line + " " for line in lines[:-1]), *lines[-1:]]
+    joined = ("".join(parts[i:j]).strip() for i, j in runs_within([len(x) for x in parts], room))
+    return [x for x in joined if x]
 
 
 def pack_sentences(text: str, most: int, overlap: int = 1) -> list[str]:
@@ -65,17 +83,8 @@ def pack_sentences(text: str, most: int, overlap: int = 1) -> list[str]:
 
     A single sentence over the limit is a run of its own, and every run begins after the one before it.
     """
-    sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
-    out, first = [], 0
-    while first < len(sentences):
-        end = first + 1
-        while end < len(sentences) and quarter_tokens(" ".join(sentences[first : end + 1])) <= most:
-            end += 1
-        out.append(" ".join(sentences[first:end]))
-        if end == len(sentences):
-            break
-        first = max(first + 1, end - overlap) if overlap else end
-    return out
+    said = [s for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+|\n+", text)) if s]
+    return [" ".join(said[i:j]) for i, j in runs_within([len(s) for s in said], _room(most), gap=1, overlap=overlap)]
 
 
 def chunk_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = 128, overlap: int = 1, outer: int = 10_000) -> DataFrame:
@@ -99,45 +108,50 @@ def chunk_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", m
 def chunk_elements(elements: DataFrame, most: int = 512) -> DataFrame:
     """Chunks of a document tree given as rows (document_id, position, type, level, text, page).
 
-    Headings update the path and are not put out; tables are chunks of their own; paragraphs of the same page and path
-    are joined while they fit; items without text are left out.  Result: (document_id, chunk_index, chunk_id,
-    block_type, heading_path, page, text).
+    Headings update the path and are not put out; tables are chunks of their own; paragraphs between two of them are put
+    together while their tokens sum up to at most ``most``, and an over-long one stays whole.  Then neighbours of the same
+    page and path are joined by a blank while the joined text fits.  The page is the first one known.  Items without text
+    are left out.  Result: (document_id, chunk_index, chunk_id, block_type, heading_path, page, text).
     """
     schema = "document_id string, chunk_index int, chunk_id string, block_type string, heading_path array<string>, page int, text string"
 
+    def packed(texts: list[tuple[str, int | None]], path: list[str]) -> list[tuple]:
+        runs = runs_within([quarter_tokens(t) for t, _ in texts], most)
+        return [("paragraph", path, next((p for _, p in texts[i:j] if p is not None), None), " ".join(t for t, _ in texts[i:j])) for i, j in runs]
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        doc, path, chunks = group["document_id"].iloc[0], [], []
+        doc, path, blocks, open_ = group["document_id"].iloc[0], [], [], []
         for r in group.sort_values("position").itertuples(index=False):
-            if not isinstance(r.text, str) or not r.text.strip():
-                continue
-            if r.type == "heading":
-                level = max(1, int(r.level))
-                path = [*path[: level - 1], r.text.strip()]
-                continue
-            page = None if pd.isna(r.page) else int(r.page)
-            parts = [r.text.strip()] if r.type == "table" else pack_sentences(r.text, most, 0)
-            for p in parts:
-                last = chunks[-1] if chunks else None
-                if r.type != "table" and last and last[0] == "paragraph" and last[1] == path and last[2] == page and quarter_tokens(f"{last[3]}\n\n{p}") <= most:
-                    last[3] = f"{last[3]}\n\n{p}"
-                else:
-                    chunks.append(["table" if r.type == "table" else "paragraph", list(path), page, p])
-        rows = [(doc, i, f"{doc}_{i}", *c) for i, c in enumerate(chunks)]
-        return pd.DataFrame(rows, columns=["document_id", "chunk_index", "chunk_id", "block_type", "heading_path", "page", "text"]).astype({"page": "Int32"})
+            text, page = r.text if isinstance(r.text, str) and r.text.strip() else None, None if pd.isna(r.page) else int(r.page)
+            if r.type in ("heading", "table"):
+                blocks, open_ = blocks + packed(open_, path), []
+                if r.type == "table" and text:
+                    blocks.append(("table", path, page, text.strip()))
+                elif r.type == "heading" and text:
+                    path = [*path[: max(1, int(r.level)) - 1], text.strip()]
+            elif text:
+                open_.append((text.strip(), page))
+        blocks += packed(open_, path)
+        rows: list[tuple] = []
+        for (kind, where, page), same in itertools.groupby(blocks, key=lambda b: b[:3]):
+            texts = [b[3] for b in same]
+            spans = runs_within([len(t) for t in texts], _room(most), gap=1) if kind == "paragraph" else [(i, i + 1) for i in range(len(texts))]
+            rows += [(kind, where, page, " ".join(texts[i:j])) for i, j in spans]
+        out = [(doc, i, f"{doc}_{i}", *x) for i, x in enumerate(rows)]
+        return pd.DataFrame(out, columns=["document_id", "chunk_index", "chunk_id", "block_type", "heading_path", "page", "text"]).astype({"page": "Int32"})
 
     return elements.groupBy("document_id").applyInPandas(run, schema)
 
 
 def renumbered(chunks: DataFrame, order: list) -> DataFrame:
-    """Chunks with ``chunk_index`` 0, 1, ... within each document in the given order."""
-    return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)) - 1)
+    """Chunks with ``chunk_index`` 0, 1, ... within each document in the given order; a document of any size is shared by many tasks."""
+    return running_total(chunks, "document_id", order, F.lit(1), "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def spans(chunks: DataFrame) -> DataFrame:
     """Chunks with ``start`` and ``end`` in the document's text, joined by one line end each."""
-    w = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0).cast("long"))
-    return chunks.withColumn("start", before).withColumn("end", F.col("start") + F.length("text"))
+    out = running_total(chunks, "document_id", ["chunk_index"], F.length("text") + 1, "start")
+    return out.withColumn("end", F.col("start") + F.length("text"))
 
 
 def overview_texts(chunks: DataFrame, first: int = 5, most: int = 5000) -> DataFrame:

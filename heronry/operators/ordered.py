@@ -9,16 +9,44 @@ plus its first and last row; the few boundary rows are put together afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
 
-from heronry.session import parallelism
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from heronry.session import cut_lineage, parallelism
+
+#: What a slice should hold, in bytes of the files it comes from.
+SLICE_BYTES = 128 << 20
+
+
+def slices_for(df: DataFrame) -> int:
+    """How many slices the tables under ``df`` should be cut into: by their bytes, at least as many as there are tasks for a shuffle."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return max(parallelism(df.sparkSession), math.ceil(min(size, 1 << 60) / SLICE_BYTES))
 
 
 def sorted_slices(df: DataFrame, keys: list[str | Column], partitions: int | None = None) -> DataFrame:
     """``df`` range-partitioned and sorted by ``keys``; nulls come first, ties are left to the last keys.
 
-    The number of partitions is fixed by the caller, so adaptive execution does not merge them.
+    The number of partitions follows the input's bytes and is fixed, so adaptive execution does not merge them.
     An empty table gives empty slices.
     """
-    n = partitions or parallelism(df.sparkSession)
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(partitions or slices_for(df), *keys).sortWithinPartitions(*keys)
+
+
+def running_total(df: DataFrame, key: str, order: list, amount: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``amount`` over the rows of the same key that come before, 0 for the first.
+
+    Rows are cut into sorted slices; totals run within (key, slice), and the totals of a key's slices, at most one
+    row a slice, give what comes before each.  Rows without a key are one key.
+    """
+    sliced = cut_lineage(sorted_slices(df.drop(name).withColumn("_amount", amount.cast("long")), [F.col(key), *order]).withColumn("_slice", F.spark_partition_id()))
+    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    offsets = sliced.groupBy(key, "_slice").agg(F.sum("_amount").alias("_all")).select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_all").over(earlier), zero).alias("_offset"))
+    local = sliced.withColumn("_local", F.coalesce(F.sum("_amount").over(inside), zero))
+    joined = local.join(offsets, local[key].eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
+    return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop("_amount", "_slice", "_local", "_key", "_of", "_offset")

@@ -149,7 +149,7 @@ def test_elements(spark):
     rows = [("d", 0, "heading", 1, "Top", 1), ("d", 1, "paragraph", 0, "One.", 1), ("d", 2, "paragraph", 0, "Two.", 1), ("d", 3, "table", 0, "|a|", 1), ("d", 4, "paragraph", 0, " ", 2), ("d", 5, "paragraph", 0, "Three.", None)]
     df = spark.createDataFrame(rows, "document_id string, position int, type string, level int, text string, page int")
     got = [(r["block_type"], r["heading_path"], r["page"], r["text"]) for r in chunking.chunk_elements(df).orderBy("chunk_index").collect()]
-    assert got == [("paragraph", ["Top"], 1, "One.\n\nTwo."), ("table", ["Top"], 1, "|a|"), ("paragraph", ["Top"], None, "Three.")]
+    assert got == [("paragraph", ["Top"], 1, "One. Two."), ("table", ["Top"], 1, "|a|"), ("paragraph", ["Top"], None, "Three.")]
 
 
 def test_metrics(spark):
