@@ -18,13 +18,19 @@ from heronry.session import cut_lineage, parallelism
 
 #: What a slice should hold, in bytes of the files it comes from.
 SLICE_BYTES = 128 << 20
+#: Rows of no known size (made in the driver) are stated as about this many bytes.
+UNKNOWN = 1 << 62
 
 
 def slices_for(df: DataFrame) -> int:
     """How many slices the tables under ``df`` should be cut into: by their bytes, at least as many as there are tasks for a shuffle."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    return max(parallelism(df.sparkSession), math.ceil(min(size, 1 << 60) / SLICE_BYTES))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves().iterator()
+    size = 0
+    while leaves.hasNext():
+        found = int(str(leaves.next().stats().sizeInBytes()))
+        size += found if found < UNKNOWN else 0
+    return max(parallelism(df.sparkSession), math.ceil(size / SLICE_BYTES))
 
 
 def sorted_slices(df: DataFrame, keys: list[str | Column], partitions: int | None = None) -> DataFrame:
