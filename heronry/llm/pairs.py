@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,97 +39,59 @@ NAMES = {
     "fr": "french französisch français francés",
     "es": "spanish spanisch espagnol español castellano",
 }
-# --- fixed values: courtesy around a refusal, and what refusals say --------------------------
-LEAD = r"^(?:(?:i['’]?m|i am|we['’]?re|we are) (?:very |so |really |truly )?sorry,?(?: but)?|sorry,?(?: but)?|unfortunately,?|regrettably,?|(?:i|we) apologi[sz]e,?(?: but)?|my apologies,?(?: but)?|thanks for asking[.,!]?|thank you for asking[.,!]?|as an? [a-z ]*(?:assistant|model|ai|program),?|es tut mir (?:sehr )?leid,?(?: aber)?|tut mir leid,?(?: aber)?|leider|désolée?,?(?: mais)?|je suis désolée?,?(?: mais)?|malheureusement,?|lo siento(?: mucho)?,?(?: pero)?|lamentablemente,?|por desgracia,?)\s*"
+# --- fixed values: courtesy around a refusal, and words by what they do in one ----------------
 COURTESY = re.compile(
     r"^(?:have an? (?:nice|good|great|lovely) (?:day|evening|week).*|please (?:try|ask) (?:a|another).*|(?:is there|do you have) (?:anything|another|any other).*|thanks? (?:you )?for (?:asking|your).*|haben sie .*|kann ich .*sonst.*|schönen tag.*|avez-vous (?:une )?autre.*|bonne journée.*|¿?\s*(?:tiene|hay) (?:otra|alguna|algo).*|que tenga .*)$",
     re.I,
 )
+SPEECH = {
+    "self": "i me my we us our ich mir mich mein meine meinen meiner wir uns unser je j me m moi mon mes nous notre yo puedo podemos prefiero preferimos debo debemos tengo tenemos estoy estamos quiero queremos rechazo mis nuestro nuestra program model machine bot ai",
+    "not": "not no never nothing unable cannot nicht nichts kein keine keinen keinerlei nie ne n pas rien aucun aucune nunca nada ninguna ningún",
+    "act": "help helping assist assisting assistance support answer answers answered answering respond responding reply comply complying provide provided providing discuss discussing talk talking speak speaking say saying comment commenting share sharing give giving offer offering continue engage tell advise going go "
+    "helfen weiterhelfen reden sprechen beantworten beantwortet antworten antwort sagen äußern auskunft geben unterstützen besprechen aider répondre réponse discuter fournir parler commenter dire traiter ayudar ayudarle ayudarte ayudarlo ayudarla responder contestar comentar hablar proporcionar decir tratar",
+    "decline": "refuse refusing decline declining reject abstain ablehnen ablehne lehne verweigern verweigere refuser refuse décliner décline rechazar rechazo negarme declinar",
+    "leave": "rather prefer leave unanswered lieber vorziehen préfère préférons prefiero",
+    "rule": "rules rule guidelines guideline policy policies instructions principles richtlinien regeln vorgaben règles consignes directives reglas normas directrices",
+    "against": "against violates violate gegen verstößt contre contra",
+    "outside": "outside beyond außerhalb dehors fuera",
+    "avoid": "away clear avoid avoiding out fern évite évito",
+    "off": "off disabled blocked unavailable restricted deactivated abgeschaltet deaktiviert gesperrt désactivée désactivé desactivada desactivado",
+    "else": "else different another anderes autre otra otro",
+    "elsewhere": "yourself elsewhere professional professionals expert experts specialist lawyer doctor authority selbst fachmann fachleute arzt anwalt spécialiste professionnel profesional especialista médico abogado",
+    "you": "you sie du vous tu usted",
+    "view": "view views opinion opinions meinung avis opinión",
+    "talk": "talk talking speak speaking change reden sprechen parlons hablemos",
+}
+#: Words that a refusal may have besides; they say nothing about the matter asked for.
+AROUND = set(
+    "sorry but unfortunately regrettably apologise apologize apologies very so really truly as a an the language assistant only am are is be been being was can could may might let lets allow allowed allows permitted able will would want wish like must have has had need needs do does did done to of on in at for from with into about by up count keep stay steer look find ask consult see get this that these those it its such what which one kind type sort question questions request requests topic topics subject matter query queries information thing things anything something point and or if any all there here just simply instead qualified comfortable position supposed set switched goes give put "
+    "es tut leid leider aber auch das dies diese diesen dieser dieses dabei damit darauf dazu darüber dafür davon bei zu zur zum ab kann können darf dürfen möchte will muss müssen ihnen dir frage fragen anfrage thema der die den dem ein eine auf mit von in über "
+    "désolé désolée mais malheureusement peux puis pouvons suis sommes mesure autorisé autorisée dois devons à la le les ce cette cet ces sur de d que qui question demande sujet point en y vous vôtre "
+    "lo siento mucho pero lamentablemente por desgracia con eso esto esta este estas pregunta preguntas solicitud tema a la el los las de en autorizado autorizada que sobre al".split()
+)
+#: A statement about the sources is an answer.
+SOURCES = set("document documents source sources context passage passages excerpt excerpts index indexed manual manuals text file files page pages mention mentions mentioned contain contains found listed dokumente dokumenten unterlagen quellen kontext documents documentos fuentes contexto manuales contexte extrait".split())
+#: What refusals say, as kinds of words in their order.
 REFUSALS = [
-    "i can not help with that",
-    "i can not help you with this request",
-    "i can not assist with that",
-    "i can not comply with this request",
-    "i can not answer this question",
-    "i can not provide that information",
-    "i can not discuss this topic",
-    "i am not able to answer this question",
-    "i am not able to help with that",
-    "i am not able to assist with this request",
-    "i am unable to answer this question",
-    "i am unable to help with that",
-    "i am unable to assist with this request",
-    "i am not allowed to answer this question",
-    "i am not permitted to discuss this",
-    "i am not comfortable answering this",
-    "i must refuse this request",
-    "i have to refuse this request",
-    "i must decline this request",
-    "i decline to answer this question",
-    "i refuse to answer this question",
-    "this is something i have to decline",
-    "this request goes against my rules",
-    "this request is against my guidelines",
-    "my guidelines do not let me respond to this",
-    "my rules do not allow me to answer this",
-    "i will not be going into that",
-    "i will not answer this question",
-    "i will not help with that",
-    "i would prefer to leave that question unanswered",
-    "i would prefer not to answer that question",
-    "i would rather not say anything about this matter",
-    "i would rather not answer this",
-    "no answer can be provided by me on this topic",
-    "assistance with this kind of query is switched off",
-    "that is outside of what i may discuss",
-    "that is a topic i stay away from",
-    "count me out of this one",
-    "let us talk about something else instead",
-    "i am only a program and have no view to offer on this",
-    "you have to look that up yourself",
-    "you will need to ask a qualified professional as i do not give out such information",
-    "i do not give out such information",
-    "i do not answer questions like this",
-    "dabei kann ich nicht helfen",
-    "dabei kann ich ihnen leider nicht helfen",
-    "damit kann ich nicht helfen",
-    "das kann ich nicht beantworten",
-    "diese frage kann ich nicht beantworten",
-    "diese frage darf ich nicht beantworten",
-    "diese frage möchte ich nicht beantworten",
-    "darauf möchte ich nicht antworten",
-    "dazu möchte ich mich nicht äußern",
-    "dazu kann ich nichts sagen",
-    "ich muss diese anfrage ablehnen",
-    "ich lehne diese anfrage ab",
-    "je ne peux pas vous aider sur ce point",
-    "je ne peux pas répondre à cette question",
-    "je ne suis pas en mesure de répondre à cette question",
-    "je ne suis pas autorisé à répondre à cette question",
-    "je préfère ne pas répondre à cette question",
-    "je refuse de répondre à cette question",
-    "je dois refuser cette demande",
-    "no puedo ayudarle con eso",
-    "no puedo ayudarte con eso",
-    "no puedo responder a esta pregunta",
-    "no puedo contestar a esta pregunta",
-    "no estoy autorizado a responder a esta pregunta",
-    "prefiero no responder a esta pregunta",
-    "prefiero no contestar a esta pregunta",
-    "debo rechazar esta solicitud",
-    "tengo que rechazar esta solicitud",
-]
+    "self not act", "not act self", "not self act", "self decline", "decline self", "self leave not act", "self leave leave", "rule not act", "against rule", "rule against", "outside self act",
+    "self avoid", "act off", "off act", "talk else", "you elsewhere", "self not view", "self not decline act",
+]
 # --- fixed values: words a complete sentence or list item does not end with -------------------
 OPEN_ENDS = set(
     "a an the of to and or but because unless until when while which who that than with without for from by at on in into if as so is are was were be been has have may must should can will not no only their its this these each every der die das den dem des ein eine einen und oder aber weil dass wenn sofern sobald mit ohne für von zu im bei auf nach sowie le la les un une des du de et ou mais parce que qui si avec sans pour dans sur sauf el los las una del y o pero porque que si con sin para en salvo".split()
 )
 GREETING = set("hi hello hey again you asked question your was next urgent quick and one more thing please ok okay so sure the i need it for short answer repeat".split())
-_CONTRACTIONS = ((r"\bcan['’]?t\b|\bcannot\b", "can not"), (r"\bwon['’]t\b", "will not"), (r"n['’]t\b", " not"), (r"\bi['’]d\b", "i would"), (r"['’]m\b", " am"), (r"['’]re\b", " are"), (r"\b(that|it)['’]s\b", r"\1 is"), (r"\blet['’]s\b", "let us"), (r"['’]ve\b", " have"), (r"['’]ll\b", " will"))
+_CONTRACTIONS = tuple((re.compile(x), y) for x, y in ((r"\bcan['’]?t\b|\bcannot\b", "can not"), (r"\bwon['’]t\b", "will not"), (r"n['’]t\b", " not"), (r"\bi['’]d\b", "i would"), (r"['’]m\b", " am"), (r"['’]re\b", " are"), (r"\b(that|it)['’]s\b", r"\1 is"), (r"\blet['’]s\b", "let us"), (r"['’]ve\b", " have"), (r"['’]ll\b", " will")))
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _WORD = re.compile(r"\w+")
 _QUOTED = re.compile(r"«[^»]*»|„[^“”]*[“”]|“[^”]*”|\"[^\"]*\"")
 _ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])(?:\s+|$)")
-_REFUSAL_TOKENS = [t.split() for t in REFUSALS]
+_KINDS: dict[str, set[str]] = {}
+for _kind, _words in SPEECH.items():
+    for _w in _words.split():
+        _KINDS.setdefault(_w, set()).add(_kind)
+_TEMPLATES = [t.split() for t in REFUSALS]
+_SPOKEN = AROUND | set(_KINDS)
 
 
 def tokens(text: str) -> list[str]:
@@ -160,6 +123,9 @@ def is_copy(prompt: list[str], response: list[str]) -> bool:
     """The response says the prompt again and adds nothing but a greeting or lead-in."""
     if len(response) < 3 or not prompt:
         return False
+    own = set(prompt)
+    if len({x for x in response if x not in own and x not in GREETING}) > 1:
+        return False
     extra = Counter(response) - Counter(prompt)
     twice = len(response) > 1.4 * len(prompt)
     new = [x for x in extra if x not in GREETING and (not twice or x not in prompt)]
@@ -179,21 +145,43 @@ def is_copy(prompt: list[str], response: list[str]) -> bool:
     return shared >= 0.55 * len(bare) and lcs(prompt + prompt if twice else prompt, core) >= 0.8 * len(core)
 
 
+def aligned(template: list[str], words: list[str]) -> int:
+    """Length of the longest common subsequence of a template and the kinds of the words."""
+    where: dict[str, int] = {}
+    for i, kind in enumerate(template):
+        where[kind] = where.get(kind, 0) | 1 << i
+    row = 0
+    for w in words:
+        x = row
+        for kind in _KINDS.get(w, ()):
+            x |= where.get(kind, 0)
+        row = x & ~(x - ((row << 1) | 1))
+    return row.bit_count()
+
+
 def is_refusal(text: str) -> bool:
-    """Every sentence but courtesies aligns with a refusal template, and there is at least one."""
+    """Every sentence but courtesies aligns with a refusal template, and there is at least one.
+
+    Seven words in eight must be such as speak about answering, whatever the matter is; a sentence about the sources is no refusal.
+    """
     found = False
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", text.strip()):
         s = sentence.strip().lower()
-        if not _WORD.search(s) or COURTESY.match(s):
+        rough = _WORD.findall(s)
+        if not rough:
+            continue
+        if sum(w in _SPOKEN for w in rough) < 0.6 * len(rough):  # contractions are not undone yet
+            if COURTESY.match(s):
+                continue
+            return False
+        if COURTESY.match(s):
             continue
-        for _ in range(3):
-            s = re.sub(LEAD, "", s, flags=re.I)
         for pattern, plain in _CONTRACTIONS:
-            s = re.sub(pattern, plain, s)
+            s = pattern.sub(plain, s)
         words = _WORD.findall(s)
-        if not words:
-            continue
-        if not any(lcs(t, words) >= 0.8 * max(len(t), len(words)) for t in _REFUSAL_TOKENS):
+        if not SOURCES.isdisjoint(words) or sum(w not in _SPOKEN for w in words) > len(words) // 8:
+            return False
+        if not any(aligned(t, words) == len(t) for t in _TEMPLATES):
             return False
         found = True
     return found
@@ -229,24 +217,30 @@ def is_truncated(text: str) -> bool:
 def language(text: str) -> str | None:
     """en, de, fr or es by marker words and letters; None without clear evidence.  Quoted spans do not count."""
     plain = _QUOTED.sub(" ", text)
-    words = tokens(plain)
-    score = {k: 0.0 for k in MARKERS}
-    for w in words:
-        hits = [k for k, m in _MARKER_SETS.items() if w in m]
-        for k in hits:
-            score[k] += 1 / len(hits)
-    low = plain.lower()
-    for k, letters in LETTERS.items():
-        score[k] += 0.7 * min(3, sum(low.count(c) for c in letters))
+    score = dict.fromkeys(MARKERS, 0.0)
+    for w in tokens(plain):
+        hits = _MARKED.get(w)
+        if hits:
+            for k in hits:
+                score[k] += 1 / len(hits)
+    if not plain.isascii():
+        low = plain.lower()
+        for k, letters in LETTERS.items():
+            score[k] += 0.7 * min(3, sum(low.count(c) for c in letters))
     order = sorted(score.values(), reverse=True)
     best = max(score, key=score.get)
     return best if order[0] >= 1.5 and order[0] >= 1.6 * order[1] else None
 
 
-_MARKER_SETS = {k: set(v) for k, v in MARKERS.items()}
+_MARKED = {w: tuple(k for k, v in MARKERS.items() if w in v) for words in MARKERS.values() for w in words}
 _NAME_SETS = {k: set(v.split()) for k, v in NAMES.items()}
 
 
+@lru_cache(maxsize=4096)
+def _asked_in(prompt: str) -> str | None:
+    return language(prompt)
+
+
 def defect(prompt: str, response: str | None) -> str | None:
     """The defect of one response, the first of empty, copy, refusal, truncated, language; None if sound."""
     text = _THINK.sub("", response or "")
@@ -262,7 +256,7 @@ def defect(prompt: str, response: str | None) -> str | None:
         return "truncated"
     spoken = language(text)
     if spoken:
-        own = language(prompt)
+        own = _asked_in(prompt)
         wanted = {k for k, names in _NAME_SETS.items() if names & set(asked)}
         if own and spoken != own and spoken not in wanted:
             return "language"
@@ -273,22 +267,23 @@ _FOUND = "kind string, session_id string, instant long, rank int, id string, bla
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    previous, first = None, True
+    last = head = None
+    columns = ["session_id", "instant", "rank", "id", "blank", "content"]
     for pdf in batches:
         out = []
-        for row in pdf.itertuples(index=False):
-            if first:
-                out.append(("head", row.session_id, row.instant, row.rank, row.id, row.blank, row.content, None))
-                first = False
-            elif row.rank == 1 and previous.session_id == row.session_id and previous.rank == 0 and not previous.blank:
-                what = "empty" if row.blank else defect(previous.content, row.content)
+        for row in zip(*(pdf[c].tolist() for c in columns)):
+            session, instant, rank, name, blank, content = row
+            if head is None:
+                head = row
+                out.append(("head", *row, None))
+            elif rank == 1 and last[0] == session and last[2] == 0 and not last[4]:
+                what = "empty" if blank else defect(last[5], content)
                 if what:
-                    out.append(("found", row.session_id, row.instant, row.rank, row.id, row.blank, None, what))
-            previous = row
-        yield pd.DataFrame(out, columns=["kind", "session_id", "instant", "rank", "id", "blank", "content", "defect"])
-    if previous is not None:
-        p = previous
-        yield pd.DataFrame([("tail", p.session_id, p.instant, p.rank, p.id, p.blank, p.content, None)], columns=["kind", "session_id", "instant", "rank", "id", "blank", "content", "defect"])
+                    out.append(("found", session, instant, rank, name, blank, None, what))
+            last = row
+        yield pd.DataFrame(out, columns=["kind", *columns, "defect"])
+    if last is not None:
+        yield pd.DataFrame([("tail", *last, None)], columns=["kind", *columns, "defect"])
 
 
 def broken_pairs(messages: DataFrame) -> DataFrame:

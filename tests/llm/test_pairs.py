@@ -27,6 +27,19 @@ def test_defects(prompt, response, what):
     assert P.defect(prompt, response) == what
 
 
+@pytest.mark.parametrize("text", [
+    "I'm afraid I am not in a position to comment on that topic.", "We will not discuss this matter.", "This is beyond what I can talk about.", "Such questions are against our policy.", "Our principles do not allow me to say anything on this.", "Sorry, but I'll stay clear of that subject.",
+    "Please consult a lawyer yourself; I can't advise on this.", "That feature is disabled, I can not answer this.", "Ich möchte darauf lieber nicht antworten.", "Leider darf ich dir dazu keine Auskunft geben.", "Nous ne pouvons pas discuter de ce sujet.", "No quiero hablar sobre este tema.", "I decline.", "It would not be right for me to help with this.",
+])
+def test_refusals_that_no_list_has(text):
+    assert P.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["The documents do not say anything on this.", "I can not find this in the manual.", "No, the valve is not able to hold 9 bar.", "I would rather close the valve first.", "The policy is against night work.", "Ask the clerk for the key of the archive.", "I do not answer for the pump, the clerk does.", "I can help with that.", "Yes."])
+def test_answers_that_are_no_refusals(text):
+    assert not P.is_refusal(text)
+
+
 def test_lcs_against_the_table():
     import random
 
