@@ -24,6 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -99,25 +100,34 @@ def holds(pattern: list, text: list) -> bool:
     return len(text) >= len(pattern) - slack and common(pattern, text) >= len(pattern) - slack and edits(pattern, text) <= slack
 
 
+@lru_cache(maxsize=1024)
+def _stretches(n: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, words that may be missing) of the stretches of ``n`` words that have to be looked at, the shortest first."""
+    sizes = [least, *range(ONE_IN * (least // ONE_IN + 1), n + 1, ONE_IN)]
+    starts = [np.arange(max(0, n - size + 1)) for size in sizes]
+    size = np.repeat(sizes, [len(x) for x in starts])
+    first = np.concatenate(starts)
+    return first, first + size, size // ONE_IN
+
+
 def holds_run(passage: list, text: list, around: tuple[int, int], least: int = RUN) -> bool:
     """``text`` holds ``least`` or more consecutive words of the part of ``passage`` near ``around``, under the same slack."""
     if len(passage) < least:
         return False
     a, b = max(0, around[0] - 2 * least), min(len(passage), around[1] + 2 * least)
-    part, aligned = passage[a:b], None
-    sizes = [least] + [n for n in range(ONE_IN * (least // ONE_IN + 1), len(part) + 1, ONE_IN)]
+    part = passage[a:b]
     known = set(text)
-    missing = np.concatenate([[0], np.cumsum([w not in known for w in part])])
-    for size in sizes:
-        for i in np.flatnonzero(missing[size:] - missing[:-size] <= size // ONE_IN):
-            aligned = common(part, text) if aligned is None else aligned
-            if aligned < least - least // ONE_IN:
-                return False
-            piece = part[i : i + size]
-            if holds(piece, text):
-                n = edits(piece, text)  # an edit at either end would only stretch a shorter run
-                if n == 0 or (edits(piece[1:], text) == n and edits(piece[:-1], text) == n):
-                    return True
+    missing = np.cumsum([0, *(w not in known for w in part)])
+    first, end, may = _stretches(len(part), least)
+    hopeful = np.flatnonzero(missing[end] - missing[first] <= may)
+    if not len(hopeful) or common(part, text) < least - least // ONE_IN:
+        return False
+    for i, j in zip(first[hopeful].tolist(), end[hopeful].tolist()):
+        piece = part[i:j]
+        if holds(piece, text):
+            n = edits(piece, text)  # an edit at either end would only stretch a shorter run
+            if n == 0 or (edits(piece[1:], text) == n and edits(piece[:-1], text) == n):
+                return True
     return False
 
 
