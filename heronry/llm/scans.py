@@ -1,13 +1,14 @@
 """Repair of text from scanned pages: split words, misread characters, running heads, page numbers.
 
-Two passes over the chunks, both maps.  The first counts words and word pairs of the
+Passes over the chunks are maps.  The first counts words and word pairs of the
 whole corpus and head-like lines of every document (counted within a task before
 anything is shuffled).  A word is misread if it falls together with a far more
 frequent word once confusable glyphs are drawn alike, and its neighbours are seen far
 more often with that word: both are joins over all counts, whatever their size.  What
 comes out, the words that may be misread and the neighbours that say so, is joined to
-the chunks that hold them; only a filter of fixed size is broadcast, which keeps other
-words out of that join.  The second pass judges each chunk.  The repaired lines are
+the chunks that hold them, as are the heads a document repeats to the chunks that have
+such a line; only a filter of fixed size is broadcast, which keeps other words out of that
+join.  The last pass judges each chunk.  The repaired lines are
 put into paragraphs with SQL windows.
 """
 
@@ -21,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,26 +109,117 @@ def named_head(line: str, name: frozenset[str]) -> bool:
     return len(shared) >= 2 and 2 * len(shared) >= len(words)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    one, two, heads = Counter(), Counter(), Counter()
-    for pdf in batches:
-        for document, text in zip(pdf["document_id"], pdf["text"]):
-            ws = words_of(text)
-            one.update(ws)
-            if "-" in text:
-                one.update(w.lower() for w in _COMPOUND.findall(text))
-            two.update(zip(ws, ws[1:]))
-            if document is not None and "\n" in text:
-                heads.update({(document, k) for line in _HEADLIKE.findall(text) if (k := head_key(line))})
-        if len(two) > 500_000:
-            yield _counts(one, two, heads)
-            one, two, heads = Counter(), Counter(), Counter()
-    yield _counts(one, two, heads)
+_BLANK = r"[\s\v\x1c-\x1f\x{85}\p{Z}]+"
+_HYPHEN_END = r"[-\x{ad}\x{2010}\x{2011}][ \t]*\r?\n"
+
 
+class Tokens:
+    """The words of many texts at once: every distinct run between white space is looked at once.
 
-def _counts(one: Counter, two: Counter, heads: Counter) -> pd.DataFrame:
-    rows = [("word", w, None, n) for w, n in one.items() if _letters(w)] + [("pair", a, b, n) for (a, b), n in two.items()] + [("head", d, k, n) for (d, k), n in heads.items()]
-    return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
+    Words, codes and compounds never cross white space, so a text's words are those of its runs in order.
+    """
+
+    MOST = 400_000
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.words: list[str] = []
+        self.runs: dict[str, int] = {}
+        self.parts: list[list[int]] = []
+
+    def _word(self, w: str) -> int:
+        n = self.number.get(w)
+        if n is None:
+            n = self.number[w] = len(self.words)
+            self.words.append(w)
+        return n
+
+    def look(self, run: str) -> list[int]:
+        """Numbers of the words a run adds."""
+        return [self._word(w) for w in words_of(run)]
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, row) of all words in order, and (run, row) of all runs."""
+        lists = pc.split_pattern_regex(texts, _BLANK)
+        coded = lists.flatten().dictionary_encode()
+        known = np.empty(len(coded.dictionary), "i8")
+        for i, run in enumerate(coded.dictionary.to_pylist()):
+            n = self.runs.get(run)
+            if n is None:
+                n = self.runs[run] = len(self.parts)
+                self.parts.append(self.look(run))
+            known[i] = n
+        run = known[coded.indices.to_numpy()] if len(coded) else np.empty(0, "i8")
+        row = pc.list_parent_indices(lists).to_numpy()
+        own, at = np.unique(run, return_inverse=True)
+        lengths = np.array([len(self.parts[n]) for n in own], "i8")
+        flat = np.array([w for n in own for w in self.parts[n]], "i8")
+        begins = np.cumsum(lengths) - lengths
+        size = lengths[at] if len(own) else np.empty(0, "i8")
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[at] if len(own) else size, size)
+        return flat[place], np.repeat(row, size), run, row
+
+
+class CountedTokens(Tokens):
+    """Tokens with the compounds each run has."""
+
+    def __init__(self):
+        super().__init__()
+        self.compounds: list[list[int]] = []
+
+    def look(self, run: str) -> list[int]:
+        self.compounds.append([self._word(w.lower()) for w in _COMPOUND.findall(run)] if "-" in run else [])
+        return super().look(run)
+
+
+def _joined(texts: pa.Array) -> pa.Array:
+    """Texts in which words split at a line end are put together."""
+    some = pc.match_substring_regex(texts, _HYPHEN_END)
+    if not pc.any(some).as_py():
+        return texts
+    return pc.replace_with_mask(texts, some, pa.array([_SPLIT.sub(r"\1\2", t) for t in texts.filter(some).to_pylist()], texts.type))
+
+
+def _counted(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(x, return_inverse=True)
+    return own, np.bincount(at, n, len(own)).astype("i8")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+    tokens, one, two, heads = CountedTokens(), [], [], Counter()
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        words = pa.array(tokens.words, pa.string())
+        w, n = (_counted(np.concatenate([x for x, _ in one]), np.concatenate([y for _, y in one])) if one else (np.empty(0, "i8"),) * 2)
+        real = np.array([_letters(tokens.words[i]) for i in w], bool)
+        w, n = w[real], n[real]
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar("word"), len(w)), words.take(pa.array(w)), pa.nulls(len(w), pa.string()), pa.array(n)], schema=schema)
+        k, n = (_counted(np.concatenate([x for x, _ in two]), np.concatenate([y for _, y in two])) if two else (np.empty(0, "u8"), np.empty(0, "i8")))
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar("pair"), len(k)), words.take(pa.array((k >> np.uint64(32)).astype("i8"))), words.take(pa.array((k & np.uint64(0xFFFFFFFF)).astype("i8"))), pa.array(n)], schema=schema)
+        yield pa.RecordBatch.from_pydict({"kind": ["head"] * len(heads), "a": [d for d, _ in heads], "b": [h for _, h in heads], "n": list(heads.values())}, schema=schema)
+
+    for batch in batches:
+        texts = _joined(batch.column(1))
+        plain = batch.column(1)
+        w, row, _, _ = tokens.read(texts)
+        one.append(_counted(w))
+        same = row[1:] == row[:-1]
+        two.append(_counted(w[:-1][same].astype("u8") << np.uint64(32) | w[1:][same].astype("u8")))
+        hyphens = pc.match_substring(plain, "-")
+        if pc.any(hyphens).as_py():
+            _, _, run, _ = tokens.read(plain.filter(hyphens))
+            one.append(_counted(np.array([c for r in run[np.array([bool(x) for x in tokens.compounds])[run]] for c in tokens.compounds[r]], "i8")))
+        lines = pc.and_(pc.is_valid(batch.column(0)), pc.match_substring(plain, "\n"))
+        for document, text in zip(batch.column(0).filter(lines).to_pylist(), plain.filter(lines).to_pylist()):
+            heads.update({(document, k) for line in _HEADLIKE.findall(text) if (k := head_key(line))})
+        if len(two) > 8:
+            two = [_counted(np.concatenate([x for x, _ in two]), np.concatenate([y for _, y in two]))]
+            one = [_counted(np.concatenate([x for x, _ in one]), np.concatenate([y for _, y in one]))]
+        if len(two[0][0]) > 500_000 or len(tokens.runs) > Tokens.MOST:
+            yield from counts()
+            tokens, one, two, heads = CountedTokens(), [], [], Counter()
+    yield from counts()
 
 
 class Readings:
@@ -154,6 +248,9 @@ class Readings:
         return out
 
 
+NOTHING = Readings(None)
+
+
 def _page_of(metadata: str | None) -> int | None:
     m = re.search(r'"page"\s*:\s*(\d+)', metadata or "")
     return int(m.group(1)) if m else None
@@ -180,9 +277,6 @@ def page_lines(lines: list[str], page: int | None) -> set[int]:
 def judge(text: str, document_id: str | None, metadata: str | None, repeated: set[str], lexicon: Readings) -> tuple[set[str], list[str]]:
     """(kinds of noise, repaired lines without heads and page numbers)."""
     noise: set[str] = set()
-    if "\n" not in text:  # one line: no line end to split at, and no line of its own for a head or number
-        if not lexicon.misread(words_of(text)):
-            return noise, [text]
     page, name = _page_of(metadata), name_keys(document_id)
     lines = text.split("\n")
     headlike = set(_HEADLIKE.findall(text))
@@ -200,7 +294,7 @@ def judge(text: str, document_id: str | None, metadata: str | None, repeated: se
                 noise.add("page_number")
             continue
         kept.append(line)
-    if lexicon.misread(words_of(text)):
+    if lexicon.known and lexicon.misread(words_of(text)):
         noise.add("misread")
     body = "\n".join(kept)
 
@@ -225,7 +319,7 @@ def judge(text: str, document_id: str | None, metadata: str | None, repeated: se
 
 def count(chunks: DataFrame) -> DataFrame:
     """(kind, a, b, n): how often every word, word pair and head-like line of a document occurs; written once."""
-    counted = chunks.where("text is not null").select("document_id", "text").mapInPandas(_count, "kind string, a string, b string, n long")
+    counted = chunks.where("text is not null").select("document_id", "text").mapInArrow(_count, "kind string, a string, b string, n long")
     return cut_lineage(counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
 
 
@@ -291,17 +385,15 @@ _LINE_END = re.compile(r"([^\W\d_][\w|@]*)[-­‐‑][ \t]*\r?$")
 _LINE_START = re.compile(r"\s*([^\W\d_|@][\w|@]*)")
 
 
-def _looked_up(text: str) -> set[str]:
-    """The words of a chunk, and the compounds it may have at line ends, whatever lines between are taken out."""
-    out = set(words_of(text))
-    if "\n" in text:
-        out.update(w for w in (x.lower() for x in _WORD.findall(text)))
-        lines = text.split("\n")
-        starts = [m.group(1) if (m := _LINE_START.match(x)) else None for x in lines]
-        for i, x in enumerate(lines):
-            if m := _LINE_END.search(x):
-                for b in {y for y in starts[i + 1 :] if y}:
-                    out.update((f"{m.group(1)}-{b}".lower(), f"{m.group(1)}{b}".lower()))
+def _at_line_ends(text: str) -> set[str]:
+    """The compounds and joined words a text may have at line ends, whatever lines between are taken out."""
+    out = set()
+    lines = text.split("\n")
+    starts = [m.group(1) if (m := _LINE_START.match(x)) else None for x in lines]
+    for i, x in enumerate(lines):
+        if m := _LINE_END.search(x):
+            for b in {y for y in starts[i + 1 :] if y}:
+                out.update((f"{m.group(1)}-{b}".lower(), f"{m.group(1)}{b}".lower()))
     return out
 
 
@@ -309,45 +401,63 @@ def _place(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % PLACES
 
 
-def _with_readings(rows: DataFrame, counted: DataFrame) -> DataFrame:
-    """Rows with ``readings``: what is known of the words of their text."""
+class SoughtTokens(Tokens):
+    """Tokens that keep only words the filter lets through, as words and as they stand."""
+
+    def __init__(self, taken: np.ndarray):
+        super().__init__()
+        self.taken = taken
+
+    def look(self, run: str) -> list[int]:
+        return [self._word(w) for w in {*words_of(run), *_WORD.findall(run.lower())} if self.taken[_place(w)]]
+
+
+def _with_known(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows with ``readings``, what is known of the words of their text, and ``heads``, the keys of their lines that repeat in the document.
+
+    Both are equality joins of the few words that may be misread and the few lines that look like heads; only a filter
+    of fixed size is broadcast.
+    """
     known = cut_lineage(readings(counted))
     taken = np.zeros(PLACES, dtype=bool)
     places = known.select((F.crc32(F.encode("w", "utf-8")) % PLACES).cast("int").alias("p")).distinct().toPandas()["p"]  # at most PLACES
     taken[places.to_numpy(dtype="i8")] = True
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken, passed = np.unpackbits(shared.value), {}
-        for pdf in batches:
-            out = []
-            if len(passed) > 500_000:
-                passed.clear()
-            for h, t in zip(pdf["h"], pdf["text"]):
-                for w in _looked_up(t):
-                    if w not in passed:
-                        passed[w] = bool(taken[_place(w)])
-                    if passed[w]:
-                        out.append((h, w))
-            yield pd.DataFrame(out, columns=["h", "w"])
-
-    keyed = rows.withColumn("h", F.xxhash64("text"))  # texts that share a hash share readings, which are the same for all texts
-    met = keyed.select("h", "text").mapInPandas(run, "h long, w string").distinct().join(known, "w")
-    by_text = met.groupBy("h").agg(F.collect_list(F.struct("w", "g", "before", "after")).alias("readings"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = np.unpackbits(shared.value).astype(bool)
+        tokens = SoughtTokens(taken)
+        schema = pa.schema([("h", pa.int64()), ("w", pa.string()), ("document_id", pa.string())])
+        for batch in batches:
+            if len(tokens.runs) > Tokens.MOST:
+                tokens = SoughtTokens(taken)
+            h, document, text = batch.columns
+            w, row, _, _ = tokens.read(_joined(text))
+            ends = pc.match_substring_regex(text, _HYPHEN_END)
+            found = [(h[i], tokens.words[x], None) for i, x in zip(row.tolist(), w.tolist())]
+            found += [(i, x, None) for i, t in zip(h.filter(ends).to_pylist(), text.filter(ends).to_pylist()) for x in {*_at_line_ends(t), *(y.lower() for y in _WORD.findall(t))} if taken[_place(x)]]
+            heads = pc.and_(pc.is_valid(document), pc.match_substring_regex(text, r"(?m)^[ \t]*[^a-z\s]"))
+            for i, d, t in zip(h.filter(heads).to_pylist(), document.filter(heads).to_pylist(), text.filter(heads).to_pylist()):
+                found += [(i, k, d) for k in {head_key(line) for line in _HEADLIKE.findall(t)} if k]
+            columns = list(zip(*found)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    keyed = rows.withColumn("h", F.xxhash64("text", "document_id"))  # rows that share a hash share text and document
+    met = cut_lineage(keyed.select("h", "document_id", "text").mapInArrow(run, "h long, w string, document_id string").distinct())
+    none = F.lit(None).cast("string")
+    words = met.where("document_id is null").select("h", "w").join(known, "w")
+    heads = met.where("document_id is not null").join(repeated_heads(counted).withColumnRenamed("key", "w"), ["document_id", "w"])
+    every = words.select("h", "w", "g", "before", "after", none.alias("head")).unionByName(heads.select("h", none.alias("w"), none.alias("g"), F.lit(None).cast("array<string>").alias("before"), F.lit(None).cast("array<string>").alias("after"), F.col("w").alias("head")))
+    by_text = every.groupBy("h").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "g", "before", "after"))).alias("readings"), F.collect_list("head").alias("heads"))  # of one text
     return keyed.join(by_text, "h", "left").drop("h")
 
 
-def _with_heads(chunks: DataFrame, heads: DataFrame) -> DataFrame:
-    by_document = heads.groupBy("document_id").agg(F.collect_list("key").alias("heads"))  # distinct heads of one document: few
-    return chunks.join(by_document, "document_id", "left")
-
-
 def _pass(lines: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for c, d, m, t, h, h_, r in zip(pdf["chunk_id"], pdf["document_id"], pdf["metadata"], pdf["text"], pdf["heads"], pdf["row"], pdf["readings"]):
-                noise, kept = judge(t, d, m, set(h) if h is not None else set(), Readings(r))
+                noise, kept = judge(t, d, m, set(h) if h is not None else set(), Readings(r) if r is not None and len(r) else NOTHING)
                 if lines:
                     out.append((c, d, h_, kept))
                 else:
@@ -364,8 +474,8 @@ def scan_noise(chunks: DataFrame) -> DataFrame:
     null or broken only means that the page is unknown; repeated rows count once.
     """
     counted = count(chunks)
-    rows = _with_heads(chunks.where("text is not null").select("chunk_id", "document_id", "metadata", "text", F.lit(0).cast("long").alias("row")), repeated_heads(counted))
-    return _with_readings(rows, counted).mapInPandas(_pass(False), "chunk_id string, noise string").distinct()
+    rows = chunks.where("text is not null").select("chunk_id", "document_id", "metadata", "text", F.lit(0).cast("long").alias("row"))
+    return _with_known(rows, counted).mapInPandas(_pass(False), "chunk_id string, noise string").distinct()
 
 
 def repaired(chunks: DataFrame) -> DataFrame:
@@ -377,7 +487,7 @@ def repaired(chunks: DataFrame) -> DataFrame:
     counted = count(chunks)
     rows = chunks.select("chunk_id", "document_id", "metadata", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text")).dropDuplicates(["chunk_id", "document_id", "row"])
-    lines = _with_readings(_with_heads(rows, repeated_heads(counted)), counted).mapInPandas(_pass(True), "chunk_id string, document_id string, row long, lines array<string>")
+    lines = _with_known(rows, counted).mapInPandas(_pass(True), "chunk_id string, document_id string, row long, lines array<string>")
     lines = lines.select("row", "chunk_id", "document_id", F.posexplode("lines").alias("n", "line")).withColumn("line", F.rtrim("line"))
     w = Window.partitionBy("row", "chunk_id", "document_id").orderBy("n")
     widest = F.max(F.length("line")).over(Window.partitionBy("row", "chunk_id", "document_id"))
