@@ -5,9 +5,10 @@ The model: annotator j answers item i rightly with probability
 E-step gives each item's posterior that the true label is positive; the M-step
 climbs the expected log-likelihood by gradient in the skills and, within each
 item, in its ease.  An item's posterior and ease follow from its votes and the
-skills alone, so a round is one map over the items that returns two numbers per
-annotator and partition.  The skills on the driver are as many as there are
-annotators, which is checked against ``max_annotators``.
+skills alone: both are climbed until they stand still, so that a round is one map
+over the items, packed once into blocks of numbers, that returns two numbers per
+annotator and block.  The skills on the driver are as many as there are annotators,
+which is checked against ``max_annotators``.
 """
 
 from __future__ import annotations
@@ -18,25 +19,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from heronry.session import cut_lineage
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _item_state(item: np.ndarray, n: int, who: np.ndarray, vote: np.ndarray, skill: np.ndarray, prior: float, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior and log-ease of each of ``n`` items from flat votes; ease has a standard normal prior."""
-    sign, b = np.where(vote, 1.0, -1.0), np.zeros(n)
-    post = np.full(n, prior)
+def _item_state(item: np.ndarray, n: int, who: np.ndarray, vote: np.ndarray, skill: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior and log-ease of each of ``n`` items from flat votes, where neither moves any more; ease has a standard normal prior."""
+    sign, b, level = np.where(vote, 1.0, -1.0), np.zeros(n), np.log(prior / (1 - prior))
     for _ in range(rounds):
         x = skill[who] * np.exp(b)[item]
-        logit = np.log(prior / (1 - prior)) + np.bincount(item, sign * x, n)
-        post = _sigmoid(logit)
-        right = np.where(vote, post[item], 1 - post[item])
-        slope = np.bincount(item, (right - _sigmoid(x)) * x, n) - b
-        b = np.clip(b + 0.3 * slope, -2, 2)
-    return post, b
+        post = _sigmoid(level + np.bincount(item, sign * x, n))
+        right, s = np.where(vote, post[item], 1 - post[item]), _sigmoid(x)
+        slope = np.bincount(item, (right - s) * x, n) - b
+        bend = np.bincount(item, s * (1 - s) * x * x, n) + 1
+        step = np.clip(b + np.clip(0.7 * slope / bend, -0.5, 0.5), -2, 2) - b
+        b = b + step
+        if not len(step) or np.abs(step).max() < 1e-4:
+            break
+    return _sigmoid(level + np.bincount(item, sign * skill[who] * np.exp(b)[item], n)), b
 
 
 def _votes(panel: DataFrame, arm: str) -> DataFrame:
@@ -75,46 +79,53 @@ def consensus(arms: dict[str, DataFrame], rounds: int = 12, max_annotators: int
     Null votes and null voters are failed votes and set aside; a null id gives a null key; arrays of
     unequal length pair as far as both reach; empty panels give empty results.
     """
-    items = panel_items(arms).persist(StorageLevel.MEMORY_AND_DISK)
+    items = cut_lineage(panel_items(arms))
+    spark = items.sparkSession
     flat = items.select(F.explode("cast").alias("v")).select(F.col("v.voters").alias("voter"), F.col("v.votes").alias("vote"))
     names = [r["voter"] for r in flat.select("voter").distinct().orderBy("voter").limit(max_annotators + 1).collect()]
     if len(names) > max_annotators:
         raise ValueError(f"more than {max_annotators} annotators: their skills no longer fit one driver array")
-    code = {v: i for i, v in enumerate(names)}
+    code = spark.sparkContext.broadcast({v: i for i, v in enumerate(names)})  # at most max_annotators
     skill, prior = np.ones(len(names)), 0.5
     total = items.agg(F.sum("n_yes").alias("y"), F.sum("n_votes").alias("n")).first()
     if total["n"]:
         prior = min(0.95, max(0.05, total["y"] / total["n"]))
 
     def unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        item, who, vote = [], [], []
-        for i, pairs in enumerate(pdf["cast"]):
-            for p in pairs:
-                item.append(i)
-                who.append(code[p["voters"]])
-                vote.append(bool(p["votes"]))
-        return np.array(item, dtype="int64"), np.array(who, dtype="int64"), np.array(vote, dtype=bool)
+        number = code.value
+        size = [len(pairs) for pairs in pdf["cast"]]
+        flat = [p for pairs in pdf["cast"] for p in pairs]
+        return np.repeat(np.arange(len(size), dtype="i4"), size), np.array([number[p["voters"]] for p in flat], dtype="i4"), np.array([p["votes"] for p in flat], dtype=bool)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame([(len(pdf), *(x.tobytes() for x in unpack(pdf)))], columns=["n", "item", "who", "vote"])
+
+    blocks = cut_lineage(items.select("cast").mapInPandas(pack, "n int, item binary, who binary, vote binary"))
 
     def gradient(skill: np.ndarray, prior: float):
+        at = spark.sparkContext.broadcast(skill)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            g, h, p, n = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0
+            g, h, p, items = np.zeros(len(at.value)), np.zeros(len(at.value)), 0.0, 0
             for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                item, who, vote = unpack(pdf)
-                post, b = _item_state(item, len(pdf), who, vote, skill, prior)
-                e = np.exp(b)[item]
-                s = _sigmoid(skill[who] * e)
-                right = np.where(vote, post[item], 1 - post[item])
-                g += np.bincount(who, (right - s) * e, len(names))
-                h += np.bincount(who, s * (1 - s) * e * e, len(names))
-                p, n = p + post.sum(), n + len(pdf)
-            yield pd.DataFrame({"k": [*range(len(names)), -1], "g": [*g, p], "h": [*h, float(n)]})
+                for n, item, who, vote in zip(pdf["n"], pdf["item"], pdf["who"], pdf["vote"]):
+                    item, who, vote = np.frombuffer(item, "i4"), np.frombuffer(who, "i4"), np.frombuffer(vote, bool)
+                    post, b = _item_state(item, n, who, vote, at.value, prior)
+                    e = np.exp(b)[item]
+                    s = _sigmoid(at.value[who] * e)
+                    right = np.where(vote, post[item], 1 - post[item])
+                    g += np.bincount(who, (right - s) * e, len(g))
+                    h += np.bincount(who, s * (1 - s) * e * e, len(g))
+                    p, items = p + post.sum(), items + n
+            if items:
+                yield pd.DataFrame({"k": [*range(len(g)), -1], "g": [*g, p], "h": [*h, float(items)]})
 
         return run
 
     for _ in range(rounds if names else 0):
-        sums = items.select("cast").mapInPandas(gradient(skill, prior), "k int, g double, h double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        sums = blocks.mapInPandas(gradient(skill, prior), "k int, g double, h double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
         step, old = np.zeros(len(names)), skill
         for r in sums:
             if r["k"] >= 0:  # Newton step of the gradient with a weak normal prior around 1
@@ -125,19 +136,21 @@ def consensus(arms: dict[str, DataFrame], rounds: int = 12, max_annotators: int
         if np.abs(skill - old).max() < 1e-3:
             break
 
+    learnt = spark.sparkContext.broadcast(skill)
+
     def state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             item, who, vote = unpack(pdf)
-            post, b = _item_state(item, len(pdf), who, vote, skill, prior)
+            post, b = _item_state(item, len(pdf), who, vote, learnt.value, prior)
             yield pdf.assign(posterior=post, ease=np.exp(b))
 
     base = "case_key string, majority_pass boolean, requires_crossref boolean, n_votes int, n_yes int, majority boolean, cast array<struct<voters:string,votes:boolean>>"
     scored = items.select("case_key", "majority_pass", "requires_crossref", "n_votes", "n_yes", "majority", "cast").mapInPandas(state, f"{base}, posterior double, ease double")
     y, n = F.col("n_yes").cast("double"), F.col("n_votes").cast("double")
     scored = scored.withColumn("consensus", F.when(F.col("n_votes") > 0, F.col("posterior") > 0.5)).withColumn("agreement", F.when(n > 1, (y * (y - 1) + (n - y) * (n - y - 1)) / (n * (n - 1))))
-    skills = items.sparkSession.createDataFrame([(v, float(s)) for v, s in zip(names, skill)], "voter string, skill double")
+    skills = spark.createDataFrame([(v, float(s)) for v, s in zip(names, skill)], "voter string, skill double")
     per_vote = scored.select("consensus", "majority", F.explode("cast").alias("v")).select(F.col("v.voters").alias("voter"), F.col("v.votes").alias("vote"), "consensus", "majority")
     voters = (
         per_vote.groupBy("voter")
@@ -169,3 +182,13 @@ def suspicious(arms: dict[str, DataFrame], least: float = 0.75) -> DataFrame:
     wrong = items.where(~F.col("majority_pass").eqNullSafe(F.col("majority"))).select(F.lit("item").alias("kind"), "case_key")
     weak = voters.where((F.col("n_majority") > 0) & (F.col("with_majority") < least)).select(F.lit("voter").alias("kind"), F.col("voter").alias("case_key"))
     return wrong.distinct().unionByName(weak)
+
+
+def agreement(arms: dict[str, DataFrame]) -> DataFrame:
+    """One row (n_items, n_votes, n_voters, alpha, mean_agreement): how far the votes of all arms agree beyond chance.
+
+    ``alpha`` is Krippendorff's for nominal labels; both measures are null without two votes on any item.
+    """
+    items, voters, alpha = consensus(arms)
+    counts = items.agg(F.count(F.lit(1)).alias("n_items"), F.coalesce(F.sum("n_votes"), F.lit(0)).alias("n_votes"), F.avg("agreement").alias("mean_agreement"))
+    return counts.crossJoin(voters.agg(F.count(F.lit(1)).alias("n_voters"))).select("n_items", "n_votes", "n_voters", F.lit(alpha).cast("double").alias("alpha"), "mean_agreement")

@@ -67,6 +67,10 @@ def p6_voters(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(_panels(spark, d))[1]
 
 
+def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(_panels(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(table(spark, d, "documents"))
 
@@ -88,5 +92,5 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_nearest, p4_found, p5_found, p5_repaired, p6_found, p6_items, p6_voters, p7_ids, p8_found, p9_found, p9_scores, p9_source_rates)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_nearest, p4_found, p5_found, p5_repaired, p6_found, p6_items, p6_voters, p6_agreement, p7_ids, p8_found, p9_found, p9_scores, p9_source_rates)
 }

@@ -35,3 +35,26 @@ def test_suspicious(spark):
     assert C.suspicious({"i": _panel(spark, [])}).count() == 0
     with pytest.raises(ValueError):
         C.consensus({"i": _panel(spark, rows)}, max_annotators=1)
+
+
+def test_agreement(spark):
+    """Krippendorff's alpha by its definition, over pairs of votes."""
+    rows = [("1", list("abc"), [True, True, False], None), ("2", list("ab"), [False, False], None), ("3", list("abcd"), [True, True, True, None], None), ("4", ["a"], [True], None), ("5", [], [], None)]
+    r = C.agreement({"i": _panel(spark, rows)}).first()
+    units = [[v for v in x[2] if v is not None] for x in rows]
+    units = [u for u in units if len(u) > 1]
+    flat = [v for u in units for v in u]
+    within = sum(sum(a != b for i, a in enumerate(u) for j, b in enumerate(u) if i != j) / (len(u) - 1) for u in units) / len(flat)
+    beyond = sum(a != b for i, a in enumerate(flat) for j, b in enumerate(flat) if i != j) / (len(flat) * (len(flat) - 1))
+    assert abs(r["alpha"] - (1 - within / beyond)) < 1e-9 and (r["n_items"], r["n_votes"], r["n_voters"]) == (5, 9, 3)
+    assert C.agreement({"i": _panel(spark, [])}).first()["alpha"] is None
+
+
+def test_item_state_stands_still():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    item, who, vote, skill = np.repeat(np.arange(50), 5), rng.integers(0, 9, 250), rng.random(250) < 0.6, rng.normal(1, 1, 9)
+    a = C._item_state(item, 50, who, vote, skill, 0.5)
+    b = C._item_state(item, 50, who, vote, skill, 0.5, rounds=500)
+    assert all(np.abs(x - y).max() < 1e-3 for x, y in zip(a, b))
