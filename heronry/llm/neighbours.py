@@ -5,12 +5,16 @@ width, set for the radius that belongs to ``min_cosine``.  A vector is stored in
 own cell and looks into the ``probes`` perturbed cells that are most likely to hold
 a neighbour, in order of estimated success.  Candidates of all tables are merged,
 thinned by a sign sketch of 192 bits whose threshold is four deviations outside what
-a pair at the radius has on average, and ranked by exact cosine.  Hashes and tables
-grow with the logarithm of the number of rows, so that cells keep their size.
+a pair at the radius has on average, and ranked by exact cosine.  Hashes grow with the
+logarithm of the number of rows, so that cells keep their size, and with them as many
+tables as it takes to find a pair at the radius with the promised probability, which is
+computed on random pairs with the hashes in use.
 
 Layout.  A map task hashes its rows in numpy and sends, for each shard of the key
 space, one packed block (40 bytes an entry) instead of a row an entry.  The number of
-shards grows with the table, so a shard stays a few tens of MB.  Copies of a vector
+shards grows with the table, so a shard stays a few tens of MB, and a shard is a task.
+A cell with very many different vectors is cut into blocks, and its pairs of blocks go
+to other tasks.  Copies of a vector
 (equal up to length) form a class, which enters the tables once a task however many
 rows it has; its rows come back at the end, where ten smallest ids stand for any
 number of copies.  Vectors travel only for the classes that have a candidate.
@@ -22,6 +26,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,19 +49,20 @@ class Hashing:
 
     width: int = 64
     min_cosine: float = 0.94
-    tables: int = 4
+    tables: int = 5
     hashes: int = 11
-    probes: int = 5
+    probes: int = 3
     seed: int = 7
+    success: float = 0.98
 
     @property
     def cell(self) -> float:
         return 5.8 * math.sqrt(2 - 2 * self.min_cosine)
 
     def for_rows(self, n: int) -> Hashing:
-        """One more hash a doubling beyond 200,000 rows, and a table more for every two hashes."""
-        more = max(0, round(math.log2(max(n, 1) / 200_000)))
-        return replace(self, hashes=self.hashes + more, tables=self.tables + (more + 1) // 2)
+        """One more hash a doubling beyond 200,000 rows, and the tables that reach ``success`` with so many hashes; never fewer than given."""
+        how = replace(self, hashes=self.hashes + max(0, round(math.log2(max(n, 1) / 200_000))))
+        return replace(how, tables=max(self.tables, tables_needed(how)))
 
     def most_bits(self, words: int) -> int:
         """Bits that may differ in so many words of the sketch."""
@@ -80,6 +86,33 @@ class Hashing:
         return sorted(sets, key=lambda s: (sum(z[i] for i in s), s))[: self.probes]
 
 
+def found_share(how: Hashing, pairs: int = 6000) -> np.ndarray:
+    """For 1, 2, ... ``tables`` the share of random pairs at ``min_cosine`` of which one looks into the cell of the other."""
+    rng = np.random.default_rng(how.seed + 1)
+    x, y = rng.standard_normal((2, pairs, how.width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = how.min_cosine * x + math.sqrt(1 - how.min_cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    (sx, lx), (sy, ly) = (hash_entries(v.astype("f4"), np.arange(pairs, dtype="u8"), how) for v in (x, y))
+    sx, sy = (z["key"].reshape(how.tables, pairs) for z in (sx, sy))
+    lx, ly = (z["key"].reshape(how.tables, how.probes, pairs) for z in (lx, ly))
+    hit = (sx == sy) | (lx == sy[:, None]).any(1) | (ly == sx[:, None]).any(1)
+    return np.logical_or.accumulate(hit, axis=0).mean(1)
+
+
+@lru_cache(maxsize=64)
+def tables_needed(how: Hashing) -> int:
+    """The fewest tables that find a pair at ``min_cosine`` with probability ``success``, with a margin for the estimate."""
+    wanted = how.success + 0.15 * (1 - how.success)
+    one = found_share(replace(how, tables=8))[-1]
+    guess = math.ceil(8 * math.log(1 - wanted) / math.log(max(1e-9, 1 - one)))
+    while True:
+        share = found_share(replace(how, tables=guess))
+        if share[-1] >= wanted:
+            return int(np.argmax(share >= wanted)) + 1
+        guess = math.ceil(1.3 * guess)
+
+
 def usable_unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, unit vectors) of the lists with ``width`` finite values that are not all zero."""
     if pa.types.is_fixed_size_list(column.type):
@@ -133,7 +166,33 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys * _GOLDEN) >> np.uint64(33)) % np.uint64(shards)
 
 
-def _blocks(how: Hashing, shards: int):
+def shard_places(shards: int) -> np.ndarray:
+    """For each shard an integer that Spark's hash partitioning puts into the partition of that number, so that a shard is a task."""
+    places, start = np.full(shards, -1, "i8"), 0
+    while (places < 0).any():
+        x = np.arange(start, start + 8 * shards, dtype="u8")
+        where = murmur3_int(x).astype("i8") % shards  # as pmod
+        new = np.flatnonzero(places[where] < 0)[::-1]
+        places[where[new]] = x[new]
+        start += 8 * shards
+    return places
+
+
+def murmur3_int(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Murmur3 (x86, 32 bits) of 32-bit integers, the hash of hash partitioning, as signed 32-bit integers."""
+    m = np.uint64(0xFFFFFFFF)
+    turn = lambda v, r: ((v << np.uint64(r)) | (v >> np.uint64(32 - r))) & m
+    k = turn(x.astype("u8") * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+    h = (turn(np.uint64(seed) ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+    h ^= np.uint64(4)
+    h = (h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B) & m
+    h = (h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35) & m
+    return (h ^ (h >> np.uint64(16))).astype("u4").view("i4")
+
+
+def _blocks(how: Hashing, places: np.ndarray):
+    shards = len(places)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
@@ -156,7 +215,7 @@ def _blocks(how: Hashing, shards: int):
                 part, where = part[order], where[order]
                 cuts = np.searchsorted(where, np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cuts)):
-                    out["shard"].append(int(s))
+                    out["shard"].append(int(places[s]))
                     out["kind"].append(kind)
                     out["block"].append(part[cuts[s] : cuts[s + 1]].tobytes())
 
@@ -172,8 +231,11 @@ def _blocks(how: Hashing, shards: int):
     return run
 
 
-def match_shard(stored: np.ndarray, looked: np.ndarray, how: Hashing, at_once: int = 1 << 21) -> np.ndarray:
-    """Distinct pairs (smaller id, larger id) that share a cell and whose sketches are close enough."""
+def match_shard(stored: np.ndarray, looked: np.ndarray, how: Hashing, at_once: int = 1 << 21, dense: int = 1 << 24) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(distinct pairs (smaller id, larger id) that share a cell and whose sketches are close enough, what is left of dense cells).
+
+    A cell in which more than ``dense`` pairs would be compared is not, but comes back as pairs of blocks.
+    """
 
     def sorted_once(part: np.ndarray) -> np.ndarray:
         part = part[np.lexsort((part["id"], part["key"]))]
@@ -181,12 +243,28 @@ def match_shard(stored: np.ndarray, looked: np.ndarray, how: Hashing, at_once: i
         return part[new]
 
     stored = sorted_once(stored)
-    looked = np.concatenate([stored, sorted_once(looked)])
-    keys, held = np.ascontiguousarray(stored["key"]), np.ascontiguousarray(stored["sketch"])
+    looked = sorted_once(np.concatenate([stored, looked]))
+    keys = np.ascontiguousarray(stored["key"])
     lo = np.searchsorted(keys, looked["key"], "left")
     n = np.searchsorted(keys, looked["key"], "right") - lo
     looked, lo, n = looked[n > 0], lo[n > 0], n[n > 0]
-    sought = np.ascontiguousarray(looked["sketch"])
+    heavy: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(looked):
+        first = np.flatnonzero(np.r_[True, looked["key"][1:] != looked["key"][:-1]])
+        many = np.add.reduceat(n, first)
+        step, stay = math.isqrt(dense), np.ones(len(looked), bool)
+        for c in np.flatnonzero(many > dense):
+            a, b = first[c], first[c + 1] if c + 1 < len(first) else len(looked)
+            cell = stored[lo[a] : lo[a] + n[a]]
+            heavy += [(cell[i : i + step], looked[a:b][j : j + step]) for i in range(0, len(cell), step) for j in range(0, b - a, step)]
+            stay[a:b] = False
+        looked, lo, n = looked[stay], lo[stay], n[stay]
+    return compare(stored, looked, lo, n, how, at_once), heavy
+
+
+def compare(stored: np.ndarray, looked: np.ndarray, lo: np.ndarray, n: np.ndarray, how: Hashing, at_once: int = 1 << 21) -> np.ndarray:
+    """Distinct pairs (smaller id, larger id) of entry ``i`` of ``looked`` and the ``n[i]`` entries of ``stored`` from ``lo[i]`` on, if their sketches are close."""
+    held, sought = np.ascontiguousarray(stored["sketch"]), np.ascontiguousarray(looked["sketch"])
     out = []
     ends = np.cumsum(n)
     a = 0
@@ -207,14 +285,30 @@ def match_shard(stored: np.ndarray, looked: np.ndarray, how: Hashing, at_once: i
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), "u8")
 
 
+_MATCHED = "a long, b long, held binary, sought binary"
+
+
 def _match(how: Hashing):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = [np.frombuffer(b"".join(pdf["block"][pdf["kind"] == k]), ENTRY if k < 2 else ROW) for k in (0, 1, 2)]
-        pairs = match_shard(part[0], part[1], how)
+        pairs, heavy = match_shard(part[0], part[1], how)
         rows = np.unique(part[2])  # a class with two different rows is a pair with itself
         twice = np.unique(rows["key"][1:][rows["key"][1:] == rows["key"][:-1]])
         both = np.concatenate([pairs, np.stack([twice, twice], axis=1)]).view("i8")
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+        found = pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "held": None, "sought": None})
+        left = pd.DataFrame([(None, None, x.tobytes(), y.tobytes()) for x, y in heavy], columns=found.columns)
+        return pd.concat([found.astype({"a": "Int64", "b": "Int64"}), left.astype({"a": "Int64", "b": "Int64"})])
+
+    return run
+
+
+def _match_blocks(how: Hashing):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, y in zip(pdf["held"], pdf["sought"]):
+                held, sought = np.frombuffer(x, ENTRY), np.frombuffer(y, ENTRY)
+                both = compare(held, sought, np.zeros(len(sought), "i8"), np.full(len(sought), len(held)), how).view("i8")
+                yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
     return run
 
@@ -243,7 +337,7 @@ def similar(vectors: DataFrame, name: str = "chunk_id", vector: str = "vector",
     first vector, should they differ).  Equal cosines are ranked by name; any number of copies of a vector
     are each other's nearest, the smallest names first.  A null name is a row without identity and is
     left out.  An empty table gives no rows.  ``min_cosine`` is what the tables are tuned for: a pair at
-    that cosine is found with a probability of about 0.98, one at 0.965 with 0.998.
+    that cosine is found with a probability of 0.98 (``success``) at any number of rows, nearer ones with more.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(name).isNotNull()).select(vector, F.col(name).alias("name"))
@@ -251,9 +345,11 @@ def similar(vectors: DataFrame, name: str = "chunk_id", vector: str = "vector",
     how = how.for_rows(count)
     entry_bytes = how.tables * (1 + how.probes) * ENTRY.itemsize
     shards = max(parallelism(spark), math.ceil(count * entry_bytes / SHARD_BYTES))
-    blocks = rows.select(vector, F.xxhash64("name").alias("h")).mapInArrow(_blocks(how, shards), "shard int, kind int, block binary")
-    pairs = blocks.groupBy("shard").applyInPandas(_match(how), "a long, b long").distinct()
-    pairs = cut_lineage(pairs)
+    blocks = rows.select(vector, F.xxhash64("name").alias("h")).mapInArrow(_blocks(how, shard_places(shards)), "shard int, kind int, block binary")
+    matched = cut_lineage(blocks.repartition(shards, "shard").groupBy("shard").applyInPandas(_match(how), _MATCHED))
+    left = matched.where("held is not null").select("held", "sought")
+    dense = left.repartition(shards).mapInPandas(_match_blocks(how), "a long, b long")
+    pairs = cut_lineage(matched.where("held is null").select("a", "b").unionByName(dense).distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     classes = rows.mapInArrow(_classes(how.width), "cls long, name string, unit binary").join(involved, "cls", "left_semi")
     classes = cut_lineage(classes.dropDuplicates(["name"]))

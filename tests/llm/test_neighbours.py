@@ -1,4 +1,7 @@
+from dataclasses import replace
+
 import numpy as np
+import pytest
 
 from heronry.llm import neighbours as N
 
@@ -48,11 +51,30 @@ def test_copies_dirt_and_ties(spark):
     assert N.similar_pairs(df.where("false")).count() == 0
 
 
-def test_size_of_tables_follows_the_rows():
-    assert N.Hashing().for_rows(10) == N.Hashing() == N.Hashing().for_rows(200_000)
-    big = N.Hashing().for_rows(3_200_000)
-    assert (big.hashes, big.tables) == (15, 6)
-    assert len(N.Hashing().probe_sets()) == 5
+@pytest.mark.parametrize("rows", [10, 200_000, 2_000_000, 20_000_000, 200_000_000, 2_000_000_000])
+def test_success_at_the_radius_at_any_size(rows):
+    """On other random pairs than those the tables were chosen on."""
+    how = N.Hashing().for_rows(rows)
+    assert how.hashes == 11 + max(0, round(np.log2(rows / 200_000))) and len(how.probe_sets()) == how.probes
+    assert N.found_share(replace(how, seed=99), 12_000)[-1] >= 0.976  # 0.98 less three deviations of the estimate
+
+
+def test_dense_cells_are_compared_in_blocks():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(64) + 0.02 * rng.standard_normal((700, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    stored, looked = N.hash_entries(x, np.arange(700, dtype="u8"), N.Hashing())
+    whole, none = N.match_shard(stored, looked, N.Hashing())
+    light, heavy = N.match_shard(stored, looked, N.Hashing(), dense=10_000)
+    blocks = [N.compare(a, b, np.zeros(len(b), "i8"), np.full(len(b), len(a)), N.Hashing()) for a, b in heavy]
+    assert not none and len(heavy) > 20 and max(len(a) for a, _ in heavy) <= 100
+    assert len(whole) == 700 * 699 // 2 and {tuple(p) for p in np.concatenate([light, *blocks])} == {tuple(p) for p in whole}
+
+
+def test_a_shard_is_a_task(spark):
+    places = N.shard_places(37)
+    df = spark.createDataFrame([(int(p), i) for i, p in enumerate(places)], "shard int, n int").repartition(37, "shard")
+    assert {(r["n"], r["p"]) for r in df.selectExpr("n", "spark_partition_id() as p").collect()} == {(i, i) for i in range(37)}
 
 
 def test_exact_search_in_blocks(spark):
