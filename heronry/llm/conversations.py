@@ -1,17 +1,18 @@
 """Message rows back into conversations, and the sessions that have to be left out.
 
 The reply graph of a session has an edge from the message a reply names (the JSON
-field ``reply_to`` of ``metadata``, where given) to the reply.  It is sorted with
-Kahn's algorithm, the earliest ready message first (instant, user before
-assistant, id).  Messages whose links agree with the clock come out in clock order
-under that rule, so only the stretches in which a reply is older than what it
-answers (a "tangle") run through the queue; all else is a distributed sort.  What
-the queue leaves over lies on or behind a cycle.
-
-Sessions of any length are spread by :mod:`heronry.operators.ordered`: a task
-summarises its slice of each session as a segment (first and last role, whether
-two of a kind follow each other), and the segments of a session, at most one per
-task, are put together.
+field ``reply_to`` of ``metadata``, where given) to the reply.  A message that names
+none answers the one before it by the clock, unless that is older than it by its own
+link: an edge from neighbour to neighbour.  The graph is sorted with Kahn's algorithm,
+the earliest ready message first (instant, user before assistant, id).
+
+Sessions of any length are spread by :mod:`heronry.operators.ordered`.  Links cross
+a border between two slices only forwards, but for the stretches in which a reply is
+older than what it answers (a "tangle"): these are sorted as a whole first, and what
+the queue leaves over there lies on or behind a cycle.  Then each task runs the queue
+over its slice of every session and summarises it as a segment (first and last role,
+whether two of a kind follow each other), and the segments of a session, at most one
+per task, are put together.
 """
 
 from __future__ import annotations
@@ -55,6 +56,17 @@ def kahn(keys: list, edges: list[tuple[int, int]]) -> tuple[list[int], list[int]
     return out, [i for i in range(len(keys)) if i not in done]
 
 
+def _by_replies(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A sorted slice in the order of Kahn's queue: in each session a message waits for the one before it, which it answers."""
+    s = pdf["session_id"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    order: list[int] = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(s)]):
+        queued, _ = kahn(list(range(b - a)), [(i, i + 1) for i in range(b - a - 1)])
+        order += [a + i for i in queued]
+    return pdf.iloc[order]
+
+
 def _untangle(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["instant", "rank", "id"], kind="stable").reset_index(drop=True)
     at = {x: i for i, x in enumerate(group["id"])}
@@ -118,6 +130,7 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf) == 0:
             continue
+        pdf = _by_replies(pdf)
         s, r = pdf["session_id"].to_numpy(), pdf["rank"].to_numpy()
         new = np.r_[True, s[1:] != s[:-1]]
         same = ~new
@@ -156,7 +169,7 @@ def session_reasons(messages: DataFrame, sessions: DataFrame, reply_field: str =
     cycle of reply links.  ``missing_reply``: two user messages in a row, or the last is a user's.
     Rows without ``session_id`` are ignored; repeated rows count once; empty tables give no rows.
     """
-    rows = tagged(messages).where(~F.col("blank")).distinct()
+    rows = cut_lineage(tagged(messages).where(~F.col("blank")).distinct())  # read by the sort, its sampling and the counts
     usable = rows.where("role is not null and instant is not null")
     keyed = ordered_keys(usable, messages, reply_field)
     segments = sorted_slices(keyed.select("session_id", "rank", *ORDER), ["session_id", *ORDER]).mapInPandas(_segments, _SEGMENT)
@@ -187,6 +200,7 @@ def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf) == 0:
             continue
+        pdf = _by_replies(pdf).reset_index(drop=True)
         s = pdf["session_id"].to_numpy()
         new = np.r_[last is None or s[0] != last, s[1:] != s[:-1]]
         at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
@@ -203,7 +217,7 @@ def rebuild_conversations(messages: DataFrame, sessions: DataFrame, reply_field:
     Blank messages are set aside; a message delivered twice comes out once.
     """
     kept = session_reasons(messages, sessions, reply_field).where("reason is null").select("session_id")
-    rows = tagged(messages).where("not blank and role is not null and instant is not null").distinct()
+    rows = cut_lineage(tagged(messages).where("not blank and role is not null and instant is not null").distinct())
     keyed = ordered_keys(rows, messages, reply_field).join(kept, "session_id", "left_semi")
     text = messages.where("session_id is not null").select("id", "session_id", "content", F.xxhash64("content").alias("content_hash")).dropDuplicates(["id", "session_id", "content_hash"])
     full = keyed.select("session_id", "role", "instant", "content_hash", *ORDER).join(text, ["session_id", "id", "content_hash"])
