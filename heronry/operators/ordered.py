@@ -43,12 +43,12 @@ def sorted_slices(df: DataFrame, keys: list[str | Column], partitions: int | Non
 
 
 def running_total(df: DataFrame, key: str, order: list, amount: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``amount`` over the rows of the same key that come before, 0 for the first.
+    """``df`` with ``name`` (put in place of a column of that name): the sum of ``amount`` over the rows of the same key that come before, 0 for the first.
 
     Rows are cut into sorted slices; totals run within (key, slice), and the totals of a key's slices, at most one
     row a slice, give what comes before each.  Rows without a key are one key.
     """
-    sliced = cut_lineage(sorted_slices(df.drop(name).withColumn("_amount", amount.cast("long")), [F.col(key), *order]).withColumn("_slice", F.spark_partition_id()))
+    sliced = cut_lineage(sorted_slices(df.withColumn("_amount", amount.cast("long")), [F.col(key), *order]).withColumn("_slice", F.spark_partition_id()))
     inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

@@ -68,14 +68,16 @@ def session_title(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", T.session_title(F.col("content")).alias("title"))
 
 
-def _re2(pattern: str) -> str:
-    return pattern.replace("'", "''")
+_ANY_TALK, _CORE_TALK = ("|".join((*phrases,)) for phrases in ((*T.TALK, *T.TALK_BESIDE), T.TALK))
+_LISTED = ", ".join(f"'{p}'" for p in T.about_phrases())
 
 
 @query(
-    f"""with t as (select id, {_trim("coalesce(content, '')")} as t from {_M})
-select id, t = '' or regexp_matches(t, '{_re2(T.about_pattern())}')
-  or (len(regexp_split_to_array(t, '\\s+')) <= {T.TALK_WORDS} and regexp_matches(t, '{_re2(T.talk_pattern())}') and regexp_matches(t, '{_re2(T.core_talk_pattern())}')) as small_talk from t"""
+    f"""with t as (select id, {_trim("coalesce(content, '')")} as t from {_M}),
+w as (select id, t, list_filter(regexp_split_to_array(regexp_replace(lower(t), '\\bgpt-?[0-9]*\\b', 'gpt', 'g'), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') as raw from t),
+n as (select id, t, array_to_string(list_transform(raw, lambda x: case {" ".join(f"when regexp_full_match(x, '{w}{w[-1]}*') then '{w}'" for w in T.DRAWN_OUT)} else x end), ' ') as s from w)
+select id, t = '' or s in ({_LISTED}) or regexp_replace(s, '^(?:{"|".join(T.ABOUT_OPENINGS)}) ', '') in ({_LISTED})
+  or (len(regexp_split_to_array(t, '\\s+')) <= {T.TALK_WORDS} and regexp_full_match(s, '(?:(?:{_ANY_TALK}) )*(?:{_CORE_TALK})(?: (?:{_ANY_TALK}))*')) as small_talk from n"""
 )
 def smalltalk_gate(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", T.is_small_talk(F.col("content")).alias("small_talk"))
