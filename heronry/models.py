@@ -8,6 +8,7 @@ The stand-ins hash words and compare words: they make every operator run, and cl
 from __future__ import annotations
 
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,25 @@ def hashing_embedder(width: int) -> Embedder:
     return embed
 
 
+def remembering(embed: Embedder, most: int = 256) -> Embedder:
+    """The same vectors, with the last ``most`` texts' remembered in each worker; only new texts go to the model."""
+    kept: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def run(texts: list[str]) -> np.ndarray:
+        known = {t: kept[t] for t in texts if t in kept}
+        new = [t for t in dict.fromkeys(texts) if t not in known]
+        if new:
+            known.update(zip(new, embed(new)))
+        for t in texts:
+            kept[t] = known[t]
+            kept.move_to_end(t)
+        while len(kept) > most:
+            kept.popitem(last=False)
+        return np.array([known[t] for t in texts])
+
+    return run
+
+
 def embeddings(rows: DataFrame, text: str, embed: Embedder) -> DataFrame:
     """``rows`` with ``vector``; the texts of a batch go to the model together, and rows keep their own vectors."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields if f.name != 'vector')}, vector array<float>"

@@ -1,16 +1,27 @@
-"""The chunk store: a parquet table with a marker of what made its vectors, upserts by document, sidecars."""
+"""The chunk store: segments of parquet with a marker of what made their vectors, upserts by document, sidecars.
+
+An upsert or delete only adds a segment: the new rows, and the documents they replace.  A version of the table is
+a small file that lists its segments; it takes its name by one rename, so a reader sees the old version or the new
+one, and a writer that fails at any moment leaves the last version as it was.  A row counts if no later segment
+replaces its document.  After ``COMPACT`` segments they are written together; the segments of the last but one
+version stay for readers that have begun.  One writer at a time.
+"""
 
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.vectors import is_finite, unit
 
+#: More segments than this are written together.
+COMPACT = 32
 COLUMNS = ["vector", "text", "chunk_id", "document_id", "chunk_index", "metadata"]
 SCHEMA = "vector array<float>, text string, chunk_id string, document_id string, chunk_index int, metadata string"
 
@@ -69,28 +80,100 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("document_id").distinct(), "document_id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, marker: Marker) -> None:
-    """Replaces the documents of ``rows``: the new version is written beside the old one and then takes its place.
+def _names(fs, folder) -> list[str]:
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
 
-    A reader sees the old version or the new one; a failed write leaves the old one.
-    """
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are there, the newest last."""
+    fs, folder = _fs(spark, f"{path}/_versions")
+    return [int(n[:-5]) for n in _names(fs, folder) if n.endswith(".json") and n[:-5].isdigit()]
+
+
+def segments(spark: SparkSession, path: str, version: int | None = None) -> list[str]:
+    """Folders of a version's segments, the oldest first; of the newest version by default, none where there is none."""
+    if version is None:
+        version = max(versions(spark, path), default=None)
+    if version is None:
+        return []
+    return json.loads(spark.read.text(f"{path}/_versions/{version:010d}.json").first()[0])["segments"]
+
+
+def _publish(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Makes the next version visible, then removes versions and segments that neither it nor the one before has."""
+    fs, folder = _fs(spark, f"{path}/_versions")
+    fs.mkdirs(folder)
+    there = versions(spark, path)
+    number = max(there, default=0) + 1
+    target, draft = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/{n}") for n in (f"{number:010d}.json", f".draft-{uuid4().hex}"))
+    out = fs.create(draft)
+    out.writeBytes(json.dumps({"segments": names}))
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        raise RuntimeError(f"version {number} of {path} was written by somebody else")
+    kept = {*names, *(segments(spark, path, there[-1]) if there else ())}
+    for n in there[:-1]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/{n:010d}.json"), False)
+    for n in _names(fs, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/data")):
+        if n not in kept:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/data/{n}"), True)
+
+
+def _write_segment(path: str, rows: DataFrame, documents: DataFrame) -> str:
+    name = f"s-{uuid4().hex}"
+    rows.write.parquet(f"{path}/data/{name}/rows")
+    documents.select("document_id").where("document_id is not null").distinct().write.parquet(f"{path}/data/{name}/documents")
+    return name
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, marker: Marker, compact_after: int = COMPACT) -> None:
+    """Replaces the documents of ``rows``; what is written is these rows, however large the table is."""
     found = read_marker(spark, path)
     check_marker(found, marker.embedder, marker.width)
-    ready = prepared(rows, found or marker)
-    fs, current = _fs(spark, f"{path}/data")
-    whole = upserted(spark.read.schema(SCHEMA).parquet(f"{path}/data"), ready) if fs.exists(current) else ready
-    whole.write.mode("overwrite").parquet(f"{path}/next")
     if found is None:
         write_marker(spark, path, marker)
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/old")
-    if fs.exists(current):
-        fs.rename(current, old)
-    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/next"), current)
-    fs.delete(old, True)
+    ready = prepared(rows, found or marker)
+    _publish(spark, path, [*segments(spark, path), _write_segment(path, ready, rows)])
+    if len(segments(spark, path)) > compact_after:
+        compact(spark, path)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Writes the rows that count into one segment."""
+    whole = read_chunks(spark, path)
+    _publish(spark, path, [_write_segment(path, whole, whole)])
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(f"{path}/data")
+    """The rows of the newest version.  Fails where there is no table; see :func:`search_rows` for a search that must not."""
+    names = segments(spark, path)
+    if not names:
+        raise FileNotFoundError(f"there is no chunk table in {path}")
+    parts = [spark.read.schema(SCHEMA).parquet(f"{path}/data/{n}/rows") for n in names]
+    if len(parts) == 1:
+        return parts[0]
+    marks = [spark.read.schema("document_id string").parquet(f"{path}/data/{n}/documents").withColumn("_last", F.lit(i)) for i, n in enumerate(names)]
+    last = reduce(DataFrame.unionByName, marks).groupBy("document_id").agg(F.max("_last").alias("_last"))
+    every = reduce(DataFrame.unionByName, [p.withColumn("_segment", F.lit(i)) for i, p in enumerate(parts)])
+    return every.join(last, "document_id", "left").where(F.col("_last").isNull() | (F.col("_segment") == F.col("_last"))).select(*COLUMNS)
+
+
+def delete_documents(spark: SparkSession, path: str, document_ids: list[str]) -> None:
+    """Takes documents out of the stored table.  Ids that are no strings, blank, or hold a quote or control character are refused."""
+    for i in document_ids:
+        if not isinstance(i, str) or not i.strip() or any(c in "'\"\\;`" or ord(c) < 32 for c in i):
+            raise ValueError(f"no document has the id {i!r}")
+    if document_ids:
+        gone = spark.createDataFrame([(i,) for i in document_ids], "document_id string")
+        _publish(spark, path, [*segments(spark, path), _write_segment(path, spark.createDataFrame([], SCHEMA), gone)])
+
+
+def search_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows to be searched, or None where the table is missing or cannot be read: a failed search is not an empty one."""
+    try:
+        return read_chunks(spark, path)
+    except FileNotFoundError:
+        return None
 
 
 def drop_store(spark: SparkSession, path: str) -> bool:
@@ -117,16 +200,44 @@ def last_lines(lines: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def read_overviews(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(doc_id, overview) of append-only JSON lines, the last line of a document winning; broken and failed lines are skipped."""
+    """(doc_id, overview) of append-only JSON lines, the last line of a document winning; broken and failed lines are skipped.
+
+    Later files win over earlier ones, whole folders included.  Inside one, lines written by :func:`append_overviews` go by
+    the number of their write; lines without one by their place in the file.
+    """
     parts = []
     for n, p in enumerate(paths):
-        lines = spark.read.text(p).select(F.lit(n).alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", "doc_id string, overview string").alias("r"))
-        parts.append(lines)
-    every = reduce(DataFrame.unionByName, parts).select("file", "line", "r.doc_id", "r.overview")
+        place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+        parts.append(spark.read.text(p).select(F.lit(n).alias("file"), place.alias("place"), F.from_json("value", "doc_id string, overview string, written long").alias("r")))
+    every = reduce(DataFrame.unionByName, parts).select("file", "place", "r.*")
     good = every.where("doc_id is not null and trim(coalesce(overview, '')) <> '' and not overview like 'Failed to generate overview%'")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("file"), F.desc("line"))
-    return good.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("doc_id", "overview")
+    return good.groupBy("doc_id").agg(F.max_by("overview", F.struct("file", "written", "place")).alias("overview"))
 
 
 def append_overviews(overviews: DataFrame, path: str) -> None:
-    overviews.select("doc_id", "overview").write.mode("append").json(path)
+    """Adds lines that win over all that are there; a failed write leaves no line, as Spark's committer moves whole files."""
+    overviews.select("doc_id", "overview").withColumn("written", F.lit(time.time_ns())).write.mode("append").json(path)
+
+
+OVERVIEW_VECTORS = "doc_id string, vector array<float>"
+
+
+def write_overview_vectors(overviews: DataFrame, path: str, embed, normalised: bool = True) -> None:
+    """The vectors of overviews beside their lines, under the name :func:`heronry.functions.text.vectors_path` gives; replaced as a whole."""
+    from heronry.models import embeddings
+
+    made = embeddings(overviews.select("doc_id", "overview"), "overview", embed).where(is_finite(F.col("vector")))
+    vector = unit(F.col("vector")).cast("array<float>") if normalised else F.col("vector")
+    made.select("doc_id", vector.alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def read_overview_vectors(spark: SparkSession, path: str, embed=None, overviews: DataFrame | None = None) -> DataFrame:
+    """(doc_id, vector): stored ones, and where there are none for an overview those made now, if an embedder is given."""
+    fs, p = _fs(spark, path)
+    stored = spark.read.schema(OVERVIEW_VECTORS).parquet(path) if fs.exists(p) else spark.createDataFrame([], OVERVIEW_VECTORS)
+    if embed is None or overviews is None:
+        return stored
+    from heronry.models import embeddings
+
+    missing = overviews.select("doc_id", "overview").join(stored.select("doc_id"), "doc_id", "left_anti")
+    return stored.unionByName(embeddings(missing, "overview", embed).select("doc_id", unit(F.col("vector")).cast("array<float>").alias("vector")))
