@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PER_CHUNK = 8
-#: Words of the longest document name that is looked for in texts.
-LONGEST_NAME = 32
 LEAST_NAME_CHARACTERS, LEAST_NAME_WORDS = 6, 2
 # --- fixed values: the words of a label and of a section ------------------------------------
 LABELS = ("exhibit", "appendix", "schedule", "annex", "attachment", "addendum")
@@ -62,9 +60,10 @@ def mentions(chunks: DataFrame, known: DataFrame) -> DataFrame:
     starts = usable.groupBy("first").agg(F.collect_set("n").alias("sizes"))
     words = chunks.select("chunk_id", "document_id", F.filter(F.split(plain_words(F.col("text")), " "), lambda w: w != "").alias("ws"))
     places = words.select("chunk_id", "document_id", "ws", F.posexplode("ws").alias("i", "first"))
-    tail = F.slice("ws", F.col("i") + 1, F.lit(LONGEST_NAME)).alias("tail")
-    near = places.select("chunk_id", "document_id", "first", tail).join(starts, "first")
-    few = near.select("chunk_id", "document_id", "tail", F.explode("sizes").alias("n")).where((F.col("n") <= LONGEST_NAME) & (F.size("tail") >= F.col("n")))
+    longest = usable.agg(F.coalesce(F.max("n"), F.lit(1)).alias("longest"))  # words of the longest name
+    tail = F.slice("ws", F.col("i") + 1, F.col("longest")).alias("tail")
+    near = places.crossJoin(F.broadcast(longest)).select("chunk_id", "document_id", "first", tail).join(starts, "first")
+    few = near.select("chunk_id", "document_id", "tail", F.explode("sizes").alias("n")).where(F.size("tail") >= F.col("n"))
     grams = few.select("chunk_id", "document_id", F.array_join(F.slice("tail", F.lit(1), F.col("n")), " ").alias("name")).distinct()
     found = grams.join(usable.select("name", "target_doc"), "name").where(~F.col("target_doc").eqNullSafe(F.col("document_id")) & ~F.coalesce(F.col("name") == plain_name(F.col("document_id")), F.lit(False)))
     order = Window.partitionBy("chunk_id", "document_id").orderBy(F.desc(F.length("name")), "name")

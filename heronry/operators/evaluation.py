@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.text import normalised
+from heronry.operators.ordered import running_total
+
+try:
+    import ahocorasick
+except ImportError:  # a plain search does the same, slower
+    ahocorasick = None
+
+#: What counts as a small table of gold strings.
+MOST_STRINGS = 100_000
 
 
 def relevance(text: Column, expected: Column) -> Column:
@@ -23,11 +35,24 @@ def hit(texts: Column, expected: Column, match: Column) -> Column:
 
 
 def recall_at(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """(id, recall_at_<k> ...) for ``results`` (id, rank, text) and ``gold`` (id, expected, match); 0 for a query without results."""
-    parts = [F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "text")))).alias(f"t{k}") for k in ks]
-    lists = results.groupBy("id").agg(*parts)
-    joined = gold.select("id", "expected", "match").join(lists, "id", "left")
-    return joined.select("id", *[hit(F.transform(F.coalesce(f"t{k}", F.array()), lambda p: p["text"]), F.col("expected"), F.col("match")).alias(f"recall_at_{k}") for k in ks])
+    """(id, recall_at_<k> ...) for ``results`` (id, rank, text) and ``gold`` (id, expected, match); 0 for a query without results.
+
+    A text is normalised once and leaves the numbers of the strings it has, so that only those are shuffled.
+    """
+    wanted = gold.select("id", "expected", "match")
+    t = normalised(F.coalesce(F.col("text"), F.lit("")))
+    met = results.join(wanted.select("id", F.transform("expected", normalised).alias("forms")), "id").withColumn("t", t)
+    which = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("forms") - 1)), lambda i: F.coalesce(F.col("t").contains(F.get("forms", i)), F.lit(False)))
+    first = met.select("id", "rank", F.explode(which).alias("i")).groupBy("id", "i").agg(F.min("rank").alias("rank"))
+    lists = first.groupBy("id").agg(F.collect_list("rank").alias("ranks"))  # one number a string: where it is first met
+    joined = wanted.join(lists, "id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+
+    def at(k: int) -> Column:
+        n = F.size(F.filter("ranks", lambda r: r <= k))
+        yes = F.when(F.col("match") == "all", n == F.size(F.coalesce("expected", F.array()))).otherwise(n > 0)
+        return F.coalesce(yes & F.col("expected").isNotNull(), F.lit(False)).cast("int").alias(f"recall_at_{k}")
+
+    return joined.select("id", *[at(k) for k in ks])
 
 
 def ndcg_at(results: DataFrame, k: int = 10) -> DataFrame:
@@ -39,10 +64,17 @@ def ndcg_at(results: DataFrame, k: int = 10) -> DataFrame:
     return results.groupBy("id").agg(gain, n).select("id", F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
-def low_rank_percentile(x: str, q: float) -> Column:
-    """The value at place floor(q * (n - 1)) of the sorted values: no interpolation; an aggregate."""
-    values = F.sort_array(F.collect_list(x))
-    return F.try_element_at(values, (F.floor(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
+def low_rank_percentile(rows: DataFrame, by: str, x: str, q: float) -> DataFrame:
+    """(by, value): for every key the value at place floor(q * (n - 1)) of its sorted values, no interpolation; null without a value.
+
+    Places are running counts over sorted slices, so that a key of any size is shared by many tasks.
+    """
+    known = rows.where(F.col(x).isNotNull()).select(by, F.col(x).alias("value"))
+    n = known.groupBy(F.col(by).alias("_by")).agg((F.floor(F.lit(q) * (F.count(F.lit(1)) - 1))).alias("_wanted"))
+    placed = running_total(known, by, ["value"], F.lit(1), "_at")
+    found = placed.join(F.broadcast(n), placed[by].eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_wanted"))).select("_by", "value")
+    keys = rows.select(by).distinct()
+    return keys.join(found, keys[by].eqNullSafe(F.col("_by")), "left").select(by, "value")
 
 
 def summary(metrics: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,15 +97,52 @@ def same_order(first: DataFrame, final: DataFrame, key: str = "chunk_id") -> Dat
 def uncovered(gold: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """(id, expected_string): expected strings of the gold rows that no text has.
 
-    The gold strings are few and broadcast; each text reports which of them it has, and the anti join is on the string.
+    The gold strings go to every task, after a check of their number and length; a task walks each text once with an
+    automaton of those that it has not met yet, and reports each string once.
     """
     wanted = gold.select("id", F.explode("expected").alias("expected_string")).distinct()
-    forms = F.broadcast(wanted.select(normalised(F.col("expected_string")).alias("form")).distinct().groupBy().agg(F.collect_set("form").alias("forms")))
-    t = normalised(F.coalesce(F.col(text), F.lit("")))
-    seen = texts.select(t.alias("t")).crossJoin(forms).select(F.explode(F.filter("forms", lambda f: F.col("t").contains(f))).alias("form")).distinct()
+    forms = [r["form"] for r in wanted.select(normalised(F.col("expected_string")).alias("form")).distinct().limit(MOST_STRINGS + 1).collect()]
+    if len(forms) > MOST_STRINGS or sum(map(len, forms)) > 100 * MOST_STRINGS:
+        raise ValueError(f"more than {MOST_STRINGS} gold strings, or very long ones: they are no small table")
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(forms)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = _Finder(shared.value)
+        for pdf in batches:
+            yield pd.DataFrame({"form": finder.new([t for t in pdf["t"]])}, dtype="object")
+
+    seen = texts.select(normalised(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInPandas(run, "form string").distinct()
     return wanted.withColumn("form", normalised(F.col("expected_string"))).join(seen, "form", "left_anti").select("id", "expected_string")
 
 
+class _Finder:
+    """Which of the listed strings stand in texts; each is told once."""
+
+    def __init__(self, strings: list[str]):
+        self.left = {s for s in strings if s}
+        self.empty = [s for s in strings if s == ""]
+        self._build()
+
+    def _build(self) -> None:
+        self.size, self.automaton = len(self.left), None
+        if ahocorasick is not None and self.left:
+            self.automaton = ahocorasick.Automaton()
+            for s in self.left:
+                self.automaton.add_word(s, s)
+            self.automaton.make_automaton()
+
+    def new(self, texts: list[str]) -> list[str]:
+        found = set(self.empty if texts else ())
+        self.empty = [] if texts else self.empty
+        for t in texts:
+            found |= {s for _, s in self.automaton.iter(t)} if self.automaton is not None else {s for s in self.left if s in t}
+        self.left -= found
+        if 2 * len(self.left) < self.size:
+            self._build()
+        return sorted(found)
+
+
 def majority(votes: Column) -> Column:
     """True or false by most of the non-null votes; null on a tie or without any."""
     yes, no = F.size(F.filter(votes, lambda v: v)), F.size(F.filter(votes, lambda v: ~v))

@@ -7,11 +7,16 @@ A frame of hits has (query_id, id, score) and, once ranked, ``rank`` from 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.text import TOKEN_BREAK
 from heronry.functions.vectors import cosine, squared_distance
+from heronry.session import cut_lineage
 
 K1, B = 1.2, 0.75
 #: Queries are sent to every task; beyond this many the caller has to go through blocks.
@@ -23,10 +28,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK), lambda t: t != "")
 
 
+def runs(sorted_tokens: Column) -> Column:
+    """Array of (term, tf) of an array of tokens in order: one walk inside the row, nothing is shuffled to count."""
+    size = F.size(sorted_tokens)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), size - 1)), lambda i: (size > 0) & ((i == 0) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1))))
+    return F.transform(starts, lambda i, n: F.struct(F.get(sorted_tokens, i).alias("term"), (F.coalesce(F.get(starts, n + 1), size) - i).cast("long").alias("tf")))
+
+
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(term, key, tf, dl): the inverted table.  A text without tokens has no row."""
-    words = texts.select(key, tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts"))
-    return words.select(key, "dl", F.explode("ts").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "dl")
+    words = texts.select(key, F.array_sort(tokens(F.col(text))).alias("ts"))
+    return words.select(key, F.size("ts").alias("dl"), F.explode(runs(F.col("ts"))).alias("r")).select("r.term", key, "r.tf", "dl")
 
 
 def corpus_stats(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -57,20 +69,55 @@ def read_index(spark, path: str, terms: list[str] | None = None, buckets: int =
 def bm25_scores(texts: DataFrame, query_terms: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(query_id, key, score) for ``query_terms`` (query_id, term): every text with one of the terms.
 
-    Only the query's terms are exploded and counted, so the shuffle carries matches, not the corpus.
+    The corpus is cut into tokens once: each text leaves its length and the terms it has of the queries', counted inside
+    the row, and that small table is written and read for statistics, frequencies and scores.
     """
     terms = query_terms.select("query_id", "term").distinct()
     wanted = F.broadcast(terms.groupBy().agg(F.collect_set("term").alias("wanted")))
     words = texts.select(key, tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts")).where("dl > 0")
-    hits = words.crossJoin(wanted).select(key, "dl", F.explode(F.filter("ts", lambda t: F.array_contains("wanted", t))).alias("term"))
-    tf = hits.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus_stats(texts, text)))
+    met = words.crossJoin(wanted).select(key, "dl", F.array_sort(F.filter("ts", lambda t: F.array_contains("wanted", t))).alias("ts"))
+    met = cut_lineage(met.select(key, "dl", runs(F.col("ts")).alias("rs")))
+    posted = met.select(key, "dl", F.explode("rs").alias("r")).select("r.term", key, "r.tf", "dl")
+    stats = met.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return bm25_of(posted, stats, terms, key)
+
+
+def bm25_of(posted: DataFrame, stats: DataFrame, query_terms: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, score) of postings (term, key, tf, dl) with corpus statistics (n, avgdl), as :func:`write_index` leaves them."""
+    terms = query_terms.select("query_id", "term").distinct()
+    tf = posted.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term of the queries
+    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.withColumn("part", part).join(F.broadcast(terms), "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
 
 
+def search_index(spark, path: str, query_terms: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """(query_id, key, score) from the stored index: only the folders of the queries' terms are read.
+
+    The terms come to the driver to choose the folders; they are checked to be at most ``MOST_QUERIES`` times ten.
+    """
+    asked = [r["term"] for r in query_terms.select("term").distinct().limit(10 * MOST_QUERIES + 1).collect()]
+    if len(asked) > 10 * MOST_QUERIES:
+        return bm25_of(*read_index(spark, path), query_terms, key)
+    return bm25_of(*read_index(spark, path, asked, buckets), query_terms, key)
+
+
+def query_words(text: Column) -> Column:
+    """The terms of a question: quotes do not count; no question, no term."""
+    return tokens(F.regexp_replace(F.coalesce(text, F.lit("")), '"', " "))
+
+
+def expanded_terms(questions: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, term): the words of each question; a question of one word also stands for what it is a start or misspelling of."""
+    words = questions.select("query_id", query_words(F.col(text)).alias("ts"))
+    every = words.select("query_id", F.explode("ts").alias("term"))
+    alone = words.where(F.size("ts") == 1).select("query_id", F.col("ts")[0].alias("w"))
+    near = vocabulary.select("term").distinct().join(F.broadcast(alone), F.col("term").startswith(F.col("w")) | (F.levenshtein("term", "w") <= 1))
+    return every.unionByName(near.select("query_id", "term")).distinct()
+
+
 def expand_short_query(vocabulary: DataFrame, word: str) -> DataFrame:
     """(term) of a vocabulary that a one-word query stands for: it is a prefix of the term, or one edit away."""
     w = F.lit(word.replace('"', "").lower())
@@ -90,6 +137,51 @@ def knn_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "
     return pairs.where(F.size("v") == F.size("query")).select("query_id", key, measure(F.col("v"), F.col("query")).alias("score"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "vector", metric: str = "distance") -> DataFrame:
+    """(query_id, key, score, rank): the ``k`` nearest vectors of every query (query_id, query), ties by the key.
+
+    A task multiplies its vectors with all queries of a block in one matrix product and keeps what can still be among
+    the best; the exact measure of these few, as :func:`knn_scores` has it, decides.  Queries go in blocks of at most
+    ``MOST_QUERIES``, so their number has no bound.  Vectors of another width than a query give no row for it.
+    """
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[key]
+    groups = max(1, -(-queries.count() // MOST_QUERIES))
+    near = None
+    for g in range(groups):
+        block = queries.select("query_id", "query").where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        rows = [r["query"] for r in block.select("query").collect()]  # one block
+        rows = [q for q in rows if q is not None and all(x is not None for x in q)]
+        shared = spark.sparkContext.broadcast({n: np.array([q for q in rows if len(q) == n], "f8") for n in {len(q) for q in rows}})
+        few = vectors.select(key, F.col(vector).alias("v")).mapInPandas(_hopeful(shared, key, k, metric), f"`{key}` {kind}, v array<double>")
+        exact = ranked(knn_scores(few, block, key, "v", metric), key, k, descending=metric != "distance")
+        near = exact if near is None else near.unionByName(exact)
+    return near
+
+
+def _hopeful(shared, key: str, k: int, metric: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = {n: np.full((len(q), k), np.inf) for n, q in shared.value.items()}
+        for pdf in batches:
+            sizes = np.array([-1 if v is None else len(v) for v in pdf["v"]])
+            for n, q in shared.value.items():
+                at = np.flatnonzero(sizes == n)
+                if not n or not len(at):
+                    continue
+                x = np.array([np.asarray(v, dtype="f8") for v in pdf["v"].to_numpy()[at]])
+                far = -(x @ q.T)
+                if metric == "distance":
+                    far = 2 * far + (x * x).sum(1)[:, None] + (q * q).sum(1)
+                else:
+                    far /= np.maximum(np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1), 1e-300)
+                far = np.where(np.isfinite(far), far, np.inf).T
+                best[n] = np.sort(np.concatenate([best[n], far], axis=1), axis=1)[:, :k]
+                room = 1e-9 * (1 + np.abs(np.where(np.isfinite(best[n][:, -1:]), best[n][:, -1:], 0)))
+                keep = at[(far <= best[n][:, -1:] + room).any(0)]  # what ties with the last one stays
+                yield pd.DataFrame({key: pdf[key].to_numpy()[keep], "v": [np.asarray(v, dtype="f8") for v in pdf["v"].to_numpy()[keep]]})
+
+    return run
+
+
 def ranked(hits: DataFrame, key: str, k: int | None = None, descending: bool = True, by: str = "query_id") -> DataFrame:
     """Hits with ``rank`` from 1 within each query, the best ``k`` if given."""
     order = F.desc("score") if descending else F.asc("score")
@@ -97,6 +189,11 @@ def ranked(hits: DataFrame, key: str, k: int | None = None, descending: bool = T
     return out.where(F.col("rank") <= k) if k is not None else out
 
 
+def closeness(distance: Column) -> Column:
+    """A distance as a score between 0 and 1, the nearer the higher; what a vector search reports."""
+    return 1 / (1 + distance)
+
+
 def top(hits: DataFrame, key: str, k: int, descending: bool = True) -> DataFrame:
     """The best ``k`` hits of one query, by a bounded sort in every task."""
     return hits.orderBy(F.desc("score") if descending else F.asc("score"), key).limit(k)

@@ -17,7 +17,7 @@ def _norm(x: str) -> str:
 
 
 def _results(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    """(id, rank, doc_id, text, rel): documents ranked by the number of the item's fact strings they have, longest texts first."""
+    """(id, rank, doc_id, text, rel): documents ranked by the number of the item's fact strings they have as words, ties by id."""
     gold = table(spark, d, "gold_items").select("id", "corpus", "expected", "match", "dimensions", "fact_ids")
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", "n_chars")
     wanted = F.broadcast(gold.select("id", F.explode("expected").alias("term")).select("id", F.lower("term").alias("term")).distinct())
@@ -25,7 +25,7 @@ def _results(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     hits = words.join(wanted, "term").groupBy("id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     best = search.ranked(hits.withColumnRenamed("id", "query_id"), "doc_id", k)
     joined = best.select(F.col("query_id").alias("id"), "doc_id", F.col("rank").cast("long").alias("rank")).join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(gold), "id")
-    return joined.withColumn("rel", E.relevance(F.col("text"), F.array(F.concat(F.col("expected")[0], F.lit(" ")))))
+    return joined.withColumn("rel", E.relevance(F.col("text"), F.col("expected")))
 
 
 _RESULTS = rf"""with g as (select * from gold_items),
@@ -33,7 +33,7 @@ w as (select distinct id, lower(unnest(expected)) as term from g),
 t as (select distinct doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) as term from documents where text is not null),
 h as (select id, doc_id, count(*) as score from t join w using (term) group by id, doc_id),
 r as (select *, row_number() over (partition by id order by score desc, doc_id) as rank from h),
-res as (select r.id, r.doc_id, r.rank, d.text, g.expected, g.match, g.dimensions, contains({_norm("d.text")}, {_norm("g.expected[1] || ' '")})::int as rel from r join documents d using (doc_id) join g on g.id = r.id where rank <= 20)"""
+res as (select r.id, r.doc_id, r.rank, d.text, g.expected, g.match, g.dimensions, (len(list_filter(g.expected, lambda e: contains({_norm("d.text")}, {_norm("e")}))) > 0)::int as rel from r join documents d using (doc_id) join g on g.id = r.id where rank <= 20)"""
 
 
 @query(f"{_RESULTS} select id, doc_id, rank, rel from res")
@@ -47,13 +47,14 @@ def _recall_sql(k: int) -> str:
 
 
 @query(
-    f"""{_RESULTS}, a as {_recall_sql(5)}, b as {_recall_sql(20)},
-n as (select g.id, g.match, list_transform(g.expected, lambda e: {_norm("e")}) as es, coalesce(t5, '') as t5, coalesce(t20, '') as t20 from g left join a using (id) left join b using (id))
-select id, case when match = 'all' then len(list_filter(es, lambda e: not contains(t5, e))) = 0 else len(list_filter(es, lambda e: contains(t5, e))) > 0 end::int as recall_at_5,
+    f"""{_RESULTS}, a as {_recall_sql(5)}, m as {_recall_sql(10)}, b as {_recall_sql(20)},
+n as (select g.id, g.match, list_transform(g.expected, lambda e: {_norm("e")}) as es, coalesce(t5, '') as t5, coalesce(t10, '') as t10, coalesce(t20, '') as t20 from g left join a using (id) left join m using (id) left join b using (id))
+select id, case when match = 'all' then len(list_filter(es, lambda e: not contains(t10, e))) = 0 else len(list_filter(es, lambda e: contains(t10, e))) > 0 end::int as recall_at_10,
+  case when match = 'all' then len(list_filter(es, lambda e: not contains(t5, e))) = 0 else len(list_filter(es, lambda e: contains(t5, e))) > 0 end::int as recall_at_5,
   case when match = 'all' then len(list_filter(es, lambda e: not contains(t20, e))) = 0 else len(list_filter(es, lambda e: contains(t20, e))) > 0 end::int as recall_at_20 from n"""
 )
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return E.recall_at(_results(spark, d).select("id", "rank", "text"), table(spark, d, "gold_items"), (5, 20))
+    return E.recall_at(_results(spark, d).select("id", "rank", "text"), table(spark, d, "gold_items"), (5, 10, 20))
 
 
 _NDCG = f"""{_RESULTS}, s as (select id, sum(case when rank <= 10 then rel / log2(rank + 1) end) as dcg, least(sum(rel), 10)::int as n from res group by id),
@@ -88,7 +89,7 @@ def first_relevant_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, round(list_sort(list(value) filter (value is not null))[floor(0.9 * (count(value) - 1))::int + 1], 6) as p90 from events group by event_type")
 def p90_latency(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(E.low_rank_percentile("value", 0.9), 6).alias("p90"))
+    return E.low_rank_percentile(table(spark, d, "events"), "event_type", "value", 0.9).select("event_type", F.round("value", 6).alias("p90"))
 
 
 @query(

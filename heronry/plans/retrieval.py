@@ -73,9 +73,8 @@ k as (select vec_id, {_L2.format(a="embedding", b="query")} as score from embedd
 select vec_id, round(score, 6) as distance, round(1 / (1 + score), 6) as score, row_number() over (order by score, vec_id) as rank from k order by k.score, vec_id limit 20"""
 )
 def vector_knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.top(search.knn_scores(table(spark, d, "embeddings"), _target(spark, d), "vec_id", "embedding"), "vec_id", 20, descending=False)
-    best = search.ranked(hits, "vec_id", descending=False)
-    return best.select("vec_id", F.round("score", 6).alias("distance"), F.round(1 / (1 + F.col("score")), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    best = search.nearest(table(spark, d, "embeddings"), _target(spark, d), "vec_id", 20, "embedding")
+    return best.select("vec_id", F.round("score", 6).alias("distance"), F.round(search.closeness(F.col("score")), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -95,7 +94,7 @@ select query_label, vec_id, round(score, 6) as distance, rank from r where rank
 )
 def knn_batch_per_query(spark: SparkSession, d: str) -> DataFrame:
     queries = _centroids(spark, d).select(F.col("label").alias("query_id"), "query")
-    best = search.ranked(search.knn_scores(table(spark, d, "embeddings"), queries, "vec_id", "embedding"), "vec_id", 10, descending=False)
+    best = search.nearest(table(spark, d, "embeddings"), queries, "vec_id", 10, "embedding")
     return best.select(F.col("query_id").alias("query_label"), "vec_id", F.round("score", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -166,22 +165,22 @@ select vec_id, row_number() over (order by first, vec_id)::int as position, sub_
 )
 def pool_round_robin(spark: SparkSession, d: str) -> DataFrame:
     queries = _centroids(spark, d).select(F.col("label").alias("query_id"), "query")
-    best = search.ranked(search.knn_scores(table(spark, d, "embeddings"), queries, "vec_id", "embedding"), "vec_id", 20, descending=False)
+    best = search.nearest(table(spark, d, "embeddings"), queries, "vec_id", 20, "embedding")
     return fusion.round_robin(best.select("vec_id", "rank", F.col("query_id").alias("sub_query")), "vec_id")
 
 
 def _candidates(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
-    """(vec_id, sub_query, score): the vectors nearest to the query vector, scored by cosine against three label means."""
+    """(vec_id, sub_query, score): the vectors nearest to the query vector, scored by cosine against every label mean."""
     near = search.top(search.knn_scores(table(spark, d, "embeddings"), _target(spark, d), "vec_id", "embedding"), "vec_id", k, descending=False).select("vec_id")
     few = table(spark, d, "embeddings").join(F.broadcast(near), "vec_id", "left_semi")
-    queries = _centroids(spark, d).where("label < 3").select(F.col("label").alias("query_id"), "query")
+    queries = _centroids(spark, d).select(F.col("label").alias("query_id"), "query")
     return search.knn_scores(few, queries, "vec_id", "embedding", metric="cosine").select("vec_id", F.col("query_id").alias("sub_query"), "score")
 
 
 _CANDIDATES_SQL = f"""with {_CENTROIDS},
 q as (select embedding as query from embeddings where vec_id = {QUERY_VECTOR}),
 near as (select vec_id, embedding from (select vec_id, embedding, {_L2.format(a="embedding", b="query")} as s from embeddings, q) order by s, vec_id limit 30),
-c as (select vec_id, cent.label as sub_query, {_DOT.format(a="embedding", b="query")} / sqrt({_DOT.format(a="embedding", b="embedding")} * {_DOT.format(a="query", b="query")}) as score from near, cent where cent.label < 3),
+c as (select vec_id, cent.label as sub_query, {_DOT.format(a="embedding", b="query")} / sqrt({_DOT.format(a="embedding", b="embedding")} * {_DOT.format(a="query", b="query")}) as score from near, cent),
 a as (select vec_id, avg(score) as mean, max(score) as best from c group by vec_id)"""
 
 
@@ -230,7 +229,7 @@ e as (select query_label, greatest(0.0, least(1.0, (top - bg) / (1 - bg))) as ev
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     queries = _centroids(spark, d).select(F.col("label").alias("query_id"), "query")
-    best = search.ranked(search.knn_scores(table(spark, d, "embeddings"), queries, "vec_id", "embedding"), "vec_id", 20, descending=False)
+    best = search.nearest(table(spark, d, "embeddings"), queries, "vec_id", 20, "embedding")
     sims = best.groupBy("query_id").agg(F.collect_list(1 - F.col("score") / 2).alias("sims"))
     return sims.select(F.col("query_id").alias("query_label"), rerank.contrast(F.col("sims")).alias("evidence"))
 
@@ -248,7 +247,7 @@ def retry_decision(spark: SparkSession, d: str) -> DataFrame:
 _OVERVIEW_SQL = f"""with {_CENTROIDS},
 q as (select embedding as query from embeddings where vec_id = {QUERY_VECTOR}),
 dr as (select 'doc_' || cent.label as document_id, row_number() over (order by {_DOT.format(a="cent.query", b="q.query")} desc, cent.label) - 1 as document_rank from cent, q),
-d5 as (select * from dr where document_rank < 3),
+d5 as (select * from dr where document_rank < 5),
 near as (select vec_id, 'doc_' || label as document_id, row_number() over (order by s, vec_id) - 1 as position from (select vec_id, label, {_L2.format(a="embedding", b="query")} as s from embeddings, q) order by s, vec_id limit 20)"""
 
 
@@ -258,7 +257,7 @@ def _overview(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ranking = search.ranked(hits, "vec_id", descending=False).join(emb.select("vec_id", "label"), "vec_id")
     candidates = ranking.select("vec_id", F.concat(F.lit("doc_"), "label").alias("document_id"), (F.col("rank") - 1).alias("position"))
     scored = _centroids(spark, d).crossJoin(F.broadcast(_target(spark, d).select(F.col("query").alias("q")))).select("label", V.dot(F.col("query"), F.col("q")).alias("score"), F.lit("q").alias("query_id"))
-    docs = search.ranked(scored, "label", 3).select(F.concat(F.lit("doc_"), "label").alias("document_id"), (F.col("rank") - 1).alias("document_rank"))
+    docs = search.ranked(scored, "label", 5).select(F.concat(F.lit("doc_"), "label").alias("document_id"), (F.col("rank") - 1).alias("document_rank"))
     return candidates, docs
 
 
@@ -334,13 +333,13 @@ def short_query_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with qt as (select vec_id as query_token, embedding as query from embeddings where vec_id < 4),
+    f"""with qt as (select vec_id as query_token, embedding as query from embeddings where vec_id % 20 = 0),
 s as (select label, query_token, max({_DOT.format(a="embedding", b="query")}) as m from embeddings, qt group by label, query_token)
 select label, round(sum(m), 6) as score from s group by label"""
 )
 def max_sim_late_interaction(spark: SparkSession, d: str) -> DataFrame:
     emb = table(spark, d, "embeddings")
-    tokens = emb.where("vec_id < 4").select(F.lit("q").alias("query_id"), F.col("vec_id").alias("query_token"), F.col("embedding").alias("query"))
+    tokens = emb.where("vec_id % 20 = 0").select(F.lit("q").alias("query_id"), F.col("vec_id").alias("query_token"), F.col("embedding").alias("query"))
     return search.max_sim(tokens, emb.select("label", F.col("embedding").alias("vector")), "label").select("label", F.round("score", 6).alias("score"))
 
 

@@ -160,7 +160,7 @@ def test_metrics(spark):
     gold = spark.createDataFrame([("q", ["ALPHA", "beta gamma"], "all"), ("n", ["x"], "any")], "id string, expected array<string>, match string")
     assert {r["id"]: (r["recall_at_1"], r["recall_at_2"]) for r in evaluation.recall_at(res, gold, (1, 2)).collect()} == {"q": (0, 1), "n": (0, 0)}
     v = spark.createDataFrame([(float(i),) for i in range(10)], "x double")
-    assert v.agg(evaluation.low_rank_percentile("x", 0.9)).first()[0] == 8.0
+    assert evaluation.low_rank_percentile(v.withColumn("k", F.lit("a")), "k", "x", 0.9).first()["value"] == 8.0
     j = spark.createDataFrame([(True, True), (True, False), (False, False), (False, None)], "l boolean, v boolean")
     c = evaluation.confusion(j, "l", "v").first()
     assert (c["tp"], c["fn"], c["tn"], c["fp"], c["unparseable"], c["tpr"]) == (1, 1, 1, 0, 1, 0.5)
