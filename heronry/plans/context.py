@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.operators import chunking, context, crossref, search
 from heronry.plans.registry import query
-from heronry.plans.retrieval import TERMS, _bm25_sql, _terms
+from heronry.plans.retrieval import _EVIDENCE_SQL, TERMS, _bm25_sql, _evidence, _terms
+from heronry.session import cut_lineage
 from heronry.sources.tables import table
 
 _C = "(select distinct chunk_id, document_id, chunk_index, text from text_pages where chunk_id is not null)"
@@ -163,52 +164,69 @@ def crossref_resolve(spark: SparkSession, d: str) -> DataFrame:
     return crossref.resolve(crossref.labels(chunks), crossref.names(chunks)).select("chunk_id", "document_id", "kind", "ref", "position", "target_doc")
 
 
-@query()
+_ANNOTATED = rf"""{_FOUND}, {_NAMES},
+r as (select distinct ref, trim(regexp_replace(lower(ref), '[^0-9a-z]+', ' ', 'g')) as k from refs),
+hit as (select ref, min({{'i': (name <> k)::int, 'n': length(name), 'name': name, 't': known.target_doc}}).t as target_doc from r join known on contains(' ' || name || ' ', ' ' || k || ' ') group by ref),
+labelled as (select chunk_id, document_id, kind, ref, position, case when hit.target_doc is distinct from document_id then hit.target_doc end as target_doc from refs left join hit using (ref)),
+usable as (select name, target_doc from known where length(name) >= 6 or len(string_split(name, ' ')) >= 2),
+spoken as (select chunk_id, document_id, ' ' || trim(lower(regexp_replace(text, '[^0-9A-Za-z]+', ' ', 'g'))) || ' ' as p,
+  lower(trim(regexp_replace(regexp_replace(regexp_extract(document_id, '[^/]*$'), '\.[A-Za-z0-9]{{1,5}}$', ''), '[^0-9A-Za-z]+', ' ', 'g'))) as own from c),
+met as (select distinct chunk_id, document_id, name, usable.target_doc from spoken join usable on contains(p, ' ' || name || ' ') where usable.target_doc is distinct from document_id and coalesce(name <> own, true)),
+named as (select chunk_id, document_id, 'document' as kind, name as ref, row_number() over (partition by chunk_id, document_id order by length(name) desc, name) - 1 as position, target_doc from met),
+fresh as (select * from named n where not exists (select 1 from labelled l where l.chunk_id = n.chunk_id and l.document_id = n.document_id and l.ref = n.ref)),
+both_ as (select *, 0 as g from labelled union all select *, 1 as g from fresh),
+placed as (select chunk_id, document_id, kind, ref, target_doc, (row_number() over (partition by chunk_id, document_id order by g, position) - 1)::int as position from both_),
+ann as (select * from placed where position < 8)"""
+
+
+@query(f"with {_ANNOTATED} select chunk_id, document_id, position, kind, ref, target_doc from ann")
 def crossref_annotate(spark: SparkSession, d: str) -> DataFrame:
     return crossref.annotate(_chunks(spark, d))
 
 
-@query(
-    f"""with {_FOUND}, k as (select *, case when document_id <> 'plant_master_catalogue.pdf' and kind = 'exhibit' then 'plant_master_catalogue.pdf' end as target_doc from refs)
-select count(distinct chunk_id) as chunks_with_refs, count(*) as refs, count(target_doc) as resolved, count(distinct target_doc) as target_docs from k"""
-)
+@query(f"with {_ANNOTATED} select count(distinct chunk_id) as chunks_with_refs, count(*) as refs, count(target_doc) as resolved, count(distinct target_doc) as target_docs from ann")
 def crossref_stats(spark: SparkSession, d: str) -> DataFrame:
-    refs = crossref.labels(_chunks(spark, d))
-    target = F.when((F.col("document_id") != "plant_master_catalogue.pdf") & (F.col("kind") == "exhibit"), F.lit("plant_master_catalogue.pdf"))
-    return crossref.statistics(refs.withColumn("target_doc", target))
-
-
-_EDGES = f"""with {_FOUND}, ds as (select document_id, row_number() over (order by document_id) as n from (select distinct document_id from c where document_id is not null)),
-edges as (select distinct refs.document_id, t.document_id as target_doc from refs join ds s on s.document_id = refs.document_id join ds t on t.n = s.n % (select count(*) from ds) + 1 where kind = 'exhibit' and t.document_id <> refs.document_id)"""
-
-
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """References whose targets are made up: every exhibit points to the next document in order of id."""
-    chunks = _chunks(spark, d)
-    docs = chunks.where("document_id is not null").select("document_id").distinct()
-    following = F.lead("document_id").over(Window.orderBy("document_id"))
-    first = F.min("document_id").over(Window.partitionBy(F.lit(1)))
-    ring = docs.select("document_id", F.coalesce(following, first).alias("target_doc"))
-    return crossref.labels(chunks).where("kind = 'exhibit'").join(ring, "document_id").where("target_doc <> document_id")
+    return crossref.statistics(crossref.annotate(_chunks(spark, d)))
 
 
 @query(
-    f"""{_EDGES}, o as (select document_id, count(*) as n from edges group by 1), i as (select target_doc as document_id, count(*) as n from edges group by 1)
+    f"""with {_ANNOTATED}, edges as (select distinct document_id, target_doc from ann where target_doc is not null and document_id is not null),
+o as (select document_id, count(*) as n from edges group by 1), i as (select target_doc as document_id, count(*) as n from edges group by 1)
 select coalesce(o.document_id, i.document_id) as document_id, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) + coalesce(i.n, 0) as degree from o full join i on o.document_id = i.document_id"""
 )
 def link_graph_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return crossref.link_degrees(_edges(spark, d))
+    return crossref.link_degrees(crossref.annotate(_chunks(spark, d)))
 
 
-@query()
+#: A question whose best chunks name other documents.
+HOP_TERMS = ["session", "protocol", "supply", "contract"]
+
+
+@query(
+    f"""with {_ANNOTATED}, pages as (select distinct chunk_id, document_id, chunk_index, text from text_pages where chunk_id is not null and chunk_index >= 0), {_bm25_sql("pages", "chunk_id", terms=HOP_TERMS, p="b_")},
+cand as (select p.chunk_id, p.document_id, b.rank from (select chunk_id, row_number() over (order by score desc, chunk_id) as rank from fts order by score desc, chunk_id limit 8) b join pages p using (chunk_id)),
+tg as (select ann.target_doc, min({{'r': cand.rank, 'p': ann.position}}) as first from ann join cand using (chunk_id) where ann.target_doc is not null and ann.target_doc not in (select document_id from cand where document_id is not null) group by ann.target_doc),
+t2 as (select target_doc, row_number() over (order by first, target_doc) as n from tg order by first, target_doc limit 2),
+sc as (select p.chunk_id, p.document_id, t2.n, row_number() over (partition by p.document_id order by -fts.score, p.chunk_id) as m from pages p join fts using (chunk_id) join t2 on t2.target_doc = p.document_id),
+added as (select chunk_id, document_id, ((select max(rank) from cand) + row_number() over (order by n, m))::int as rank from sc where m <= 3)
+select chunk_id, document_id, rank::int as rank, false as via_crossref from cand union all select chunk_id, document_id, rank, true from added"""
+)
 def crossref_hop(spark: SparkSession, d: str) -> DataFrame:
-    candidates = _seeds(spark, d, 8).select("chunk_id", "document_id", "rank")
-    scored = _chunks(spark, d).where("chunk_index >= 0").select("chunk_id", "document_id", F.col("chunk_index").cast("double").alias("score"))
-    return context.hop(candidates, _edges(spark, d).select("chunk_id", "position", "target_doc"), scored, trigger=8, max_hops=2, per_hop=3)
+    chunks = _chunks(spark, d)
+    known = chunks.where("chunk_index >= 0")
+    hits = cut_lineage(search.bm25_scores(known, _terms(spark, HOP_TERMS), "chunk_id"))
+    candidates = known.join(F.broadcast(search.ranked(search.top(hits, "chunk_id", 8), "chunk_id").select("chunk_id", "rank")), "chunk_id").select("chunk_id", "document_id", "rank")
+    scored = hits.join(known.select("chunk_id", "document_id"), "chunk_id").select("chunk_id", "document_id", (-F.col("score")).alias("score"))
+    return context.hop(candidates, crossref.annotate(chunks), scored, trigger=8, max_hops=2, per_hop=3)
 
 
-@query()
+@query(
+    f"""{_EVIDENCE_SQL}, pages as {_C}, known as (select * from pages where chunk_index >= 0), {_bm25_sql("known", "chunk_id", p="b_")},
+top10 as (select chunk_id, row_number() over (order by score desc, chunk_id) as rank from fts order by score desc, chunk_id limit 10),
+dr as (select document_id, min(rank) as rank from known join top10 using (chunk_id) group by document_id)
+select document_id from dr where (select min(evidence) from e) < 0.12 order by rank, document_id limit 1"""
+)
 def document_escalation(spark: SparkSession, d: str) -> DataFrame:
+    """The thinnest evidence among the questions decides, as a sub-question without support does."""
     candidates = _seeds(spark, d, 10).select("document_id", "rank")
-    evidence = candidates.agg(F.lit(0.05).alias("evidence"))
-    return context.escalation(evidence, candidates, 0.12, 1)
+    return context.escalation(_evidence(spark, d).agg(F.min("evidence").alias("evidence")), candidates, 0.12, 1)

@@ -129,12 +129,15 @@ def verifier_weakest_link(spark: SparkSession, d: str) -> DataFrame:
     return E.weakest_link(scores, "event_type")
 
 
-@query()
+@query(
+    """select id, sha256('{' || concat_ws(',', case when stored_path is not null then '"p0":' || to_json(stored_path)::varchar end, case when index_id is not null then '"p1":' || to_json(index_id)::varchar end, '"p2":"chunker-1"') || '}') as fingerprint
+from index_documents"""
+)
 def index_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "index_documents").select("id", E.fingerprint(F.col("stored_path"), F.col("index_id"), F.lit("chunker-1")).alias("fingerprint"))
 
 
-@query()
+@query("select to_json({'expected': expected, 'id': id, 'match': match, 'query': query})::varchar as line from gold_items order by line")
 def canonical_dump(spark: SparkSession, d: str) -> DataFrame:
     return E.canonical_lines(table(spark, d, "gold_items").select("id", "query", "expected", "match"))
 

@@ -37,16 +37,16 @@ def _centroids(spark: SparkSession, d: str) -> DataFrame:
 _TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-def _bm25_sql(source: str, key: str, text: str = "text", terms: list[str] = TERMS) -> str:
+def _bm25_sql(source: str, key: str, text: str = "text", terms: list[str] = TERMS, p: str = "") -> str:
     words = ", ".join(f"'{t}'" for t in terms)
     return f"""
-w as (select {key}, {_TOKENS.format(f"coalesce({text}, '')")} as ts from {source}),
-s as (select count(*) as n, avg(len(ts)) as avgdl from w where len(ts) > 0),
-h as (select {key}, len(ts) as dl, unnest(ts) as term from w),
-tf as (select {key}, dl, term, count(*) as tf from h where term in ({words}) group by all),
-df as (select term, count(*) as df from tf group by term),
+{p}w as (select {key}, {_TOKENS.format(f"coalesce({text}, '')")} as ts from {source}),
+{p}s as (select count(*) as n, avg(len(ts)) as avgdl from {p}w where len(ts) > 0),
+{p}h as (select {key}, len(ts) as dl, unnest(ts) as term from {p}w),
+{p}tf as (select {key}, dl, term, count(*) as tf from {p}h where term in ({words}) group by all),
+{p}df as (select term, count(*) as df from {p}tf group by term),
 fts as (select {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
-        from tf join df using (term), s group by {key})"""
+        from {p}tf join {p}df using (term), {p}s group by {key})"""
 
 
 _L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))"
@@ -205,7 +205,13 @@ def rerank_threshold_min_keep(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(
+    f"""{_CANDIDATES_SQL}, r as (select *, row_number() over (order by mean desc, vec_id) as rank from a),
+saved as (select vec_id from c where sub_query = (select min(sub_query) from c) and not exists (select 1 from a where best >= 0.75) order by c.score desc, vec_id limit 1),
+k as (select *, best >= 0.75 or vec_id in (select vec_id from saved) as stays from r),
+f as (select * from k where stays or ((select count(*) from k where stays) < 3 and rank <= 3))
+select vec_id, round(mean, 6) as score, row_number() over (order by rank)::int as rank from f order by f.rank limit 10"""
+)
 def rerank_pooled_rescue(spark: SparkSession, d: str) -> DataFrame:
     out = rerank.select_by_threshold(_candidates(spark, d), "vec_id", 0.75, min_keep=3, top_k=10, rescue=True)
     return out.select("vec_id", F.round("score", 6).alias("score"), "rank")

@@ -123,7 +123,10 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(s).alias("sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).alias("longest"))
 
 
-@query()
+@query(
+    f"""select id, array_to_string(list_transform(string_split(content, '```'), lambda p, i: case when i % 2 = 1
+  then regexp_replace(regexp_replace(p, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') else p end), '```') as content from {_M}"""
+)
 def fence_aware_spacing(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", T.calm_spacing(F.col("content")).alias("content"))
 
@@ -155,7 +158,11 @@ def metadata_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", J.field(m, "$.metadata.source").alias("source"), J.field(m, "$.metadata.page").try_cast("int").alias("page"), J.original_text(m, F.col("text")).alias("body"))
 
 
-@query()
+@query(
+    """with m as (select distinct id, metadata from messages), j as (select id, case when json_valid(metadata) and json_type(metadata) = 'OBJECT' then metadata::json else '{}'::json end as j from m),
+k as (select id, j, list_filter(json_keys(j), lambda k: k <> 'reviewed') as ks from j)
+select id, to_json(map_from_entries(list_concat(list_transform(ks, lambda k: row(k, json_extract_string(j, '$."' || k || '"'))), [row('reviewed', 'yes')])))::varchar as metadata from k"""
+)
 def json_merge(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", "metadata").distinct().select("id", J.merged(F.col("metadata"), F.lit('{"reviewed": "yes"}')).alias("metadata"))
 
@@ -189,12 +196,22 @@ def text_as_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", fenced(F.col("text")).alias("markdown"))
 
 
-@query()
+#: Sentences packed into runs of at most 128 quarter tokens (515 characters), one sentence shared; for texts under the outer limit.
+_CHUNKS = rf"""with recursive raw as (select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])[\s\v\x1c-\x1f\x{{0085}}\p{{Z}}]+', '\1' || chr(57344), 'g'), '\n+', chr(57344), 'g'), chr(57344)) as ss from documents where text is not null),
+s as (select doc_id, list_filter(list_transform(ss, lambda x: regexp_replace(x, '^[\s\v\x1c-\x1f\x{{0085}}\p{{Z}}]+|[\s\v\x1c-\x1f\x{{0085}}\p{{Z}}]+$', '', 'g')), lambda x: x <> '') as ss from raw),
+e as (select doc_id, ss, len(ss) as n, list_transform(range(0, len(ss) + 1), lambda i: coalesce(list_sum(list_transform(ss[1:i], lambda x: length(x) + 1)), 0)::bigint) as edge from s where len(ss) > 0),
+w as (select doc_id, 0 as chunk_index, 0 as i, greatest(1, len(list_filter(edge, lambda x: x <= edge[1] + 516)) - 1) as j from e
+  union all
+  select w.doc_id, w.chunk_index + 1, greatest(w.i + 1, w.j - 1), greatest(greatest(w.i + 1, w.j - 1) + 1, len(list_filter(e.edge, lambda x: x <= e.edge[greatest(w.i + 1, w.j - 1) + 1] + 516)) - 1) from w join e using (doc_id) where w.j < e.n),
+chunks as (select w.doc_id, w.chunk_index, w.doc_id || '_' || w.chunk_index as chunk_id, array_to_string(e.ss[w.i + 1 : w.j], ' ') as text from w join e using (doc_id))"""
+
+
+@query(f"{_CHUNKS} select doc_id, chunk_index, chunk_id, text from chunks")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(table(spark, d, "documents"))
 
 
-@query()
+@query(f"{_CHUNKS} select doc_id, count(*) as chunks, max(length(text)) as longest from chunks group by doc_id")
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     chunks = chunking.chunk_texts(table(spark, d, "documents"))
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).alias("longest"))
