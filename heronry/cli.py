@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import signal
 import sys
-import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.config import PROFILES, ConfigError, EngineConfig, profile
 from heronry.models import hashed_embeddings
-from heronry.operators import chunking, context, crossref, evaluation, fusion, search
+from heronry.operators import chunking, crossref, evaluation
 from heronry.operators.filters import Filter, FilterError, compile_filter
-from heronry.session import get_spark
+from heronry.plans import pipeline
+from heronry.session import get_spark, scratch_path
 from heronry.sources import documents, store
 
 WIDTH = 256
@@ -36,33 +38,37 @@ def build(spark: SparkSession, path: str, folder: str, most: int = 128) -> DataF
     return store.read_chunks(spark, folder)
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    return hashed_embeddings(questions, "text", WIDTH).select("query_id", "text", F.col("vector").alias("query"))
+
+
 def retrieve(spark: SparkSession, folder: str, questions: DataFrame, config: EngineConfig, wanted: Filter | None = None) -> DataFrame:
-    """(query_id, chunk_id, rank) for questions (query_id, text), by the profile's mode; the filter comes first."""
+    """(query_id, chunk_id, rank) for questions (query_id, text): the first stage of many questions at once."""
+    store.check_marker(store.read_marker(spark, folder), MARKER.embedder, WIDTH)
+    return pipeline.first_stage(store.read_chunks(spark, folder), _asked(questions), config, wanted)
+
+
+def references(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, position, target_doc) that indexing left in the chunks' metadata."""
+    kept = F.from_json(F.get_json_object("metadata", "$.metadata.crossrefs"), "array<struct<position:int,target_doc:string>>")
+    return chunks.select("chunk_id", F.explode(kept).alias("r")).select("chunk_id", "r.position", "r.target_doc")
+
+
+def run(spark: SparkSession, folder: str, question: str, config: EngineConfig, wanted: Filter | None = None) -> pipeline.Retrieved:
+    """One question through every step its profile has; the overviews are the documents' first chunks, as no model writes them here."""
     store.check_marker(store.read_marker(spark, folder), MARKER.embedder, WIDTH)
     chunks = store.read_chunks(spark, folder)
-    if wanted:
-        chunks = wanted.apply(chunks)
-    legs = {}
-    if config.search_type != "vector_only":
-        terms = questions.select("query_id", F.explode(search.tokens(F.col("text"))).alias("term"))
-        legs["fts"] = search.ranked(search.bm25_scores(chunks, terms, "chunk_id"), "chunk_id", config.retrieval_k)
-    if config.search_type != "fts_only":
-        asked = hashed_embeddings(questions, "text", WIDTH).select("query_id", F.col("vector").alias("query"))
-        legs["vec"] = search.ranked(search.knn_scores(chunks, asked, "chunk_id"), "chunk_id", config.retrieval_k, descending=False)
-    return fusion.fuse(legs, "chunk_id", config.retrieval_k, config.rrf_k, by="query_id").select("query_id", "chunk_id", "rank")
+    q = _asked(spark.createDataFrame([("q", question)], "query_id string, text string"))
+    overviews = None
+    if config.overview_prefilter != "off":
+        texts = chunking.overview_texts(chunks).withColumnRenamed("overview_text", "text")
+        overviews = hashed_embeddings(texts, "text", WIDTH).select("document_id", "vector")
+    return pipeline.answer(chunks, q, config, wanted, references=references(chunks) if config.crossref_hop else None, overviews=overviews)
 
 
 def ask(spark: SparkSession, folder: str, question: str, config: EngineConfig, wanted: Filter | None = None) -> tuple[DataFrame, DataFrame]:
-    """(blocks, context) of one question: neighbours merged in if the profile says so, packed and labelled."""
-    q = spark.createDataFrame([("q", question)], "query_id string, text string")
-    chunks = store.read_chunks(spark, folder)
-    seeds = chunks.join(F.broadcast(retrieve(spark, folder, q, config, wanted)), "chunk_id").select("chunk_id", "document_id", "chunk_index", "rank", "text")
-    if config.context_window:
-        wide = context.expand_neighbours(seeds.drop("text"), chunks, config.context_window)
-        place = F.struct("seed_rank", "chunk_index", "chunk_id")
-        seeds = wide.join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("rank", place)
-    blocks = context.pack_budget(seeds.withColumn("span", F.array("chunk_index")), config.synthesis_token_budget)
-    return blocks, context.labelled(blocks)
+    """(blocks, context) of one question, by every step of the profile."""
+    return pipeline.full_context(store.read_chunks(spark, folder), run(spark, folder, question, config, wanted), config)
 
 
 def evaluate(spark: SparkSession, folder: str, gold_paths: list[str], config: EngineConfig) -> DataFrame:
@@ -83,8 +89,10 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--store", default=None)
         p.add_argument("--mode", choices=sorted(PROFILES), default="default")
         p.add_argument("--filters", default=None)
+        p.add_argument("--set", default=None, help="a JSON object of settings that change the mode")
         if name == "eval":
             p.add_argument("--gold", nargs="+", required=True)
+            p.add_argument("--out", help="also write the result file")
         else:
             p.add_argument("what")
         if name == "ask":
@@ -93,13 +101,15 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     try:
         wanted = compile_filter(json.loads(args.filters)) if args.filters else None
-        config = profile(args.mode)
+        config = profile(args.mode, json.loads(args.set) if args.set else {})
     except (FilterError, ConfigError, json.JSONDecodeError) as e:
         print(e, file=sys.stderr)
         return 2
     spark = get_spark("heronry")
     passing = args.command == "ask" and args.path is not None
-    folder = args.store or (tempfile.mkdtemp(prefix="heronry-index-") if passing else None)
+    folder = args.store or (scratch_path(spark, "passing-index") if passing else None)
+    if passing and args.store is None:  # the passing index goes away also when the process is told to end
+        signal.signal(signal.SIGTERM, lambda *_: sys.exit(143))
     if folder is None:
         print("--store is needed", file=sys.stderr)
         return 2
@@ -107,9 +117,9 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "index":
             print(json.dumps(build(spark, args.what, folder).groupBy().agg(F.countDistinct("document_id").alias("files"), F.count(F.lit(1)).alias("chunks")).first().asDict()))
         elif args.command == "search":
-            q = spark.createDataFrame([("q", args.what)], "query_id string, text string")
-            hits = retrieve(spark, folder, q, config, wanted).join(store.read_chunks(spark, folder), "chunk_id").orderBy("rank")
-            for r in hits.select("rank", "document_id", "chunk_index", "text").collect():  # at most retrieval_k rows
+            final = run(spark, folder, args.what, config, wanted).final.select("chunk_id", "rank", "via_crossref")
+            hits = store.read_chunks(spark, folder).join(F.broadcast(final), "chunk_id").orderBy("rank")
+            for r in hits.select("rank", "document_id", "chunk_index", "text", "via_crossref").collect():  # at most retrieval_k rows and a hop
                 print(json.dumps(r.asDict(), ensure_ascii=False))
         elif args.command == "ask":
             if passing:
@@ -117,7 +127,11 @@ def main(argv: list[str] | None = None) -> int:
             row = ask(spark, folder, args.what, config, wanted)[1].first()
             print(row["context"] if row else "")
         else:
-            evaluate(spark, folder, args.gold, config).orderBy("id").show(1000, truncate=False)
+            metrics = evaluate(spark, folder, args.gold, config).orderBy("id")
+            rows = [r.asDict() for r in metrics.toLocalIterator()]  # one a gold item
+            if args.out:
+                Path(args.out).write_text(evaluation.results_json({"mode": args.mode, "config": config.as_dict()}, metrics), encoding="utf-8")
+            print(evaluation.text_table(rows, metrics.columns))
     finally:
         if passing and not args.keep and args.store is None:
             store.drop_store(spark, folder)

@@ -38,6 +38,12 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
 
+def answer_sentences(x: Column) -> Column:
+    """As :func:`sentences`, for answers: only a full stop, question or exclamation mark ends one, a line end does not."""
+    parts = F.split(F.coalesce(x, F.lit("")), r"(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, trimmed), lambda s: s != "")
+
+
 def without_think(x: Column) -> Column:
     """Without closed think blocks."""
     return F.regexp_replace(x, r"(?is)<think[^>]*>.*?</think>", "")

@@ -7,6 +7,7 @@ The stand-ins hash words and compare words: they make every operator run, and cl
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -75,6 +76,11 @@ def hashed_embeddings(rows: DataFrame, text: str, width: int) -> DataFrame:
     return embeddings(rows, text, hashing_embedder(width))
 
 
+def score_text(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``score_text``: the matched chunk's own text where a block was merged around it, else the text."""
+    return rows.withColumn("score_text", F.coalesce("core_text", "text") if "core_text" in rows.columns else F.col("text"))
+
+
 def scored(pairs: DataFrame, query: str, text: str, score: Scorer | None = None) -> DataFrame:
     """``pairs`` with ``score``; without a scorer it is the share of the query's words that the text has."""
     if score is None:
@@ -97,3 +103,72 @@ def pruned(texts: DataFrame, key: str, query: str, text: str, least: float = 0.1
     each = texts.select(key, query, F.posexplode(sentences(F.col(text))).alias("n", "sentence"))
     kept = scored(each, query, "sentence", score).where(F.col("score") >= least)
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda s: s["sentence"]), " ").alias(text))
+
+
+def yes_probability(yes, no):
+    """P(yes) of two logits, as a Column."""
+    return 1 / (1 + F.exp(no - yes))
+
+
+def yes_no_scorer(logits: Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]) -> Scorer:
+    """A scorer from a model that gives the logits of "yes" and "no" for each (query, text)."""
+
+    def score(queries: list[str], texts: list[str]) -> np.ndarray:
+        yes, no = (np.asarray(x, dtype="f8") for x in logits(queries, texts))
+        return 1 / (1 + np.exp(np.clip(no - yes, -60, 60)))
+
+    return score
+
+
+def max_sim_scorer(embed_tokens: Callable[[str], np.ndarray]) -> Scorer:
+    """Late interaction as a scorer: the mean over the query's tokens of the best dot product among the text's; 0 without tokens."""
+
+    def score(queries: list[str], texts: list[str]) -> np.ndarray:
+        kept = {t: embed_tokens(t) for t in {*queries, *texts}}
+        return np.array([float((kept[q] @ kept[t].T).max(1).mean()) if len(kept[q]) and len(kept[t]) else 0.0 for q, t in zip(queries, texts)])
+
+    return score
+
+
+#: Kinds of rerankers, each with what makes a scorer of a model's name; others are registered by the caller.
+SCORERS: dict[str, Callable[[str], Scorer]] = {}
+
+
+def register_scorer(kind: str, make: Callable[[str], Scorer]) -> None:
+    SCORERS[kind] = make
+
+
+def scorer_for(name: str, kind: str | None = None) -> Scorer | None:
+    """The scorer of a reranker: by its kind, else by a kind its name holds, else the kind "cross-encoder".
+
+    None where there is no such kind or it cannot be loaded: the ranking then stays as it is.
+    """
+    found = kind if kind in SCORERS else next((k for k in sorted(SCORERS, key=len, reverse=True) if k in name.lower()), "cross-encoder")
+    try:
+        return SCORERS[found](name) if found in SCORERS else None
+    except Exception as e:  # a model that does not load is no reason to fail a question
+        warnings.warn(f"no rerank: {name} cannot be loaded ({e})", stacklevel=2)
+        return None
+
+
+def ranked_texts(query: str, texts: list[str], score: Scorer, early_exit: bool = False, spread: float = 0.4, at_a_time: int = 8) -> list[tuple[float, int]]:
+    """(score, place) of texts, the best first; ties by place.
+
+    With ``early_exit`` texts are scored so many at a time, and no more once the scores, squashed to (0, 1), lie ``spread``
+    apart: texts that come later have no row then.
+    """
+    out: list[float] = []
+    for a in range(0, len(texts), at_a_time):
+        part = texts[a : a + at_a_time]
+        out += np.asarray(score([query] * len(part), part), dtype="f8").tolist()
+        squashed = 1 / (1 + np.exp(-np.clip(out, -60, 60)))
+        if early_exit and squashed.max() - squashed.min() >= spread:
+            break
+    return sorted(((s, i) for i, s in enumerate(out)), key=lambda p: (-p[0], p[1]))
+
+
+def last_token(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The state of each row's last real token, whichever side the padding (mask 0) is on; zeros for a row without one."""
+    mask = np.asarray(mask, dtype=bool)
+    last = np.where(mask.any(1), mask.shape[1] - 1 - mask[:, ::-1].argmax(1), 0)
+    return np.where(mask.any(1)[:, None], np.asarray(states)[np.arange(len(mask)), last], 0)

@@ -104,3 +104,80 @@ def memory_estimate(chunks: DataFrame, first: int = 10) -> DataFrame:
     """One row (megabytes): rows times two bytes a character, by the mean length of the first rows by id."""
     head = chunks.orderBy("chunk_id").limit(first).agg(F.avg(F.length("text")).alias("mean"))
     return chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(head)).select((F.col("n") * F.col("mean") * 2 / (1024 * 1024)).alias("megabytes"))
+
+
+def appended(rows: DataFrame, **values) -> DataFrame:
+    """``rows`` and one more with the given values; columns that are not named are null, unknown ones are refused."""
+    unknown = set(values) - set(rows.columns)
+    if unknown:
+        raise ValueError(f"no column {', '.join(sorted(unknown))}")
+    one = rows.sparkSession.range(1).select(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in rows.dtypes])
+    return rows.unionByName(one)
+
+
+def message_added(sessions: DataFrame, messages: DataFrame, message: dict, at: str) -> tuple[DataFrame, DataFrame]:
+    """(sessions, messages) with the message, its session's count one higher and its time of change set.
+
+    A message of an unknown session is refused by the caller's foreign key, not here: it is added and no session changes.
+    """
+    own = F.col("id") == F.lit(message["session_id"])
+    touched = sessions.withColumn("message_count", F.when(own, F.coalesce("message_count", F.lit(0)) + 1).otherwise(F.col("message_count")).cast(dict(sessions.dtypes)["message_count"]))
+    touched = touched.withColumn("updated_at", F.when(own, F.lit(at)).otherwise(F.col("updated_at")))
+    return touched, appended(messages, **message)
+
+
+def turn_saved(sessions: DataFrame, messages: DataFrame, session_id: str, question: tuple[str, str], answer: tuple[str, str], at: str) -> tuple[DataFrame, DataFrame]:
+    """Both messages of a turn, (id, content) each, as they come when a stream has ended; the answer's time is the question's or later."""
+    for (name, content), sender in ((question, "user"), (answer, "assistant")):
+        sessions, messages = message_added(sessions, messages, {"id": name, "session_id": session_id, "content": content, "sender": sender, "timestamp": at}, at)
+    return sessions, messages
+
+
+def session_renamed(sessions: DataFrame, session_id: str, title: str, at: str) -> DataFrame:
+    """Sessions with one title changed, and its time of change; a blank title is refused."""
+    if not title or not title.strip():
+        raise ValueError("a title is not blank")
+    own = F.col("id") == F.lit(session_id)
+    return sessions.withColumn("title", F.when(own, F.lit(title.strip())).otherwise(F.col("title"))).withColumn("updated_at", F.when(own, F.lit(at)).otherwise(F.col("updated_at")))
+
+
+def session_documents(links: DataFrame, index_documents: DataFrame) -> DataFrame:
+    """(session_id, index_id, n_documents, documents) of links (session_id, index_id, ...); an index without documents has none."""
+    held = indexes_with_documents(index_documents)
+    joined = links.select("session_id", "index_id").distinct().join(held, "index_id", "left")
+    return joined.select("session_id", "index_id", F.coalesce("n_documents", F.lit(0).cast("long")).alias("n_documents"), F.coalesce("documents", F.array().cast("array<string>")).alias("documents"))
+
+
+#: Upper bounds, in quarter tokens of a chunk, of the chunk sizes that are told apart.
+CHUNK_SIZES = ((300, "256 tokens (estimated)"), (600, "512 tokens (estimated)"))
+
+
+def inferred_metadata(chunks: DataFrame) -> DataFrame:
+    """One row (status, total_chunks, vector_dimensions, has_document_structure, has_chunk_indexing, has_contextual_enrichment, sample_chunk_length, chunk_size) of an index nobody described.
+
+    The sample is the chunk with the smallest id; an empty table has the status ``empty`` and nulls.
+    """
+    sample = F.min_by(F.struct("vector", "text", "metadata"), "chunk_id").alias("s")
+    one = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), sample)
+    has = lambda name: F.coalesce(F.get_json_object("s.metadata", f"$.{name}"), F.get_json_object("s.metadata", f"$.metadata.{name}")).isNotNull()
+    length = F.length("s.text")
+    size = F.lit("1024+ tokens (estimated)")
+    for bound, name in reversed(CHUNK_SIZES):
+        size = F.when(F.floor(length / 4) < bound, name).otherwise(size)
+    there = F.col("total_chunks") > 0
+    return one.select(
+        F.when(there, "functional").otherwise("empty").alias("status"), "total_chunks", F.when(F.col("s.vector").isNotNull(), F.size("s.vector")).alias("vector_dimensions"), (there & has("document_id")).alias("has_document_structure"),
+        (there & has("chunk_index")).alias("has_chunk_indexing"), (there & has("original_text")).alias("has_contextual_enrichment"), F.when(length > 0, length).alias("sample_chunk_length"), F.when(length > 0, size).alias("chunk_size"),
+    )
+
+
+def history_for_rewriting(turns: DataFrame, by: str = "session_id", most: int = 300) -> DataFrame:
+    """(by, history) as :func:`formatted_history`, the last answer cut to ``most`` characters and dots."""
+    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy(by))
+    cut = F.when((F.col("turn") == F.col("_last")) & (F.length("content") > most), F.concat(F.substring("content", 1, most), F.lit("..."))).otherwise(F.col("content"))
+    return formatted_history(turns.withColumn("_last", last).withColumn("content", cut), by)
+
+
+def widest_so_far(calls: DataFrame, model: str, order: list[str], window: str) -> DataFrame:
+    """Calls with ``window`` raised to the widest one the model had before: a model is not loaded again for less."""
+    return calls.withColumn(window, F.max(window).over(Window.partitionBy(model).orderBy(*order)))

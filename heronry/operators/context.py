@@ -111,6 +111,26 @@ def document_name(document_id: Column, metadata: Column) -> Column:
     return F.coalesce(F.when(source != "", file_name(source)), uploaded_name(document_id))
 
 
+def escalation_block(pieces: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One row (block): the texts of documents read in full, from :func:`document_texts`, each between lines that name it.
+
+    A document that was cut says so.  Without a piece the block is empty.
+    """
+    joined = pieces.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "piece"))).alias("ps"), F.max("truncated").alias("cut"))
+    if names is not None:
+        joined = joined.join(names.select("document_id", "name"), "document_id", "left")
+    name = F.coalesce("name", "document_id") if names is not None else F.col("document_id")
+    text = F.array_join(F.transform("ps", lambda p: p["piece"]), "\n\n")
+    one = F.concat(F.lit("=== Full document: "), name, F.when(F.col("cut"), F.lit(" (truncated)")).otherwise(F.lit("")), F.lit(" ===\n"), text, F.lit("\n=== End of document ==="))
+    return joined.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", one.alias("t")))), lambda p: p["t"]), "\n\n").alias("block"))
+
+
+def with_block(context: DataFrame, block: DataFrame) -> DataFrame:
+    """One row (context) with the block behind it, divided by an empty line; an empty block changes nothing."""
+    both = context.crossJoin(F.broadcast(block))
+    return both.select(F.when(F.coalesce("block", F.lit("")) == "", F.col("context")).otherwise(F.concat_ws("\n\n", "context", "block")).alias("context"))
+
+
 def escalation(evidence: DataFrame, candidates: DataFrame, least: float, most: int = 1) -> DataFrame:
     """(document_id) to read in full because the evidence is too thin: the documents of the first candidates."""
     thin = F.broadcast(evidence.where(F.col("evidence") < least).select(F.lit(1).alias("thin")).limit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -182,3 +183,92 @@ def first_relevant(results: DataFrame) -> DataFrame:
 def last_turn(turns: DataFrame, by: str = "id") -> DataFrame:
     """The last turn of each conversation (by, turn, ...)."""
     return turns.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("turn")))).where("_n = 1").drop("_n")
+
+
+def before_hop(ranking: DataFrame) -> DataFrame:
+    """A final ranking without what a hop added: the list the metrics of the ranking itself look at."""
+    return ranking.where(~F.coalesce("via_crossref", F.lit(False)))
+
+
+def invariant(first: DataFrame, final: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(id, same): whether, with rerank, retry and hop off, the final ranking is the first stage; hops are taken out first."""
+    return same_order(first, before_hop(final), key)
+
+
+def hop_summary(queries: DataFrame) -> DataFrame:
+    """One row (queries, fired, fire_rate, precision): ``queries`` has (id, hop_chunks, hit_expected_source).
+
+    The rate is over all queries, the precision over those in which the hop added something; null where none did.
+    """
+    fired = F.col("hop_chunks") > 0
+    n = F.sum(fired.cast("long"))
+    return queries.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(n, F.lit(0).cast("long")).alias("fired"), F.avg(fired.cast("double")).alias("fire_rate"), F.avg(F.when(fired, F.col("hit_expected_source").cast("double"))).alias("precision"))
+
+
+def dump_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(line, side): lines of the canonical dumps that stand in one table only; repeated lines count once."""
+    left, right = canonical_lines(a).distinct().withColumn("a", F.lit(True)), canonical_lines(b).distinct().withColumn("b", F.lit(True))
+    both = left.join(right, "line", "full_outer")
+    return both.where(F.col("a").isNull() | F.col("b").isNull()).select("line", F.when(F.col("a").isNull(), "second").otherwise("first").alias("side"))
+
+
+def integrity(gold: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, in_source, unique, resolves): the gates of gold rows (id, source, expected, fact_ids).
+
+    ``in_source``: every expected string stands in its source's text (source, text).  ``unique``: and in no other
+    source's.  ``resolves``: every fact id is among ``facts`` (fact_id).  Gold and sources are small tables by nature and
+    meet by an automaton over the texts, as in :func:`uncovered`.
+    """
+    wanted = gold.select("id", "source", F.explode("expected").alias("e")).withColumn("form", normalised(F.col("e")))
+    forms = [r["form"] for r in wanted.select("form").distinct().limit(MOST_STRINGS + 1).collect()]
+    if len(forms) > MOST_STRINGS:
+        raise ValueError(f"more than {MOST_STRINGS} gold strings: they are no small table")
+    shared = gold.sparkSession.sparkContext.broadcast(forms)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(s, f) for s, t in zip(pdf["source"], pdf["t"]) for f in _Finder(shared.value).new([t])]
+            yield pd.DataFrame(out, columns=["holder", "form"])
+
+    met = sources.select("source", normalised(F.coalesce("text", F.lit(""))).alias("t")).mapInPandas(run, "holder string, form string").distinct()
+    each = wanted.join(met, "form", "left").groupBy("id", "source", "e").agg(F.coalesce(F.max(F.col("holder").eqNullSafe(F.col("source"))), F.lit(False)).alias("here"), F.count(F.when(F.col("holder") != F.col("source"), 1)).alias("elsewhere"))
+    strings = each.groupBy("id").agg(F.min("here").alias("in_source"), (F.min("here") & (F.sum("elsewhere") == 0)).alias("unique"))
+    known = gold.select("id", F.explode("fact_ids").alias("fact_id")).join(facts.select("fact_id").distinct().withColumn("known", F.lit(True)), "fact_id", "left")
+    ids = known.groupBy("id").agg(F.min(F.coalesce("known", F.lit(False))).alias("resolves"))
+    yes = lambda c: F.coalesce(c, F.lit(True)).alias(c)
+    return gold.select("id").distinct().join(strings, "id", "left").join(ids, "id", "left").select("id", yes("in_source"), yes("unique"), yes("resolves"))
+
+
+def remembered(spark, path: str, keys: DataFrame, compute, by: list[str]) -> DataFrame:
+    """Rows of ``compute`` for ``keys``, stored under ``path``: only keys that were not asked before are computed.
+
+    ``by`` names what an answer depends on (corpus, model, prompt version, query); a change of any of them is another key.
+    """
+    from heronry.sources.store import _fs
+
+    fs, p = _fs(spark, path)
+    stored = spark.read.parquet(path) if fs.exists(p) else None
+    missing = keys.join(stored.select(*by), by, "left_anti") if stored is not None else keys
+    compute(missing.distinct()).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(keys.select(*by).distinct(), by, "left_semi")
+
+
+def results_json(run: dict, metrics: DataFrame, dimensions: DataFrame | None = None, invariant_rows: DataFrame | None = None, uncovered_rows: DataFrame | None = None) -> str:
+    """The result file of one evaluation: the run's settings, summary, slices, broken invariants and uncovered strings.
+
+    All of these have a row a gold item or a slice at most.
+    """
+    rows = lambda df: [] if df is None else [r.asDict(recursive=True) for r in df.collect()]
+    columns = [c for c, t in metrics.dtypes if t in ("int", "bigint", "double")]
+    body = {"run": run, "summary": rows(summary(metrics, columns))[0], "queries": rows(metrics.orderBy("id")), "by_dimension": rows(dimensions)}
+    body |= {"invariant_broken": [r["id"] for r in rows(invariant_rows) if not r["same"]], "uncovered": rows(uncovered_rows)}
+    return json.dumps(body, ensure_ascii=False, sort_keys=True, default=str)
+
+
+def text_table(rows: list[dict], columns: list[str], width: int = 40) -> str:
+    """Rows as lines of fixed columns, numbers at the right, with a bar under the names and one at the end."""
+    cells = [[f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v)[:width] for v in (r.get(c) for c in columns)] for r in rows]
+    sizes = [max([len(c), *(len(x[i]) for x in cells)]) for i, c in enumerate(columns)]
+    line = lambda xs: "  ".join(x.rjust(n) if x.replace(".", "", 1).replace("-", "", 1).isdigit() else x.ljust(n) for x, n in zip(xs, sizes)).rstrip()
+    bar = "-" * (sum(sizes) + 2 * (len(sizes) - 1))
+    return "\n".join([line(columns), bar, *map(line, cells), bar])

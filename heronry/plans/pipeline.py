@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.config import EngineConfig
-from heronry.models import Scorer, scored
+from heronry.functions.vectors import cosine
+from heronry.models import Scorer, score_text, scored
 from heronry.operators import context, fusion, rerank, search
 from heronry.operators.filters import Filter
 from heronry.session import cut_lineage
@@ -20,11 +21,17 @@ from heronry.session import cut_lineage
 
 @dataclass
 class Retrieved:
-    """What a pipeline gives: the first stage, the final ranking, and the evidence it rests on."""
+    """What a pipeline gives: the first stage, the final ranking, the evidence it rests on, and what is read besides.
+
+    ``expanded`` has (chunk_id, document_id, chunk_index, seed_rank) where the profile widens the context, else None;
+    ``escalated`` the documents (document_id) to be read in full, where the profile may and the evidence is thin.
+    """
 
     first_stage: DataFrame
     final: DataFrame
     evidence: DataFrame
+    expanded: DataFrame | None = None
+    escalated: DataFrame | None = None
 
 
 def first_stage(chunks: DataFrame, questions: DataFrame, config: EngineConfig, wanted: Filter | None = None, late: DataFrame | None = None) -> DataFrame:
@@ -35,60 +42,118 @@ def first_stage(chunks: DataFrame, questions: DataFrame, config: EngineConfig, w
     rows = wanted.apply(chunks) if wanted else chunks
     legs = {}
     if config.search_type != "vector_only":
-        terms = questions.select("query_id", F.explode(search.tokens(F.col("text"))).alias("term"))
+        terms = questions.select("query_id", F.explode(search.query_words(F.col("text"))).alias("term"))
         legs["fts"] = search.ranked(search.bm25_scores(rows, terms, "chunk_id"), "chunk_id", config.retrieval_k)
     if config.search_type != "fts_only":
         asked = questions.select("query_id", "query")
-        legs["vec"] = search.ranked(search.knn_scores(rows, asked, "chunk_id"), "chunk_id", config.retrieval_k, descending=False)
+        legs["vec"] = search.nearest(rows, asked, "chunk_id", config.retrieval_k)
         if config.late_chunk and late is not None:
-            other = wanted.apply(late) if wanted else late
-            legs["late"] = search.ranked(search.knn_scores(other, asked, "chunk_id"), "chunk_id", config.retrieval_k, descending=False)
+            legs["late"] = search.nearest(wanted.apply(late) if wanted else late, asked, "chunk_id", config.retrieval_k)
     return fusion.fuse(legs, "chunk_id", config.retrieval_k, config.rrf_k, by="query_id").select("query_id", "chunk_id", "rank")
 
 
+def late_blocks(late: DataFrame, base: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """Hits of the late-chunk table with ``merged_text`` and ``core_text``: the texts around them come from the base table."""
+    hits = search.nearest(late, questions.select("query_id", "query"), "chunk_id", k)
+    best = hits.groupBy("chunk_id").agg(F.min("rank").alias("rank"))
+    placed = base.join(F.broadcast(best), "chunk_id").select("chunk_id", "document_id", "chunk_index", "rank")
+    return context.merge_siblings(placed, base)
+
+
+def scoped_search(chunks: DataFrame | None, questions: DataFrame, config: EngineConfig, document_ids: DataFrame, wanted: Filter | None = None) -> DataFrame | None:
+    """The first stage over some documents (document_id) only; None where there is no table to search, no rows where nothing matches."""
+    if chunks is None:
+        return None
+    inside = chunks.join(F.broadcast(document_ids.select("document_id").distinct()), "document_id", "left_semi")
+    return first_stage(inside, questions, config, wanted)
+
+
 def evidence(chunks: DataFrame, questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, evidence): how far the best cosine of a question's candidates stands out."""
     pairs = candidates.join(chunks.select("chunk_id", "vector"), "chunk_id").join(F.broadcast(questions.select("query_id", "query")), "query_id")
-    from heronry.functions.vectors import cosine
-
     sims = pairs.groupBy("query_id").agg(F.collect_list(cosine(F.col("vector"), F.col("query"))).alias("sims"))
     return sims.select("query_id", rerank.contrast(F.col("sims")).alias("evidence"))
 
 
-def answer(chunks: DataFrame, question: DataFrame, config: EngineConfig, wanted: Filter | None = None, second: DataFrame | None = None, references: DataFrame | None = None, score: Scorer | None = None) -> Retrieved:
+def best_documents(overviews: DataFrame, question: DataFrame, n: int) -> DataFrame:
+    """(document_id, document_rank from 0) of the documents whose overview vectors (document_id, vector) are nearest to the question."""
+    near = search.nearest(overviews, question.select("query_id", "query"), "document_id", n, metric="cosine")
+    return near.select("document_id", (F.col("rank") - 1).alias("document_rank"))
+
+
+def _prefiltered(chunks: DataFrame, question: DataFrame, config: EngineConfig, stage: DataFrame, overviews: DataFrame, wanted: Filter | None) -> DataFrame:
+    """A first stage in the light of the documents' overviews; a search of the best documents that gives nothing leaves it as it was."""
+    documents = cut_lineage(best_documents(overviews, question, config.overview_top_documents))
+    if config.overview_prefilter == "restrict":
+        scoped = scoped_search(chunks, question, config, documents, wanted)
+        scoped = cut_lineage(scoped) if scoped is not None else None
+        return stage if scoped is None or scoped.isEmpty() else scoped
+    placed = stage.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "chunk_id", "document_id", (F.col("rank") - 1).alias("position"))
+    return rerank.boosted(placed, documents, "chunk_id").select("query_id", "chunk_id", (F.col("new_position") + 1).alias("rank"))
+
+
+def answer(
+    chunks: DataFrame, question: DataFrame, config: EngineConfig, wanted: Filter | None = None, second: DataFrame | None = None, references: DataFrame | None = None,
+    score: Scorer | None = None, late: DataFrame | None = None, overviews: DataFrame | None = None,
+) -> Retrieved:
     """The final ranking of one question (query_id, text, query).
 
     ``second`` is the question put another way: it is tried where the evidence is below the profile's limit and kept
     if its evidence is strictly higher; attempts are not mixed.  ``references`` (chunk_id, position, target_doc) let the
-    ranking hop to documents its first candidates refer to.  Without rerank, retry and hop the final list is the first stage.
+    ranking hop to documents its first candidates refer to.  ``late`` is the late-chunk table, ``overviews`` the overview
+    vectors (document_id, vector); a step whose table is missing is left out.  The filter holds for every leg, the hop,
+    the search of the best documents and the expansion.  Without rerank, retry and hop the final list is the first stage.
     """
+    rows = wanted.apply(chunks) if wanted else chunks
 
     def attempt(q: DataFrame) -> tuple[DataFrame, DataFrame]:
-        stage = cut_lineage(first_stage(chunks, q, config, wanted))  # a few rows a question, used by every later step
+        stage = cut_lineage(first_stage(chunks, q, config, wanted, late))  # a few rows a question, used by every later step
+        if config.overview_prefilter != "off" and overviews is not None:
+            stage = cut_lineage(_prefiltered(chunks, q, config, stage, overviews, wanted))
         return stage, cut_lineage(evidence(chunks, q, stage))
 
     stage, proof = attempt(question)
     if config.retry and second is not None:
-        other, other_proof = attempt(second.select(F.lit(None).cast(question.schema["query_id"].dataType).alias("query_id"), "text", "query").crossJoin(F.broadcast(question.select(F.col("query_id").alias("q")))).select(F.col("q").alias("query_id"), "text", "query"))
-        both = proof.join(other_proof.withColumnRenamed("evidence", "other"), "query_id", "left")
-        swap = both.select("query_id", (rerank.needs_retry(F.col("evidence"), config.retry_min_top_score) & F.coalesce(F.col("other") > F.col("evidence"), F.lit(False))).alias("swap"), F.greatest("evidence", "other").alias("best"), "evidence")
-        keep = F.broadcast(swap.select("query_id", "swap"))
-        stage = cut_lineage(stage.join(keep.where("not swap"), "query_id", "left_semi").unionByName(other.join(keep.where("swap"), "query_id", "left_semi")))
-        proof = swap.select("query_id", F.when(F.col("swap"), F.col("best")).otherwise(F.col("evidence")).alias("evidence"))
+        kind = question.schema["query_id"].dataType
+        own = question.select(F.col("query_id").alias("q"))
+        other, other_proof = attempt(second.select("text", "query").crossJoin(F.broadcast(own)).select(F.col("q").cast(kind).alias("query_id"), "text", "query"))
+        attempts = [p.select("query_id", "evidence", F.lit(n).alias("attempt")).join(s, "query_id", "right") for n, (s, p) in enumerate(((stage, proof), (other, other_proof)))]
+        first, again = (cut_lineage(x) for x in attempts)
+        thin = rerank.needs_retry(F.max("evidence"), config.retry_min_top_score)
+        kept = cut_lineage(rerank.better_attempt(first, again)) if first.agg(thin.alias("t")).first()["t"] else first
+        stage, proof = kept.select("query_id", "chunk_id", "rank"), kept.select("query_id", "evidence").distinct()
     final = stage.select("chunk_id", "rank")
     if config.rerank:
-        pairs = stage.join(chunks.select("chunk_id", F.col("text").alias("body")), "chunk_id").join(F.broadcast(question.select("query_id", "text")), "query_id")
+        bodies = score_text(chunks).select("chunk_id", F.col("score_text").alias("body"))
+        pairs = stage.join(bodies, "chunk_id").join(F.broadcast(question.select("query_id", "text")), "query_id")
         scores = scored(pairs.select("chunk_id", F.col("query_id").alias("sub_query"), "text", "body"), "text", "body", score).select("chunk_id", "sub_query", "score")
         final = rerank.select_by_threshold(cut_lineage(scores), "chunk_id", config.rerank_min_score, config.rerank_min_keep, config.rerank_top_k, rescue=config.pooled_first_stage).select("chunk_id", "rank")
     final = cut_lineage(final.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("chunk_id", "document_id", "rank"))
     if config.crossref_hop and references is not None:
-        rows = wanted.apply(chunks) if wanted else chunks
         near = search.knn_scores(rows.select("chunk_id", "vector"), question.select("query_id", "query"), "chunk_id").groupBy("chunk_id").agg(F.min("score").alias("score"))
         near = near.join(rows.select("chunk_id", "document_id"), "chunk_id")
-        final = context.hop(final, references, near, max_hops=config.crossref_max_hops, per_hop=config.crossref_chunks_per_hop)
+        final = cut_lineage(context.hop(final, references, near, max_hops=config.crossref_max_hops, per_hop=config.crossref_chunks_per_hop))
     else:
         final = final.withColumn("via_crossref", F.lit(False))
-    return Retrieved(stage, final, proof)
+    seeds = rows.join(F.broadcast(final.select("chunk_id", "rank")), "chunk_id").select("chunk_id", "document_id", "chunk_index", "rank")
+    expanded = context.expand_neighbours(seeds, rows.select("chunk_id", "document_id", "chunk_index"), config.context_window) if config.context_window else None
+    escalated = context.escalation(proof, final, config.retry_min_top_score, config.escalation_max_documents) if config.escalation else None
+    return Retrieved(stage, final, proof, expanded, escalated)
+
+
+def full_context(chunks: DataFrame, found: Retrieved, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """(blocks, context): what is read of a pipeline's result, packed, labelled, and with documents read in full behind it."""
+    if found.expanded is not None:
+        wide = found.expanded.join(chunks.select("chunk_id", "text"), "chunk_id")
+        blocks = wide.withColumn("rank", F.struct("seed_rank", "chunk_index", "chunk_id"))
+    else:
+        blocks = chunks.join(F.broadcast(found.final.select("chunk_id", "rank")), "chunk_id").select("chunk_id", "document_id", "chunk_index", "rank", "text")
+    packed = context.pack_budget(blocks.withColumn("span", F.array("chunk_index")), config.synthesis_token_budget)
+    text = context.labelled(packed)
+    if found.escalated is not None:
+        whole = chunks.join(F.broadcast(found.escalated), "document_id", "left_semi")
+        text = context.with_block(text, context.escalation_block(context.document_texts(whole, config.escalation_token_budget)))
+    return packed, text
 
 
 def packed_context(chunks: DataFrame, ranking: DataFrame, config: EngineConfig) -> DataFrame:
@@ -99,7 +164,5 @@ def packed_context(chunks: DataFrame, ranking: DataFrame, config: EngineConfig)
 
 def composed(parts: DataFrame, most: int = 5) -> DataFrame:
     """Citations of several sub-answers (sub_answer, chunk_id, rank): at most ``most`` each, every chunk once, in order."""
-    from pyspark.sql import Window
-
     few = parts.withColumn("n", F.row_number().over(Window.partitionBy("sub_answer").orderBy("rank", "chunk_id"))).where(F.col("n") <= most)
     return fusion.first_wins(few, ["chunk_id"], ["sub_answer", "n"]).drop("n")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatch
 from pathlib import Path
 
 import pandas as pd
@@ -18,7 +19,7 @@ from heronry.functions.text import trimmed
 
 EXTENSIONS = ("pdf", "docx", "html", "htm", "md", "txt")
 CONVERTERS: dict[str, Callable[[bytes], str]] = {}
-GOLD = "id string, corpus string, query string, expected array<string>, match string, fact_ids array<string>, answer string, dimensions struct<topic:string,question_type:string,difficulty:string>"
+GOLD = "id string, corpus string, query string, expected array<string>, match string, fact_ids array<string>, answer string, passage string, dimensions struct<topic:string,question_type:string,difficulty:string>"
 
 
 def plain_html(html: Column) -> Column:
@@ -62,9 +63,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         rows = rows.mapInPandas(run, "path string, name string, extension string, content binary, markdown string")
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("name").orderBy("path"))
-    document_id = F.when(n == 1, F.col("name")).otherwise(F.concat("name", F.lit("#"), F.substring(F.sha1("path"), 1, 8)))
-    return rows.select("path", document_id.alias("document_id"), "extension", "markdown")
+    paths = files.select("path", F.substring_index("path", "/", -1).alias("name"))  # no content is read or sorted for this
+    first = F.row_number().over(Window.partitionBy("name").orderBy("path")) == 1
+    ids = paths.select("path", F.when(first, F.col("name")).otherwise(F.concat("name", F.lit("#"), F.substring(F.sha1("path"), 1, 8))).alias("document_id"))
+    return rows.drop("name").join(ids, "path").select("path", "document_id", "extension", "markdown")
 
 
 def ocr_needed(pages_with_text: Column, pages: Column) -> Column:
@@ -72,12 +74,51 @@ def ocr_needed(pages_with_text: Column, pages: Column) -> Column:
     return ~(2 * pages_with_text > pages)
 
 
-def read_gold(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Gold rows of JSON lines files, blank lines and // comments aside, in order of id."""
+def read_gold(spark: SparkSession, paths: list[str] | dict[str, str], sets: list[str] | None = None) -> DataFrame:
+    """Gold rows of JSON lines files, blank lines and // comments aside, in order of id.
+
+    ``paths`` may name sets (name -> file); ``sets`` then chooses some of them, and an unknown one is refused.
+    """
+    if isinstance(paths, dict):
+        unknown = set(sets or ()) - set(paths)
+        if unknown:
+            raise ValueError(f"no gold set {', '.join(sorted(unknown))}; there are {', '.join(sorted(paths))}")
+        paths = [paths[n] for n in (sets or sorted(paths))]
     lines = spark.read.text(paths).select(F.trim("value").alias("v")).where("v <> '' and not startswith(v, '//')")
     return lines.select(F.from_json("v", GOLD).alias("r")).select("r.*").orderBy("id")
 
 
+def corpus_files(spark: SparkSession, root: str, files: list[str] = (), globs: list[str] = (), exclusions: list[str] = ()) -> list[str]:
+    """Paths under ``root`` of the listed files and of what the globs match, without the exclusions (names or globs), sorted, each once."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: set[str] = set()
+    for pattern in (*files, *globs):
+        hits = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}"))
+        if pattern in files and not hits:
+            raise FileNotFoundError(f"{root}/{pattern}")
+        found |= {h.getPath().toUri().getPath() for h in (hits or ()) if h.isFile()}
+    prefix = fs.makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    return sorted(p for p in found if not any(fnmatch(p.removeprefix(prefix), x) or fnmatch(p.rsplit("/", 1)[-1], x) for x in exclusions))
+
+
+def source_texts(spark: SparkSession, where: dict, root: str) -> DataFrame:
+    """(source, text) of what a sidecar names: one ``document``, a ``documents_dir``, or a ``source_glob``; sources are file names."""
+    if where.get("document"):
+        paths = corpus_files(spark, root, files=[where["document"]])
+    elif where.get("documents_dir"):
+        paths = corpus_files(spark, root, globs=[f"{where['documents_dir']}/*"])
+    elif where.get("source_glob"):
+        paths = corpus_files(spark, root, globs=[where["source_glob"]])
+    else:
+        raise ValueError("a sidecar names a document, a documents_dir or a source_glob")
+    if not paths:
+        return spark.createDataFrame([], "source string, text string")
+    whole = spark.read.format("binaryFile").load(paths)
+    return whole.select(F.substring_index("path", "/", -1).alias("source"), F.decode("content", "UTF-8").alias("text"))
+
+
 def read_batch_job(path: str) -> tuple[dict, list[str]]:
     """(job, missing): a batch description with the documents that exist, and those that do not."""
     job = json.loads(Path(path).read_text(encoding="utf-8"))

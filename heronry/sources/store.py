@@ -10,6 +10,7 @@ version stay for readers that have begun.  One writer at a time.
 from __future__ import annotations
 
 import json
+import os
 import time
 from dataclasses import dataclass
 from functools import reduce
@@ -241,3 +242,21 @@ def read_overview_vectors(spark: SparkSession, path: str, embed=None, overviews:
 
     missing = overviews.select("doc_id", "overview").join(stored.select("doc_id"), "doc_id", "left_anti")
     return stored.unionByName(embeddings(missing, "overview", embed).select("doc_id", unit(F.col("vector")).cast("array<float>").alias("vector")))
+
+
+def store_path(folder: str | None = None, default: str = "./heronry-store") -> str:
+    """Where the stores lie: as given, else what HERONRY_STORE says, else the default."""
+    return folder or os.environ.get("HERONRY_STORE") or default
+
+
+def index_overviews(spark: SparkSession, folder: str, index_ids: list[str], most: int | None = 40) -> DataFrame:
+    """(doc_id, overview) of the indexes' own files (``<index>.jsonl``), or of ``overviews.jsonl`` where none of them is there.
+
+    A prompt takes the first ``most`` by document; None gives all.
+    """
+    own = [f"{folder}/{i}.jsonl" for i in index_ids]
+    there = [p for p in own if _fs(spark, p)[0].exists(_fs(spark, p)[1])] or [p for p in (f"{folder}/overviews.jsonl",) if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
+    if not there:
+        return spark.createDataFrame([], "doc_id string, overview string")
+    found = read_overviews(spark, there)
+    return found if most is None else found.orderBy("doc_id").limit(most)

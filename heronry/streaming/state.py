@@ -6,6 +6,7 @@ the same rows would give.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,3 +126,22 @@ def upsert_stream(chunks: DataFrame, path: str, marker: store.Marker, state: str
         store.upsert(batch.sparkSession, path, batch, marker)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True)
+
+
+def progress_line(progress: dict) -> str:
+    """A running query's last micro-batch in one line."""
+    name = progress.get("name") or progress.get("id", "")
+    return f"{name}: batch {progress.get('batchId')}, {progress.get('numInputRows', 0)} rows, {progress.get('processedRowsPerSecond', 0) or 0:.0f} rows/s"
+
+
+def report_progress(query, say, seconds: float = 10.0, wait=time.sleep) -> None:
+    """Says where a running query is every so many seconds until it ends, each micro-batch once."""
+    last = None
+    while query.isActive:
+        now = query.lastProgress
+        if now and now.get("batchId") != last:
+            last = now.get("batchId")
+            say(progress_line(now))
+        wait(seconds)
+    if query.lastProgress and query.lastProgress.get("batchId") != last:
+        say(progress_line(query.lastProgress))
