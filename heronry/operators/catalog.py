@@ -141,6 +141,13 @@ def session_renamed(sessions: DataFrame, session_id: str, title: str, at: str) -
     return sessions.withColumn("title", F.when(own, F.lit(title.strip())).otherwise(F.col("title"))).withColumn("updated_at", F.when(own, F.lit(at)).otherwise(F.col("updated_at")))
 
 
+def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """``rows`` with numbers from 0 in an order, by running counts over sorted slices: no task sees all rows."""
+    from heronry.operators.ordered import running_total
+
+    return running_total(rows.withColumn("_one", F.lit(1)), "_one", [order], F.lit(1), name).drop("_one")
+
+
 def session_documents(links: DataFrame, index_documents: DataFrame) -> DataFrame:
     """(session_id, index_id, n_documents, documents) of links (session_id, index_id, ...); an index without documents has none."""
     held = indexes_with_documents(index_documents)

@@ -194,6 +194,11 @@ def closeness(distance: Column) -> Column:
     return 1 / (1 + distance)
 
 
+def score_by_mode(mode: str, bm25: Column, distance: Column, rrf: Column) -> Column:
+    """What a search of a mode reports as its score: BM25 (0 without), the closeness of a distance, or the fused score."""
+    return {"fts_only": F.coalesce(bm25, F.lit(0.0)), "vector_only": closeness(distance), "hybrid": rrf}[mode]
+
+
 def top(hits: DataFrame, key: str, k: int, descending: bool = True) -> DataFrame:
     """The best ``k`` hits of one query, by a bounded sort in every task."""
     return hits.orderBy(F.desc("score") if descending else F.asc("score"), key).limit(k)

@@ -146,3 +146,35 @@ def canonical_dump(spark: SparkSession, d: str) -> DataFrame:
 def gold_fact_gaps(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "gold_items").select("id", "expected", F.explode("fact_ids").alias("fact_id"))
     return g.where(~F.exists("expected", lambda e: F.col("fact_id").contains(F.lower(e)))).select("fact_id", "id").distinct()
+
+
+@query(
+    f"""with g as (select distinct id, passage, expected, fact_ids from gold_items), w as (select id, unnest(expected) as e from g),
+m as (select w.id, w.e, bool_or(g.id = w.id) as here, count(*) filter (g.id <> w.id) as elsewhere from w join g on contains({_norm("coalesce(g.passage, '')")}, {_norm("w.e")}) group by w.id, w.e),
+s as (select w.id, bool_and(coalesce(here, false)) as in_source, bool_and(coalesce(here, false)) and sum(coalesce(elsewhere, 0)) = 0 as "unique" from (select distinct id, e from w) w left join m using (id, e) group by w.id)
+select g.id, coalesce(in_source, true) as in_source, coalesce("unique", true) as "unique", true as resolves from (select distinct id from g) g left join s using (id)"""
+)
+def gold_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Passages stand for the sources; the facts known are those of the table."""
+    g = table(spark, d, "gold_items").withColumn("source", F.col("id"))
+    return E.integrity(g, g.select("source", F.col("passage").alias("text")), g.select(F.explode("fact_ids").alias("fact_id")))
+
+
+@query(
+    """with a as (select distinct to_json({'id': id, 'majority_pass': majority_pass})::varchar as line from panel_arm_i), b as (select distinct to_json({'id': id, 'majority_pass': majority_pass})::varchar as line from panel_arm_g2)
+select line, 'first' as side from a where line not in (select line from b) union all select line, 'second' from b where line not in (select line from a)"""
+)
+def dump_difference(spark: SparkSession, d: str) -> DataFrame:
+    arm = lambda x: table(spark, d, f"panel_arm_{x}").select("id", "majority_pass")
+    return E.dump_difference(arm("i"), arm("g2"))
+
+
+@query(
+    """with p as (select distinct i.id, i.requires_crossref, len(list_filter(g.votes, lambda v: v)) as hop_chunks, coalesce(i.majority_pass, false) as hit from panel_arm_i i join panel_arm_g2 g using (id))
+select count(*) as queries, count(*) filter (hop_chunks > 0) as fired, round(avg((hop_chunks > 0)::int), 6) as fire_rate, round(avg(case when hop_chunks > 0 then hit::int end), 6) as precision from p"""
+)
+def hop_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The panels stand for two runs: positive votes of the one for chunks a hop added, the verdict of the other for its hit."""
+    i, g = table(spark, d, "panel_arm_i"), table(spark, d, "panel_arm_g2").select("id", F.size(F.filter("votes", lambda v: v)).alias("hop_chunks"))
+    rows = i.join(g, "id").select("id", "requires_crossref", "hop_chunks", F.coalesce("majority_pass", F.lit(False)).alias("hit_expected_source")).distinct()
+    return E.hop_summary(rows).select("queries", "fired", F.round("fire_rate", 6).alias("fire_rate"), F.round("precision", 6).alias("precision"))

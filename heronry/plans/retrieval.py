@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heronry.functions import vectors as V
 from heronry.operators import filters, fusion, rerank, search
 from heronry.plans.registry import query
+from heronry.session import scratch_path
 from heronry.sources.store import one_per_chunk
 from heronry.sources.tables import table
 
@@ -401,3 +402,27 @@ select chunk_id, metadata from s where n = 1"""
 )
 def newest_chunk_version(spark: SparkSession, d: str) -> DataFrame:
     return one_per_chunk(table(spark, d, "text_pages").where("chunk_id is not null")).select("chunk_id", "metadata")
+
+
+@query(
+    f"""with {_bm25_sql("documents", "doc_id")}
+select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from fts order by score desc, doc_id limit 20"""
+)
+def fts_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same search, through an index that is written to the shared folder and read by the folders of its terms."""
+    path = scratch_path(spark, "fts")
+    search.write_index(table(spark, d, "documents"), "doc_id", path)
+    best = search.ranked(search.top(search.search_index(spark, path, _terms(spark, TERMS), "doc_id"), "doc_id", 20), "doc_id")
+    return best.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""{_LEGS_SQL}, m as (select doc_id, f20.score as bm25, v20.score as distance, rrf from r left join f20 using (doc_id) left join v20 using (doc_id))
+select doc_id, round(coalesce(bm25, 0), 6) as fts_only, round(1 / (1 + distance), 6) as vector_only, round(rrf, 8) as hybrid from m"""
+)
+def score_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    fts, vec = _legs(spark, d)
+    fused = fusion.fuse({"fts": fts, "vec": vec}, "doc_id").select("doc_id", "rrf")
+    joined = fused.join(fts.select("doc_id", F.col("score").alias("bm25")), "doc_id", "left").join(vec.select("doc_id", F.col("score").alias("distance")), "doc_id", "left")
+    score = lambda mode: search.score_by_mode(mode, F.col("bm25"), F.col("distance"), F.col("rrf"))
+    return joined.select("doc_id", F.round(score("fts_only"), 6).alias("fts_only"), F.round(score("vector_only"), 6).alias("vector_only"), F.round(score("hybrid"), 8).alias("hybrid"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heronry.functions import jsons as J
 from heronry.functions import text as T
 from heronry.operators import chunking
+from heronry.models import yes_probability
 from heronry.plans.registry import query
 from heronry.sources.documents import fenced, plain_html
 from heronry.sources.tables import table
@@ -230,3 +231,18 @@ def query_instruction(spark: SparkSession, d: str) -> DataFrame:
 def truncation_detector(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_chars")
     return table(spark, d, "documents").select("doc_id", T.prompt_was_cut(F.lit(32768), F.floor(n / 4), n).alias("cut"))
+
+
+@query(
+    f"""with a as (select distinct id, content from messages where content is not null),
+s as (select id, list_filter(list_transform(string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(57344), 'g'), chr(57344)), lambda x: {_trim("x")}), lambda x: x <> '') as ss from a)
+select id, len(ss)::int as sentences, ss[1] as first from s where len(ss) > 0"""
+)
+def answer_sentences(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "messages").where("content is not null").select("id", "content").distinct().select("id", T.answer_sentences(F.col("content")).alias("ss"))
+    return rows.where(F.size("ss") > 0).select("id", F.size("ss").alias("sentences"), F.col("ss")[0].alias("first"))
+
+
+@query("select event_id, round(1 / (1 + exp(sin(event_id) - sin(value))), 6) as p from events where value is not null")
+def yes_no_probability(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where("value is not null").select("event_id", F.round(yes_probability(F.sin("value"), F.sin("event_id")), 6).alias("p"))

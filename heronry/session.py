@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # a checkpoint goes away with the last DataFrame that reads it
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -30,15 +34,20 @@ def get_spark(app: str = "heronry", master: str | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and all runs on
+    one machine, as in tests, a temporary folder takes its place; a cluster without it is refused.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heronry-"))
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors of a cluster need a shared folder")
+        named = tempfile.mkdtemp(prefix="heronry-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
