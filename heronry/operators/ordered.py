@@ -56,3 +56,17 @@ def running_total(df: DataFrame, key: str, order: list, amount: Column, name: st
     local = sliced.withColumn("_local", F.coalesce(F.sum("_amount").over(inside), zero))
     joined = local.join(offsets, local[key].eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
     return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop("_amount", "_slice", "_local", "_key", "_of", "_offset")
+
+
+def previous(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the value of the row before in the same key's order, null for the first; no key is one task.
+
+    Within a slice it is the row before; the first row of a slice takes the last row of the key's slice before it.
+    """
+    sliced = cut_lineage(sorted_slices(df, [key, *order]).withColumn("_slice", F.spark_partition_id()))
+    inside, slices = Window.partitionBy(key, "_slice").orderBy(*order), Window.partitionBy(key).orderBy("_slice")
+    ends = sliced.groupBy(key, "_slice").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.lag("_end").over(slices).alias("_before"))
+    local = sliced.withColumn("_n", F.row_number().over(inside)).withColumn("_own", F.lag(value).over(inside))
+    joined = local.join(ends, local[key].eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
+    return joined.withColumn(name, F.when(F.col("_n") == 1, F.col(f"_before.{value}")).otherwise(F.col("_own"))).drop("_slice", "_n", "_own", "_key", "_of", "_before")

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heronry.config import EngineConfig
-from heronry.functions.vectors import cosine
+from heronry.config import EngineConfig, profile
+from heronry.functions.vectors import cosine, is_usable
 from heronry.models import Scorer, score_text, scored
 from heronry.operators import context, fusion, rerank, search
 from heronry.operators.filters import Filter
+from heronry.plans.registry import query
+from heronry.plans.retrieval import _L2, TERMS, _bm25_sql
 from heronry.session import cut_lineage
+from heronry.sources.store import one_per_chunk
+from heronry.sources.tables import table
 
 
 @dataclass
@@ -166,3 +170,61 @@ def composed(parts: DataFrame, most: int = 5) -> DataFrame:
     """Citations of several sub-answers (sub_answer, chunk_id, rank): at most ``most`` each, every chunk once, in order."""
     few = parts.withColumn("n", F.row_number().over(Window.partitionBy("sub_answer").orderBy("rank", "chunk_id"))).where(F.col("n") <= most)
     return fusion.first_wins(few, ["chunk_id"], ["sub_answer", "n"]).drop("n")
+
+
+QUESTION = " ".join(TERMS)
+
+
+def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks with usable vectors, each once; one question with the vector of the first chunk)."""
+    chunks = one_per_chunk(table(spark, d, "text_pages").where(F.col("chunk_id").isNotNull() & is_usable(F.col("vector"), 64) & (F.col("chunk_index") >= 0) & F.col("document_id").isNotNull()))
+    first = chunks.agg(F.min_by("vector", "chunk_id").alias("query"))
+    return chunks, first.select(F.lit("q").alias("query_id"), F.lit(QUESTION).alias("text"), "query")
+
+
+_INPUTS_SQL = f"""known as (select * from text_pages where chunk_id is not null and document_id is not null and chunk_index >= 0 and vector is not null and len(vector) = 64
+  and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+v as (select *, row_number() over (partition by chunk_id order by try_cast(metadata as json)->'metadata'->>'indexed_at' desc nulls last, metadata desc nulls last) as n from known),
+p as (select chunk_id, document_id, chunk_index, text, vector from v where n = 1),
+q as (select vector as query from p order by chunk_id limit 1),
+kn as (select chunk_id, {_L2.format(a="vector", b="query")} as score from p, q)"""
+
+
+@query(f"with {_INPUTS_SQL} select chunk_id, row_number() over (order by score, chunk_id)::int as rank from kn order by kn.score, chunk_id limit 10")
+def pipeline_fast(spark: SparkSession, d: str) -> DataFrame:
+    chunks, question = _inputs(spark, d)
+    return answer(chunks, question, profile("fast")).final.select("chunk_id", F.col("rank").cast("int").alias("rank"))
+
+
+_WORDS_OF = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(
+    f"""with {_INPUTS_SQL}, {_bm25_sql("p", "chunk_id", p="b_")},
+f20 as (select chunk_id, row_number() over (order by score desc, chunk_id) as rank from fts order by score desc, chunk_id limit 20),
+v20 as (select chunk_id, row_number() over (order by score, chunk_id) as rank from kn order by score, chunk_id limit 20),
+u as (select chunk_id, rank, 1 as leg from f20 union all select chunk_id, rank, 2 from v20),
+r as (select chunk_id, sum(1.0 / (60 + rank)) as rrf, min(case when leg = 1 then rank end) as f, min(case when leg = 2 then rank end) as w from u group by chunk_id),
+stage as (select chunk_id from r order by r.rrf desc, f nulls last, w nulls last, chunk_id limit 20),
+sc as (select chunk_id, len(list_intersect({_WORDS_OF.format("text")}, {_WORDS_OF.format("'" + QUESTION + "'")})) / {len(set(TERMS))}.0 as score from p where chunk_id in (select chunk_id from stage)),
+rk as (select *, row_number() over (order by score desc, chunk_id) as rank, score >= 0.5 as good from sc),
+st as (select *, good or (not exists (select 1 from rk where good) and rank = 1) as stays from rk),
+fin as (select * from st where stays or ((select count(*) from st where stays) < 3 and rank <= 3))
+select chunk_id, row_number() over (order by rank)::int as rank from fin order by fin.rank limit 10"""
+)
+def pipeline_default(spark: SparkSession, d: str) -> DataFrame:
+    """Both legs, fusion, rerank by shared words, floor and rescue; there is no second wording, so nothing is tried again."""
+    chunks, question = _inputs(spark, d)
+    return answer(chunks, question, profile("default")).final.select("chunk_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    f"""with {_INPUTS_SQL}, t10 as (select chunk_id, row_number() over (order by score, chunk_id) as rank from kn order by score, chunk_id limit 10),
+sd as (select p.document_id, p.chunk_index, t10.rank from p join t10 using (chunk_id)),
+ex as (select p.chunk_id, p.document_id, p.chunk_index, min(sd.rank) as seed_rank from p join sd on p.document_id = sd.document_id and p.chunk_index between sd.chunk_index - 1 and sd.chunk_index + 1 group by all)
+select chunk_id, document_id, chunk_index, seed_rank::int as seed_rank from ex"""
+)
+def pipeline_expanded(spark: SparkSession, d: str) -> DataFrame:
+    chunks, question = _inputs(spark, d)
+    found = answer(chunks, question, profile("fast", {"context_window": 1}))
+    return found.expanded.select("chunk_id", "document_id", "chunk_index", F.col("seed_rank").cast("int").alias("seed_rank"))

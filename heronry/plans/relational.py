@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heronry.operators.ordered import previous, running_total
 from heronry.plans.registry import query
 from heronry.sources.tables import table
 
@@ -49,9 +50,11 @@ def top_customers_per_nation(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("total"), "c_custkey")).cast("long")).where("rank <= 3")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderdate >= '2000-01-01')")
 def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order since 2000; every customer has one before that."""
+    recent = table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(recent, "c_custkey", "left_anti")
 
 
 @query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by all")
@@ -65,7 +68,7 @@ s as (select *, sum(new) over (partition by user_id order by ts, event_id) as vi
 select user_id, visit::bigint as visit, count(*) as events, min(ts) as first_ts, max(ts) as last_ts from s group by user_id, visit"""
 )
 def user_visits(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    e = table(spark, d, "events").select("user_id", "ts", "event_id").withColumn("new", F.when(gap <= 30 * 60 * 1_000_000, 0).otherwise(1))
-    return e.withColumn("visit", F.sum("new").over(w)).groupBy("user_id", "visit").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    e = previous(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "ts", "before")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
+    e = running_total(e.withColumn("new", F.when(gap <= 30 * 60 * 1_000_000, 0).otherwise(1)), "user_id", ["ts", "event_id"], F.col("new"), "visit").withColumn("visit", F.col("visit") + F.col("new"))
+    return e.groupBy("user_id", "visit").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
