@@ -239,6 +239,7 @@ def is_small_talk(message: Column) -> Column:
     return (t == "") | asks | (short & F.when(short, covered_by(ws, TALK, TALK_BESIDE)).otherwise(F.lit(False)))
 
 
-def wants_retrieval(message: Column, has_index: Column, forced: Column) -> Column:
-    """Whether a message is searched for: forced, or an index is linked and it is no small talk."""
-    return F.coalesce(forced, F.lit(False)) | (F.coalesce(has_index, F.lit(False)) & ~is_small_talk(message))
+def wants_retrieval(message: Column, has_index: Column, forced: Column, filters: Column | None = None) -> Column:
+    """Whether a message is searched for: forced or filtered, or an index is linked and it is no small talk."""
+    filtered = F.lit(False) if filters is None else F.coalesce(filters != "", F.lit(False))
+    return F.coalesce(forced, F.lit(False)) | filtered | (F.coalesce(has_index, F.lit(False)) & ~is_small_talk(message))

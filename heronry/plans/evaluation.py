@@ -142,10 +142,11 @@ def canonical_dump(spark: SparkSession, d: str) -> DataFrame:
     return E.canonical_lines(table(spark, d, "gold_items").select("id", "query", "expected", "match"))
 
 
-@query("select distinct r.fact_id, g.id from (select id, unnest(fact_ids) as fact_id from gold_items) r join gold_items g on g.id = r.id where not exists (select 1 from (select unnest(g.expected) as e) x where contains(r.fact_id, lower(e)))")
+@query("select distinct f.fact_id, f.id from (select id, expected, coalesce(lower(answer), '') as a, unnest(fact_ids) as fact_id from gold_items) f where exists (select 1 from (select unnest(f.expected) as e) x where not contains(f.a, lower(e)))")
 def gold_fact_gaps(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "gold_items").select("id", "expected", F.explode("fact_ids").alias("fact_id"))
-    return g.where(~F.exists("expected", lambda e: F.col("fact_id").contains(F.lower(e)))).select("fact_id", "id").distinct()
+    """Facts of items whose answer lacks one of the expected strings."""
+    g = table(spark, d, "gold_items").select("expected", F.lower(F.coalesce("answer", F.lit(""))).alias("a"), F.explode("fact_ids").alias("fact_id"), "id")
+    return g.where(F.exists("expected", lambda e: ~F.col("a").contains(F.lower(e)))).select("fact_id", "id").distinct()
 
 
 @query(

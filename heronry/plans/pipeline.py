@@ -46,7 +46,10 @@ def first_stage(chunks: DataFrame, questions: DataFrame, config: EngineConfig, w
     rows = wanted.apply(chunks) if wanted else chunks
     legs = {}
     if config.search_type != "vector_only":
-        terms = questions.select("query_id", F.explode(search.query_words(F.col("text"))).alias("term"))
+        asked_words = questions.select("query_id", search.query_words(F.col("text")).alias("ts"))
+        terms = asked_words.select("query_id", F.explode("ts").alias("term"))
+        if not asked_words.where(F.size("ts") == 1).isEmpty():  # a question of one word stands for what it is a start or misspelling of
+            terms = search.expanded_terms(questions, search.postings(rows, "chunk_id"))
         legs["fts"] = search.ranked(search.bm25_scores(rows, terms, "chunk_id"), "chunk_id", config.retrieval_k)
     if config.search_type != "fts_only":
         asked = questions.select("query_id", "query")

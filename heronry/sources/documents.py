@@ -1,7 +1,7 @@
 """Files as rows: text, Markdown and HTML by Spark's readers, gold sets as JSON lines, batch jobs.
 
-PDF, DOCX and OCR need libraries that are not part of this engine; a converter for an
-extension can be registered, and files without one are left out and counted.
+DOCX is read by its XML.  PDF and OCR need libraries that are not part of this engine; a
+converter for an extension can be registered, and files without one have no text.
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from fnmatch import fnmatch
+from io import BytesIO
 from pathlib import Path
+from xml.etree import ElementTree
+from zipfile import BadZipFile, ZipFile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +44,35 @@ def register_converter(extension: str, convert: Callable[[bytes], str]) -> None:
     CONVERTERS[extension.lower().lstrip(".")] = convert
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_markdown(content: bytes) -> str | None:
+    """A Word file as Markdown: headings by their style, list items, tables as rows of cells; None for what is no such file."""
+    try:
+        with ZipFile(BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    except (BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    text = lambda node: "".join("\t" if x.tag == f"{_W}tab" else "\n" if x.tag == f"{_W}br" else x.text or "" for x in node.iter() if x.tag in (f"{_W}t", f"{_W}tab", f"{_W}br"))
+    out = []
+    for block in body if body is not None else ():
+        if block.tag == f"{_W}p":
+            style = block.find(f"{_W}pPr/{_W}pStyle")
+            name = (style.get(f"{_W}val") or "").lower() if style is not None else ""
+            level = int(name[-1]) if name.startswith("heading") and name[-1:].isdigit() else 1 if name == "title" else 0
+            mark = "#" * level + " " if level else "- " if block.find(f"{_W}pPr/{_W}numPr") is not None else ""
+            out += [mark + text(block)] * bool(text(block).strip())
+        elif block.tag == f"{_W}tbl":
+            rows = [[" ".join(text(c).split()) for c in r.iter(f"{_W}tc")] for r in block.iter(f"{_W}tr")]
+            lines = [f"| {' | '.join(r)} |" for r in rows]
+            out += ["\n".join([*lines[:1], f"|{' --- |' * len(rows[0])}", *lines[1:]])] if rows else []
+    return "\n\n".join(out)
+
+
+CONVERTERS["docx"] = docx_markdown
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, document_id, extension, markdown) of the files under a folder, or of one file.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 from uuid import uuid4
@@ -60,6 +61,7 @@ def read_marker(spark: SparkSession, path: str) -> Marker | None:
 def check_marker(marker: Marker | None, embedder: str, width: int | None = None) -> bool:
     """Whether vectors are to be normalised; raises for another embedder or width.  A table without marker passes, unnormalised."""
     if marker is None:
+        warnings.warn("the table has no marker: its vectors are taken to be of the same model, and as they are", stacklevel=2)
         return False
     if marker.embedder != embedder:
         raise EmbedderMismatchError(f"the table's vectors are of {marker.embedder}, not of {embedder}")

@@ -277,3 +277,27 @@ def test_a_name_of_forty_words_is_found(spark):
     name = " ".join(f"part{i}" for i in range(40))
     df = spark.createDataFrame([("c1", "main.pdf", f"See the {name.upper()} for more."), ("c2", name.replace(" ", "_") + ".pdf", "x")], "chunk_id string, document_id string, text string")
     assert [r["ref"] for r in crossref.mentions(df, crossref.names(df)).collect()] == [name]
+
+
+def test_word_files(spark, tmp_path):
+    from zipfile import ZipFile
+
+    p = lambda t, style=None, item=False: f"<w:p><w:pPr>{f'<w:pStyle w:val=\"{style}\"/>' if style else ''}{'<w:numPr/>' if item else ''}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
+    body = p("Pumps", "Heading2") + p("Close &amp; lock.") + p("one", item=True) + p(" ") + f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>"
+    with ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    got = {r["document_id"]: r["markdown"] for r in documents.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"x.docx": "## Pumps\n\nClose & lock.\n\n- one\n\n| a | b |\n| --- | --- |\n| 1 | 2 |", "bad.docx": None}
+
+
+def test_routes_and_unmarked_tables(spark):
+    from heronry.functions.text import wants_retrieval
+
+    df = spark.createDataFrame([("hi", True, None, None), ("hi", True, None, '{"document_id": "a"}'), ("hi", False, True, None), ("which valve", True, None, ""), ("which valve", None, None, None)], "m string, i boolean, f boolean, x string")
+    assert [r[0] for r in df.select(wants_retrieval(F.col("m"), F.col("i"), F.col("f"), F.col("x"))).collect()] == [False, True, True, True, False]
+    with pytest.warns(UserWarning):
+        assert store.check_marker(None, "any") is False
+    q = models.hashed_embeddings(spark.createDataFrame([("q", "operato")], "query_id string, text string"), "text", 64).withColumnRenamed("vector", "query")
+    assert pipeline.first_stage(_table(spark), q, profile("default", {"search_type": "fts_only"})).first()["chunk_id"] == "b_0"
