@@ -28,14 +28,30 @@ LEVELS = (("paragraph", _PARAGRAPH), ("sentence", _SENTENCE), ("word", _WORD))
 
 
 def cut_class(text: str, limit: int = LIMIT) -> str:
-    """The strongest boundary that alone keeps every stretch within ``limit`` once trimmed; else ``none``."""
+    """The strongest boundary at which bisection alone brings every stretch within ``limit`` once trimmed; else ``none``."""
     body = text.strip(_SPACE)
-    for name, pattern in LEVELS:
-        if all(len(s.strip(_SPACE)) <= limit for s in pattern.split(body)):
+    for (name, _), places in zip(LEVELS, boundaries(body)):
+        if bisects(body, places, limit):
             return name
     return "none"
 
 
+def bisects(text: str, places: list[int], limit: int) -> bool:
+    """Whether cutting at ``places`` near the middle, and each half again, leaves no span over ``limit`` once trimmed."""
+    stack = [(0, len(text))]
+    while stack:
+        a, b = stack.pop()
+        if b - a <= limit or len(text[a:b].strip(_SPACE)) <= limit:
+            continue
+        i = bisect_left(places, (a + b) // 2)
+        near = [p for p in places[max(0, i - 1) : i + 1] if a < p < b]
+        if not near:
+            return False
+        cut = min(near, key=lambda p: abs(2 * p - a - b))
+        stack += [(a, cut), (cut, b)]
+    return True
+
+
 def boundaries(text: str) -> list[list[int]]:
     """Positions after each boundary, strongest kind first; every kind includes the stronger ones' places."""
     return [[m.end() for m in pattern.finditer(text)] for _, pattern in LEVELS]

@@ -40,3 +40,20 @@ def test_table(spark):
     assert S.split_oversized(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(ValueError):
         S.split_oversized(spark.createDataFrame([], schema), limit=300, least=80, most=200)
+
+
+def test_cut_class_against_splitting():
+    """The bisection's answer is that of looking at every stretch."""
+    import random
+
+    from heronry.llm import splitting as S
+
+    def plain(text, limit):
+        body = text.strip(" \t\r\n")
+        return next((n for n, p in S.LEVELS if all(len(s.strip(" \t\r\n")) <= limit for s in p.split(body))), "none")
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        s = "".join(rng.choice(["a", "bb", ". ", "!\n", "\n\n", " ", "\t", "\r\n \r\n", "c" * 9]) for _ in range(rng.randint(1, 30)))
+        for limit in (5, 9, 14):
+            assert S.cut_class(s, limit) == plain(s, limit)
