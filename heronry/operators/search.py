@@ -21,6 +21,8 @@ from heronry.session import cut_lineage
 K1, B = 1.2, 0.75
 #: Queries are sent to every task; beyond this many the caller has to go through blocks.
 MOST_QUERIES = 10_000
+#: Up to so many terms of queries are looked up inside each text.
+MOST_TERMS = 1_000
 
 
 def tokens(text: Column) -> Column:
@@ -73,8 +75,12 @@ def bm25_scores(texts: DataFrame, query_terms: DataFrame, key: str, text: str =
     the row, and that small table is written and read for statistics, frequencies and scores.
     """
     terms = query_terms.select("query_id", "term").distinct()
-    wanted = F.broadcast(terms.groupBy().agg(F.collect_set("term").alias("wanted")))
     words = texts.select(key, tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts")).where("dl > 0")
+    sought = terms.select("term").distinct()
+    if sought.limit(MOST_TERMS + 1).count() > MOST_TERMS:  # too many to look each token up among them: the whole inverted table meets them
+        posted = cut_lineage(postings(texts, key, text).join(sought, "term", "left_semi"))
+        return bm25_of(posted, corpus_stats(texts, text), terms, key)
+    wanted = F.broadcast(sought.agg(F.collect_set("term").alias("wanted")))
     met = words.crossJoin(wanted).select(key, "dl", F.array_sort(F.filter("ts", lambda t: F.array_contains("wanted", t))).alias("ts"))
     met = cut_lineage(met.select(key, "dl", runs(F.col("ts")).alias("rs")))
     posted = met.select(key, "dl", F.explode("rs").alias("r")).select("r.term", key, "r.tf", "dl")
@@ -85,12 +91,12 @@ def bm25_scores(texts: DataFrame, query_terms: DataFrame, key: str, text: str =
 def bm25_of(posted: DataFrame, stats: DataFrame, query_terms: DataFrame, key: str) -> DataFrame:
     """(query_id, key, score) of postings (term, key, tf, dl) with corpus statistics (n, avgdl), as :func:`write_index` leaves them."""
     terms = query_terms.select("query_id", "term").distinct()
-    tf = posted.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    tf = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term of the queries
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    scored = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.withColumn("part", part).join(F.broadcast(terms), "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    return scored.withColumn("part", part).join(terms, "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
 
 
 def search_index(spark, path: str, query_terms: DataFrame, key: str, buckets: int = 64) -> DataFrame:

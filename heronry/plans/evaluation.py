@@ -9,6 +9,7 @@ from heronry.operators import evaluation as E
 from heronry.operators import search
 from heronry.plans.registry import query
 from heronry.plans.texts import _SPACES
+from heronry.session import small
 from heronry.sources.tables import table
 
 
@@ -20,11 +21,11 @@ def _results(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     """(id, rank, doc_id, text, rel): documents ranked by the number of the item's fact strings they have as words, ties by id."""
     gold = table(spark, d, "gold_items").select("id", "corpus", "expected", "match", "dimensions", "fact_ids")
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", "n_chars")
-    wanted = F.broadcast(gold.select("id", F.explode("expected").alias("term")).select("id", F.lower("term").alias("term")).distinct())
+    wanted = small(gold.select("id", F.explode("expected").alias("term")).select("id", F.lower("term").alias("term")).distinct())
     words = docs.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
     hits = words.join(wanted, "term").groupBy("id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     best = search.ranked(hits.withColumnRenamed("id", "query_id"), "doc_id", k)
-    joined = best.select(F.col("query_id").alias("id"), "doc_id", F.col("rank").cast("long").alias("rank")).join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(gold), "id")
+    joined = best.select(F.col("query_id").alias("id"), "doc_id", F.col("rank").cast("long").alias("rank")).join(docs.select("doc_id", "text"), "doc_id").join(small(gold), "id")
     return joined.withColumn("rel", E.relevance(F.col("text"), F.col("expected")))
 
 
@@ -74,7 +75,7 @@ select dimension, value, count(*) as queries, round(avg(ndcg), 6) as ndcg from u
 def metrics_by_dimension(spark: SparkSession, d: str) -> DataFrame:
     scores = E.ndcg_at(_results(spark, d).select("id", "rank", "rel"))
     dims = table(spark, d, "gold_items").select("id", "dimensions.topic", "dimensions.question_type", "dimensions.difficulty")
-    return E.by_dimension(scores.join(F.broadcast(dims), "id"), ["topic", "question_type", "difficulty"], ["ndcg"]).select("dimension", "value", "queries", F.round("ndcg", 6).alias("ndcg"))
+    return E.by_dimension(scores.join(small(dims), "id"), ["topic", "question_type", "difficulty"], ["ndcg"]).select("dimension", "value", "queries", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query(f"{_NDCG} select count(*) as queries, round(avg(ndcg), 6) as ndcg from nd")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that change results or plans.  Memory and master stay with the caller.
 DEFAULTS = {
@@ -65,6 +66,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; a larger one is left to a shuffle.  For tables, not for long plans: it counts."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of partitions a sort or shard step should use."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -301,3 +301,14 @@ def test_routes_and_unmarked_tables(spark):
         assert store.check_marker(None, "any") is False
     q = models.hashed_embeddings(spark.createDataFrame([("q", "operato")], "query_id string, text string"), "text", 64).withColumnRenamed("vector", "query")
     assert pipeline.first_stage(_table(spark), q, profile("default", {"search_type": "fts_only"})).first()["chunk_id"] == "b_0"
+
+
+def test_many_terms_score_alike(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 30, int(rng.integers(0, 20))))) for i in range(80)] + [(99, None)]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    terms = spark.createDataFrame([(f"q{i % 3}", f"w{i}") for i in range(12)], "query_id string, term string")
+    score = lambda: sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in search.bm25_scores(texts, terms, "id").collect())
+    few = score()
+    monkeypatch.setattr(search, "MOST_TERMS", 3)
+    assert few and score() == few
