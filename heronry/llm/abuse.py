@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.llm.columns import by_bytes
 from heronry.session import cut_lineage
 
 BUCKETS = 1 << 17
@@ -549,7 +550,7 @@ def _gather(sample: int, each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, counts = Reader(), Counter()
         kept = pd.DataFrame({"bits": np.empty(0, "i8"), "n": np.empty(0, "i8"), "words": np.empty(0, object)})
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             r = reader.read(batch.column(0))
             b, k = np.unique(r.bits, return_counts=True)
             counts.update(dict(zip(b.tolist(), k.tolist())))
@@ -619,7 +620,7 @@ def scores(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lin, reader = Linear(), Reader()
         lin.w, lin.b = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             r = reader.read(batch.column(2))
             value = lin.scores(r.h, r.who, r.bits)
             n = np.bincount(r.owner, minlength=len(batch))

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.llm.columns import by_bytes
 from heronry.session import cut_lineage
 
 #: Places of the filter of words that may be misread; more words only let more through to the join.
@@ -199,7 +200,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar("pair"), len(k)), words.take(pa.array((k >> np.uint64(32)).astype("i8"))), words.take(pa.array((k & np.uint64(0xFFFFFFFF)).astype("i8"))), pa.array(n)], schema=schema)
         yield pa.RecordBatch.from_pydict({"kind": ["head"] * len(heads), "a": [d for d, _ in heads], "b": [h for _, h in heads], "n": list(heads.values())}, schema=schema)
 
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         texts = _joined(batch.column(1))
         plain = batch.column(1)
         w, row, _, _ = tokens.read(texts)
@@ -428,7 +429,7 @@ def _with_known(rows: DataFrame, counted: DataFrame) -> DataFrame:
         taken = np.unpackbits(shared.value).astype(bool)
         tokens = SoughtTokens(taken)
         schema = pa.schema([("h", pa.int64()), ("w", pa.string()), ("document_id", pa.string())])
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             if len(tokens.runs) > Tokens.MOST:
                 tokens = SoughtTokens(taken)
             h, document, text = batch.columns
