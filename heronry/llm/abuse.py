@@ -79,6 +79,7 @@ EXPLICIT = set(
 INTIMATE = set("naked sex sexual sexy bed kiss lick lips mouth tongue thighs breasts clothes undress strip stripper moan moaning escort escorts discreet lust erotic uncensored hardcore nackt bett küssen nue nues lit desnudo desnuda desnudos desnudas cama".split())
 VIOLENT = set("kill hurt beat break smash punch stab strangle shoot choke burn hang rot suffer drown bleed destroy crush umbringen schlagen erschießen tuer crever casser matar romper reventar".split())
 ADDRESSED = set("you your yours yourself u ur du dich dir dein deine deinen tu te toi ton ta vous votre eres usted tus".split())
+SPEAKERS = set("i we hope should ich wir je nous yo te".split())
 PEOPLE = set("they them their these those he she him her his man men woman person people boy boys girl girls guy guys kid kids child children team clerk officer colleague colleagues human humans creature creatures everybody anyone somebody whoever gente leute".split())
 #: Words that are written in disguise although no list above has them.
 OTHER_DISGUISED = set("choke shit fuck kill hang rape breath laid misery cages".split())
@@ -121,6 +122,8 @@ _PATTERNS = {"scorn": SCORN, "threat": THREAT, "death wish": DEATH_WISH, "hate":
 VOTERS = ("insult", "slur", "addressed", "scorn", "threat", "violence", "death wish", "dehumanising", "stereotype", "hate", "group", "explicit", "sexual", "intimate", "disguised", "technical", "rules")
 AGAINST, WEAK = ("technical", "rules"), ("group", "intimate", "disguised")
 _BIT = {v: 1 << i for i, v in enumerate(VOTERS)}
+#: Bits of words that are no voter: somebody is addressed, somebody speaks or wishes.
+_ADDRESSED, _SPEAKER = 1 << len(VOTERS), 2 << len(VOTERS)
 _NAMED = _BIT["insult"] | _BIT["slur"] | _BIT["dehumanising"]
 _LISTED = INSULTS | SLURS | DEHUMANISING | STEREOTYPES | EXCLUDING | GROUPS | EXPLICIT | INTIMATE | VIOLENT
 _LEXICON = (_LISTED - GROUPS - {"bed", "lit", "sale", "sales", "break", "kiss"}) | OTHER_DISGUISED
@@ -246,7 +249,7 @@ def _suspects(word: str) -> int:
             bits |= _BIT[v]
     if not word.isascii() and any(x in word for x in SIGN_INSULTS):
         bits |= _BIT["insult"]
-    return bits
+    return bits | _ADDRESSED * (word in ADDRESSED) | _SPEAKER * (word in SPEAKERS)
 
 
 def _judge(words: list[str], possible: int, disguised: bool) -> int:
@@ -276,7 +279,7 @@ def _judge(words: list[str], possible: int, disguised: bool) -> int:
         bits |= _BIT["explicit"]
     if possible & _BIT["intimate"] and len(own & INTIMATE) > 1:
         bits |= _BIT["intimate"]
-    if addressed and possible & _BIT["violence"] and not own.isdisjoint(VIOLENT) and own & {"i", "we", "hope", "should", "ich", "wir", "je", "nous", "yo", "te"}:
+    if addressed and possible & _BIT["violence"] and not own.isdisjoint(VIOLENT) and not own.isdisjoint(SPEAKERS):
         bits |= _BIT["violence"]
     return bits | _BIT["disguised"] * disguised
 
@@ -333,10 +336,15 @@ class Reader:
         possible = np.zeros(len(said), "i8")
         bits = np.zeros(len(said), "i8")
         starts = np.searchsorted(who, np.arange(len(said) + 1))
-        np.bitwise_or.at(possible, who, np.array(self.bits, "i8")[word])
+        some = np.flatnonzero(np.diff(starts))
+        if len(some):
+            possible[some] = np.bitwise_or.reduceat(np.array(self.bits, "i8")[word], starts[some])
         disguised = np.zeros(len(said), bool)
         disguised[who[np.array(self.kind, "i1")[word] == 2]] = True
         disguised[list(spaced)] = True
+        # violence counts beside somebody addressed and a speaker only
+        alone = (possible & _BIT["violence"] != 0) & ((possible & _ADDRESSED == 0) | (possible & _SPEAKER == 0))
+        possible = np.where(alone, possible & ~np.int64(_BIT["violence"]), possible) & (_ADDRESSED - 1)
         for i in np.flatnonzero(possible | disguised):
             ws = [self.words[j] for j in word[starts[i] : starts[i + 1]]]
             bits[i] = _judge(ws, int(possible[i]), bool(disguised[i]))
@@ -383,7 +391,9 @@ class Read:
         mixed = self.h * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(self.h)) - self.starts[self.who]).astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out = np.zeros(n, "u8")
-        np.add.at(out, self.who, mixed ^ (mixed >> np.uint64(32)))
+        some = np.flatnonzero(np.diff(self.starts))
+        if len(some):
+            out[some] = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), self.starts[some])
         return (out ^ (out >> np.uint64(31))) & np.uint64(0xFFFFFFFF)
 
     def words(self, i: int) -> bytes:
@@ -407,6 +417,7 @@ def votes(statement: str) -> tuple[int, str]:
     for j in word:
         possible |= reader.bits[j]
     disguised = bool(spaced) or any(reader.kind[j] == 2 for j in word)
+    possible &= _ADDRESSED - 1
     return _judge(ws, possible, disguised) if possible or disguised else 0, " ".join(ws)
 
 
@@ -523,8 +534,12 @@ class Linear:
 
     def scores(self, h: np.ndarray, who: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Probability that each statement is abusive."""
-        place, owner = features(h, who, bits)
-        value = self.b + np.bincount(owner, self.w[place] * np.where(place >= BUCKETS, 1.0, self.WORD), len(bits))
+        n, words = len(bits), (self.WORD * self.w[:BUCKETS]).astype("f8")
+        value = self.b + np.bincount(who, words[h % np.uint64(BUCKETS)], n)
+        same = who[1:] == who[:-1]
+        value += np.bincount(who[1:][same], words[(h[:-1] * np.uint64(1_000_003) ^ h[1:])[same] % np.uint64(BUCKETS)], n)
+        spoken = np.flatnonzero(bits)
+        value[spoken] += ((bits[spoken, None] >> np.arange(len(VOTERS))) & 1) @ self.w[BUCKETS:]
         return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
 
 
