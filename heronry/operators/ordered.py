@@ -33,13 +33,14 @@ def slices_for(df: DataFrame) -> int:
     return max(parallelism(df.sparkSession), math.ceil(size / SLICE_BYTES))
 
 
-def sorted_slices(df: DataFrame, keys: list[str | Column], partitions: int | None = None) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``keys``; nulls come first, ties are left to the last keys.
+def sorted_slices(df: DataFrame, keys: list[str | Column], partitions: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys``, ties sorted by ``then``; nulls come first.
 
+    Rows with equal keys are in one slice, so repeated rows stand beside each other if ``then`` has their other columns.
     The number of partitions follows the input's bytes and is fixed, so adaptive execution does not merge them.
     An empty table gives empty slices.
     """
-    return df.repartitionByRange(partitions or slices_for(df), *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(partitions or slices_for(df), *keys).sortWithinPartitions(*keys, *then)
 
 
 def running_total(df: DataFrame, key: str, order: list, amount: Column, name: str) -> DataFrame:
