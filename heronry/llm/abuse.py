@@ -379,6 +379,12 @@ class Reader:
         return w[order], s[order], found
 
 
+@lru_cache(maxsize=1)
+def own_reader() -> Reader:
+    """The reader of this worker: what it has learnt about words serves later tasks and the second pass."""
+    return Reader()
+
+
 class Read:
     """Statements of a batch: their texts, the row each is from, hashed words with the statement each is of, and votes."""
 
@@ -563,7 +569,7 @@ class Sample:
 
 def _gather(sample: int, each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts = Reader(), Counter()
+        reader, counts = own_reader(), Counter()
         kept = pd.DataFrame({"bits": np.empty(0, "i8"), "n": np.empty(0, "i8"), "words": np.empty(0, object)})
         for batch in by_bytes(batches, 0):
             r = reader.read(batch.column(0))
@@ -633,7 +639,7 @@ def scores(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("score", pa.float64()), ("n_statements", pa.int32()), ("worst", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lin, reader = Linear(), Reader()
+        lin, reader = Linear(), own_reader()
         lin.w, lin.b = shared.value
         for batch in by_bytes(batches, 2):
             r = reader.read(batch.column(2))
