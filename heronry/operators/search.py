@@ -30,17 +30,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK), lambda t: t != "")
 
 
-def runs(sorted_tokens: Column) -> Column:
-    """Array of (term, tf) of an array of tokens in order: one walk inside the row, nothing is shuffled to count."""
-    size = F.size(sorted_tokens)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), size - 1)), lambda i: (size > 0) & ((i == 0) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1))))
-    return F.transform(starts, lambda i, n: F.struct(F.get(sorted_tokens, i).alias("term"), (F.coalesce(F.get(starts, n + 1), size) - i).cast("long").alias("tf")))
+def counted(rows: DataFrame, key: str, ts: str) -> DataFrame:
+    """(term, key, tf, dl) of rows (key, dl, tokens): counts are made in every task before they are shuffled."""
+    each = rows.select(key, "dl", F.explode(ts).alias("term"))
+    return each.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "dl")
 
 
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(term, key, tf, dl): the inverted table.  A text without tokens has no row."""
-    words = texts.select(key, F.array_sort(tokens(F.col(text))).alias("ts"))
-    return words.select(key, F.size("ts").alias("dl"), F.explode(runs(F.col("ts"))).alias("r")).select("r.term", key, "r.tf", "dl")
+    return counted(texts.select(key, tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts")), key, "ts")
 
 
 def corpus_stats(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -71,8 +69,8 @@ def read_index(spark, path: str, terms: list[str] | None = None, buckets: int =
 def bm25_scores(texts: DataFrame, query_terms: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(query_id, key, score) for ``query_terms`` (query_id, term): every text with one of the terms.
 
-    The corpus is cut into tokens once: each text leaves its length and the terms it has of the queries', counted inside
-    the row, and that small table is written and read for statistics, frequencies and scores.
+    The corpus is cut into tokens once: each text leaves its length and the tokens it has of the queries' terms, and that
+    small table is written and read for statistics, frequencies and scores.
     """
     terms = query_terms.select("query_id", "term").distinct()
     words = texts.select(key, tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts")).where("dl > 0")
@@ -81,9 +79,9 @@ def bm25_scores(texts: DataFrame, query_terms: DataFrame, key: str, text: str =
         posted = cut_lineage(postings(texts, key, text).join(sought, "term", "left_semi"))
         return bm25_of(posted, corpus_stats(texts, text), terms, key)
     wanted = F.broadcast(sought.agg(F.collect_set("term").alias("wanted")))
-    met = words.crossJoin(wanted).select(key, "dl", F.array_sort(F.filter("ts", lambda t: F.array_contains("wanted", t))).alias("ts"))
-    met = cut_lineage(met.select(key, "dl", runs(F.col("ts")).alias("rs")))
-    posted = met.select(key, "dl", F.explode("rs").alias("r")).select("r.term", key, "r.tf", "dl")
+    met = words.crossJoin(wanted).select(key, "dl", F.filter("ts", lambda t: F.array_contains("wanted", t)).alias("ts"))
+    met = cut_lineage(met)
+    posted = counted(met, key, "ts")
     stats = met.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return bm25_of(posted, stats, terms, key)
 
