@@ -287,7 +287,7 @@ def _judge(words: list[str], possible: int, disguised: bool) -> int:
 class Reader:
     """Statements of texts as hashed words and votes; what is learnt about words is kept from batch to batch."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self):
         self._start()

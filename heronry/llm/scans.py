@@ -120,7 +120,7 @@ class Tokens:
     Words, codes and compounds never cross white space, so a text's words are those of its runs in order.
     """
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self):
         self.number: dict[str, int] = {}
