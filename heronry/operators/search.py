@@ -94,7 +94,9 @@ def bm25_of(posted: DataFrame, stats: DataFrame, query_terms: DataFrame, key: st
     scored = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.withColumn("part", part).join(terms, "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    parts = scored.withColumn("part", part).join(terms, "term").groupBy("query_id", key).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    # added in order of size: in the order of arrival, equal texts would differ in the last bit, and that would rank them
+    return parts.select("query_id", key, F.aggregate("parts", F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def search_index(spark, path: str, query_terms: DataFrame, key: str, buckets: int = 64) -> DataFrame:
@@ -181,7 +183,8 @@ def _hopeful(shared, key: str, k: int, metric: str):
                 best[n] = np.sort(np.concatenate([best[n], far], axis=1), axis=1)[:, :k]
                 room = 1e-9 * (1 + np.abs(np.where(np.isfinite(best[n][:, -1:]), best[n][:, -1:], 0)))
                 keep = at[(far <= best[n][:, -1:] + room).any(0)]  # what ties with the last one stays
-                yield pd.DataFrame({key: pdf[key].to_numpy()[keep], "v": [np.asarray(v, dtype="f8") for v in pdf["v"].to_numpy()[keep]]})
+                if len(keep):  # of an empty list pandas makes a column of numbers, which Arrow refuses as arrays
+                    yield pd.DataFrame({key: pdf[key].to_numpy()[keep], "v": [np.asarray(v, dtype="f8") for v in pdf["v"].to_numpy()[keep]]})
 
     return run
 

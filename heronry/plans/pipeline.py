@@ -180,9 +180,11 @@ QUESTION = " ".join(TERMS)
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(chunks with usable vectors, each once; one question with the vector of the first chunk)."""
-    chunks = one_per_chunk(table(spark, d, "text_pages").where(F.col("chunk_id").isNotNull() & is_usable(F.col("vector"), 64) & (F.col("chunk_index") >= 0) & F.col("document_id").isNotNull()))
-    first = chunks.agg(F.min_by("vector", "chunk_id").alias("query"))
-    return chunks, first.select(F.lit("q").alias("query_id"), F.lit(QUESTION).alias("text"), "query")
+    known = table(spark, d, "text_pages").where(F.col("chunk_id").isNotNull() & is_usable(F.col("vector"), 64) & (F.col("chunk_index") >= 0) & F.col("document_id").isNotNull())
+    least = known.agg(F.min("chunk_id").alias("chunk_id"))
+    first = one_per_chunk(known.join(F.broadcast(least), "chunk_id", "left_semi")).agg(F.min_by("vector", "chunk_id").alias("query"))
+    # one row, read by many steps: without the cut each of them goes through the whole table for it
+    return one_per_chunk(known), cut_lineage(first.select(F.lit("q").alias("query_id"), F.lit(QUESTION).alias("text"), "query"))
 
 
 _INPUTS_SQL = f"""known as (select * from text_pages where chunk_id is not null and document_id is not null and chunk_index >= 0 and vector is not null and len(vector) = 64

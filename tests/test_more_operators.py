@@ -130,6 +130,16 @@ def test_nearest_against_all_pairs(spark):
     assert search.nearest(df.where("false"), q, "id", 3).count() == 0
 
 
+def test_equal_texts_have_equal_scores(spark):
+    rng = np.random.default_rng(5)
+    terms = [f"t{i}" for i in range(7)]
+    rows = [(terms[i], k, 1 + i % 3, 40) for k in range(200) for i in rng.permutation(7).tolist()] + [(t, 1000 + 10 * n + i, 1, 5) for n, t in enumerate(terms) for i in range(n)]
+    posted = spark.createDataFrame(rows, "term string, id int, tf int, dl int").coalesce(1)
+    stats = spark.createDataFrame([(5000, 33.3)], "n long, avgdl double")
+    asked = spark.createDataFrame([("q", t) for t in terms], "query_id string, term string")
+    assert search.bm25_of(posted, stats, asked, "id").where("id < 200").select("score").distinct().count() == 1
+
+
 def test_one_word_and_quotes(spark):
     voc = spark.createDataFrame([("valve",), ("valves",), ("salve",), ("pump",)], "term string")
     q = spark.createDataFrame([("a", '"Valve"'), ("b", "pump valve"), ("c", None)], "query_id string, text string")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from heronry.config import profile
@@ -44,3 +45,29 @@ def test_late_chunks(spark):
     tokens = spark.createDataFrame([("d", 0, [1.0, 2.0]), ("d", 1, [3.0, float("nan")]), ("d", 5, [9.0, 9.0])], "document_id string, at int, vector array<double>")
     places = spark.createDataFrame([("c", "d", 0, 2), ("e", "d", 2, 4)], "chunk_id string, document_id string, start int, end int")
     assert [(r["chunk_id"], r["vector"]) for r in chunking.pooled_spans(tokens, places).collect()] == [("c", [2.0, 1.0])]
+
+
+def _long_table(spark, folder):
+    """400 chunks of one document, the farther from the first the higher their index; five of them speak of the question."""
+    rows = []
+    for i in range(400):
+        text = " ".join(pipeline.TERMS) if 300 <= i < 305 else f"plain words {i}"
+        rows.append(([1.0 + i] + [1.0] * 63, text, f"c_{i:03d}", "d", i, "{}"))
+    df = spark.createDataFrame(rows, "vector array<float>, text string, chunk_id string, document_id string, chunk_index int, metadata string")
+    df.coalesce(1).write.parquet(f"{folder}/text_pages.parquet")
+    return str(folder)
+
+
+@pytest.fixture
+def short_batches(spark):
+    """A task gets its rows in several Arrow batches, as it does of a large table."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_default_over_several_batches(spark, tmp_path, short_batches):
+    found = pipeline.pipeline_default(spark, _long_table(spark, tmp_path))
+    assert sorted((r["rank"], r["chunk_id"]) for r in found.collect()) == [(n + 1, f"c_{300 + n}") for n in range(5)]
