@@ -77,3 +77,8 @@ def test_expanded_over_several_batches(spark, tmp_path, short_batches):
     found = pipeline.pipeline_expanded(spark, _long_table(spark, tmp_path))
     want = [(f"c_{i:03d}", i, max(1, i)) for i in range(11)]  # ten seeds and the neighbour of the last; the best seed claims a chunk
     assert sorted((r["chunk_id"], r["chunk_index"], r["seed_rank"]) for r in found.collect()) == want
+
+
+def test_fast_over_several_batches(spark, tmp_path, short_batches):
+    found = pipeline.pipeline_fast(spark, _long_table(spark, tmp_path))
+    assert sorted((r["rank"], r["chunk_id"]) for r in found.collect()) == [(i + 1, f"c_{i:03d}") for i in range(10)]
